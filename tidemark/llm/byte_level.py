@@ -55,23 +55,27 @@ class Vocabulary:
 
 
 class Kept(dict):
-    """A dictionary that makes missing values and starts anew at its bound, so memory doesn't grow with the corpus."""
+    """A dictionary that makes missing values and holds two generations of at most bound keys each: at its bound the young one becomes the old one, from which keys that are still in use come back."""
 
     def __init__(self, make: Callable, bound: int) -> None:
         super().__init__()
-        self._make, self._bound = make, bound
+        self._make, self._bound, self._old = make, bound, {}
 
     def __missing__(self, key):
+        value = self._old.get(key)
+        if value is None:
+            value = self._make(key)
         if len(self) >= self._bound:
+            self._old = dict(self)
             self.clear()
-        value = self[key] = self._make(key)
+        self[key] = value
         return value
 
 
 class Units:
     """Looks up a value for each unit of a text: of_pretokens makes it from the list of the unit's pre-tokens."""
 
-    def __init__(self, of_pretokens: Callable[[list[str]], object], bound: int = 250_000) -> None:
+    def __init__(self, of_pretokens: Callable[[list[str]], object], bound: int = 400_000) -> None:
         self._make = of_pretokens
         self._spaced = Kept(lambda piece: of_pretokens(PRETOKEN.findall(" " + piece)), bound)
 
