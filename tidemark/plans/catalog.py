@@ -1,4 +1,8 @@
-"""The engine's queries by name, and the equivalent SQL of each."""
+"""The engine's queries by name, and the equivalent SQL of each.
+
+Most queries are relations: Spark plans their steps as a whole, and DuckDB repeats them for the oracle. Doubles are rounded at the end, as the
+engines add in different orders.
+"""
 
 from __future__ import annotations
 
@@ -6,14 +10,59 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.operators import base_bank as bank
+from tidemark.operators import metrics
+from tidemark.plans.relation import Relation, rounded
+from tidemark.sources import panel as panels
+
+KEYS = ["id", "t", "y"]
+
+
+def _bank_columns(*columns: str) -> Relation:
+    return bank.features(panels.panel()).keep("id", "t", *rounded(columns))
+
+
+def _scores(name: str) -> Relation:
+    return bank.baselines(bank.features(panels.panel())).keep("id", "t", "y", p=name)
+
+
+def h_reference() -> Relation:
+    rows = bank.referenced(panels.panel()).where("t <= 0")
+    return rows.group("id", n_h="max(n_h)", **{c: f"round(max({c}), 4)" for c in ("mean_h", "sd_h", "med_h", "mad_h")})
+
+
+def h_baseline() -> Relation:
+    rows = bank.statistics(bank.referenced(panels.panel())).where("t <= 0")
+    return rows.group("id", **{c: f"round(max({c}), 6) + 0e0" for c in ["phi", *(f"b_{c}" for c in bank.names()), "cut0", "cut1", "cut2", "cut3"]})
+
+
+def _scale(*names: str) -> list[str]:
+    return [f"{n}_{k}" for k in bank.Settings().scales for n in names]
+
+
+RELATIONS: dict[str, Callable[[], Relation]] = {
+    "ts_auc_cusum": lambda: metrics.ts_auc(_scores("round(b3, 9)")).keep("pairs", ts_auc="round(ts_auc, 6)"),
+    "h_reference": h_reference,
+    "h_baseline": h_baseline,
+    "current_and_cusum": lambda: _bank_columns("z", "robust_z", "missing", "cusum_positive", "cusum_negative", "running_mean"),
+    "ewma_mean_scale": lambda: _bank_columns(*_scale("mean_z", "abs_mean_z", "log_second_ratio", "log_variance_ratio", "absolute_moment_delta")),
+    "ewma_tail_quantile": lambda: _bank_columns(*_scale("tail2_delta", "tail3_delta", "sign_delta", "quantile_l1")),
+    "ewma_dependence": lambda: _bank_columns(*_scale("lag1_delta", "lag2_delta", "lag4_delta", "lag8_delta", "ar_mean_z", "ar_log_second_ratio")),
+    "fast_slow": lambda: _bank_columns("fast_slow_mean", "fast_slow_scale", "fast_slow_dependence"),
+    "evidence_max": lambda: _bank_columns("evidence_max", "evidence_decayed_max"),
+    "baseline_scores": lambda: bank.baselines(bank.features(panels.panel())).keep(*KEYS, *rounded(["b0", "b2", "b3", "b4", "b5", "b6", "b7"])),
+    "official_ewma": lambda: bank.official_ewma(panels.panel()).keep(*KEYS, *rounded(["p"])),
+    "ts_auc_by_time": lambda: metrics.auc_by_time(_scores("round(b3, 9)")).keep("t", "pos", "neg", "pairs", "wins", auc="round(auc, 9)"),
+}
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queries()["ts_auc_cusum"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: lambda spark, sf_dir, make=make: make().frame(spark, sf_dir) for name, make in RELATIONS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: make().sql() for name, make in RELATIONS.items()}
