@@ -90,7 +90,7 @@ def over(a: str, b: str) -> str:
 
 
 def best_of(values: list[str], names: list[str], least: str | None = None) -> str:
-    """The name of the greatest value, the first among equals."""
+    """The name of the greatest value, the first among those that are equal but for rounding."""
     top = f"greatest({', '.join(values)})" if len(values) > 1 else values[0]
-    cases = " ".join(f"WHEN {v} >= {top} THEN {n}" for v, n in zip(values, names, strict=True))
+    cases = " ".join(f"WHEN {v} >= {top} - 1e-9 THEN {n}" for v, n in zip(values, names, strict=True))
     return f"CASE {cases} ELSE {least or names[0]} END"

@@ -129,3 +129,36 @@ def official_ewma(rows: Relation) -> Relation:
     rows = rows.add(mean_h="avg(CASE WHEN t <= 0 THEN value END) OVER (PARTITION BY id)", sd_h="greatest(coalesce(stddev_samp(CASE WHEN t <= 0 THEN value END) OVER (PARTITION BY id), 1e0), 1e-8)").where("t > 0")
     rows = rows.add(ew=kit.ewma("value", 0.05, "mean_h"), n_eff=f"20e0 * (1e0 - exp({num(_log_keep(20))} * t))")
     return rows.add(p="tanh(abs((ew - mean_h) / greatest(sd_h / sqrt(greatest(n_eff, 1e0)), 1e-8)) / 3e0)").keep("id", "t", "y", "p")
+
+
+#: Columns of the moving averages that calibration standardises, and those it reports here.
+BURN, SPREAD_FLOOR, CALIBRATED_CLIP = 160, 0.05, 12.0
+CALIBRATED = [f"{c}_{k}" for k in (5, 20, 80) for c in ("mean_z", "log_variance_ratio", "tail2_delta", "lag1_delta")]
+
+
+def calibrated(rows: Relation, s: Settings = Settings(), robust: bool = False) -> Relation:
+    """Bank columns against their own distribution when the bank runs over the history after a burn-in.
+
+    The second run treats the whole history as if it were online: the references are the same, and time starts anew at the series' first point.
+    """
+    rows = statistics(referenced(rows, s), s)
+    floor = num(s.moment_floor)
+
+    def columns(part: Relation) -> Relation:
+        part = part.add(**{f"e{k}_{c}": kit.ewma(c, 1 / k, f"b_{c}") for k in s.scales for c in ("z", "square", "tail_low", "lag1")})
+        part = part.add(**{f"root{k}": f"sqrt({num(k)} * (1e0 - exp({num(_log_keep(k))} * t)))" for k in s.scales})
+        made = {}
+        for k in s.scales:
+            made |= {f"mean_z_{k}": f"(e{k}_z - b_z) * root{k}", f"log_variance_ratio_{k}": f"ln(greatest(e{k}_square - e{k}_z * e{k}_z, {floor}) / greatest(b_square - b_z * b_z, {floor}))", f"tail2_delta_{k}": f"(e{k}_tail_low - b_tail_low) * root{k} / sqrt(greatest(b_tail_low * (1e0 - b_tail_low), {num(s.rate_floor)}))", f"lag1_delta_{k}": f"(e{k}_lag1 - b_lag1) * root{k}"}
+        return part.add(**made)
+
+    online = columns(rows.where("t > 0"))
+    base = [c for c in ("id", "z", "square", "tail_low", "b_z", "b_square", "b_tail_low", "b_lag1")]
+    past = columns(rows.where("t <= 0").keep(*base, "n_h", t="t + n_h", lag1="coalesce(lag1, 0e0)")).where(f"t > least({BURN}, floor(n_h / 2e0))")
+    if robust:
+        past = past.add(**{f"m_{c}": f"percentile({c}, 0.5e0) OVER (PARTITION BY id)" for c in CALIBRATED}).add(**{f"o_{c}": f"abs({c} - m_{c})" for c in CALIBRATED})
+        centres = past.group("id", **{f"m_{c}": f"max(m_{c})" for c in CALIBRATED}, **{f"s_{c}": f"greatest(1.4826e0 * percentile(o_{c}, 0.5e0), {num(SPREAD_FLOOR)})" for c in CALIBRATED})
+    else:
+        centres = past.group("id", **{f"m_{c}": f"avg({c})" for c in CALIBRATED}, **{f"s_{c}": f"greatest(stddev_pop({c}), {num(SPREAD_FLOOR)})" for c in CALIBRATED})
+    outs = ", ".join(kit.clip(f"($1.{c} - m_{c}) / s_{c}", CALIBRATED_CLIP) + f" AS {c}" for c in CALIBRATED)
+    return online.then(f"SELECT $1.id, $1.t, $1.y, {outs} FROM $1 JOIN $2 ON $1.id = $2.id", centres)

@@ -10,8 +10,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.operators import alarms, blocks, metrics, splits, states
 from tidemark.operators import base_bank as bank
-from tidemark.operators import metrics
+from tidemark.operators import evidence as ev
+from tidemark.operators import statistics as stats
+from tidemark.operators import whitening as white
 from tidemark.plans.relation import Relation, rounded
 from tidemark.sources import panel as panels
 
@@ -40,8 +43,68 @@ def _scale(*names: str) -> list[str]:
     return [f"{n}_{k}" for k in bank.Settings().scales for n in names]
 
 
+def _ids(spec: panels.Spec = panels.LINEITEM) -> Relation:
+    return Relation.select(f"SELECT DISTINCT {spec.key} AS id FROM {{{spec.table}}}")
+
+
+def _innovations(mode: str = "sd") -> Relation:
+    return white.innovations(panels.panel(), mode)
+
+
+def _evidence(make: Callable[..., Relation], columns: list[str], mode: str = "sd", digits: int = 4, **how) -> Callable[[], Relation]:
+    return lambda: make(_innovations(mode), **how).keep("id", "t", *rounded(columns, digits))
+
+
+def _scored() -> Relation:
+    """id, t, y, tau and p (the tail score), with the other scores."""
+    rows = bank.baselines(bank.features(panels.panel())).keep("id", "t", "y", *(f"round(b{k}, 9) AS b{k}" for k in range(2, 8)))
+    return rows.then("SELECT $1.*, $1.b5 AS p, $2.tau FROM $1 JOIN $2 ON $1.id = $2.id AND $1.t = $2.t", panels.panel().keep("id", "t", "tau"))
+
+
+def _states() -> Relation:
+    return states.thresholds(_innovations())
+
+
+def _law() -> Relation:
+    rows = states.movement(_states())
+    rows = rows.add(following="lead(s1) OVER (PARTITION BY id ORDER BY t)").where("s1 < 3 AND following < 3")
+    return states.law(rows, "s1", "following")
+
+
+def _folds() -> Relation:
+    folds = splits.assigned(_ids()).where("fold >= 0").keep("id", "fold")
+    rows = _scored().then("SELECT $1.*, $2.fold FROM $1 JOIN $2 ON $1.id = $2.id", folds)
+    parts = {c: metrics.ts_auc(rows.keep("id", "t", "y", "fold", p=c), "fold") for c in ("b4", "b5")}
+    return parts["b4"].then("SELECT $1.fold, $1.ts_auc AS reference, $2.ts_auc AS candidate FROM $1 JOIN $2 ON $1.fold = $2.fold", parts["b5"])
+
+
+def _calibrated() -> Relation:
+    """The bank's moving averages standardised by a second run of the bank over the history itself."""
+    rows = bank.calibrated(panels.panel())
+    return rows.keep("id", "t", *rounded(bank.CALIBRATED))
+
+
+def _dimension(sql: str) -> Callable[[], Relation]:
+    return lambda: Relation.select(sql)
+
+
 RELATIONS: dict[str, Callable[[], Relation]] = {
-    "ts_auc_cusum": lambda: metrics.ts_auc(_scores("round(b3, 9)")).keep("pairs", ts_auc="round(ts_auc, 6)"),
+    # panel, splits, samples, weights, groups
+    "panel_rows": lambda: panels.panel().keep("id", "t", "y", "tau", value="round(value, 4) + 0e0"),
+    "panel_users": lambda: panels.panel(panels.USERS).keep("id", "t", "y", value="round(value, 4) + 0e0"),
+    "panel_short_series": lambda: bank.referenced(panels.panel(panels.ORDERS)).keep("id", "t", "missing", *rounded(["z", "robust_z"])),
+    "panel_audit": lambda: splits.audited(panels.panel()).keep("id", "n_h", "n_o", "has_break", "tau", *rounded(["tau_fraction", "mean_h", "sd_h", "median_h", "mad_h", "min_h", "max_h", "lag1", "excess", "departure"])),
+    "split_assign": lambda: splits.assigned(_ids()).keep("id", "role", "fold"),
+    "split_counts": lambda: splits.assigned(_ids()).group("role", "fold", series="count(*)"),
+    "discovery_halves": lambda: splits.halves(_ids()).keep("id", "half"),
+    "sample_s1_s2": lambda: splits.sampled(panels.panel()).keep("id", "t", "s1", "s2"),
+    "sample_s1_long": lambda: splits.sampled(panels.panel(panels.TYPES, 0.0)).group("id", rows="count(*)", s1="sum(s1)", s2="sum(s2)").keep("id", "rows", "cast(s1 AS bigint) AS s1", "cast(s2 AS bigint) AS s2"),
+    "sample_every_eighth": lambda: splits.every_eighth(panels.panel()).keep("id", "t"),
+    "row_weights": lambda: splits.weighted(panels.panel()).keep("id", "t", *rounded(["w0", "w1", "w2", "w3", "s3_sqrt"], 6)),
+    "dup_signatures": lambda: splits.signatures(panels.panel()).keep("id", "n_h", "exact_sha", "normal_sha", "prefix_sha"),
+    "series_fingerprints": lambda: splits.fingerprints(panels.panel()).keep("id", "g", *rounded(["v"], 5)),
+    "series_neighbours": lambda: splits.neighbours(splits.fingerprints(panels.panel())).keep("id", "other", "place", *rounded(["rmse", "most"], 5)),
+    # base bank and baselines
     "h_reference": h_reference,
     "h_baseline": h_baseline,
     "current_and_cusum": lambda: _bank_columns("z", "robust_z", "missing", "cusum_positive", "cusum_negative", "running_mean"),
@@ -50,9 +113,84 @@ RELATIONS: dict[str, Callable[[], Relation]] = {
     "ewma_dependence": lambda: _bank_columns(*_scale("lag1_delta", "lag2_delta", "lag4_delta", "lag8_delta", "ar_mean_z", "ar_log_second_ratio")),
     "fast_slow": lambda: _bank_columns("fast_slow_mean", "fast_slow_scale", "fast_slow_dependence"),
     "evidence_max": lambda: _bank_columns("evidence_max", "evidence_decayed_max"),
+    "historical_calibration": _calibrated,
     "baseline_scores": lambda: bank.baselines(bank.features(panels.panel())).keep(*KEYS, *rounded(["b0", "b2", "b3", "b4", "b5", "b6", "b7"])),
     "official_ewma": lambda: bank.official_ewma(panels.panel()).keep(*KEYS, *rounded(["p"])),
+    "sequential_lr": lambda: ev.sequential_ratios(panels.panel()).keep(*KEYS, *rounded(ev.SEQUENTIAL)),
+    # innovations
+    "whitened_ar1": lambda: white.first_order(panels.panel()).where("t > 0").keep("id", "t", *rounded(["v", "r"])),
+    **{f"normalised_{m}": (lambda m=m: _innovations(m).where("t > 0").keep("id", "t", *rounded(["z", "u"]))) for m in ("raw", "sd", "mad", "arch1", "uniform", "gaussian")},
+    "arch_forecast": lambda: _innovations("arch1").where("t > 0").keep("id", "t", *rounded(["raw_energy", "forecast_energy", "conditional_energy", "z"])),
+    # sequential evidence
+    "evidence_location": _evidence(ev.location, ev.LOCATION),
+    "evidence_scale": _evidence(ev.scale, ev.SCALE),
+    "evidence_dependence": _evidence(ev.dependence, ev.DEPENDENCE),
+    "evidence_distribution": _evidence(ev.distribution, ev.DISTRIBUTION),
+    "glr_grid": _evidence(ev.likelihood_ratios, ev.LIKELIHOOD),
+    "bayes_grid": _evidence(ev.mixtures, ev.MIXTURES),
+    "evidence_memory": _evidence(ev.memory, ev.MEMORY),
+    "channel_raw_energy": lambda: ev.channel(white.standard(_innovations("arch1"), "raw_energy", "c"), "c").keep("id", "t", *rounded(ev.CHANNEL)),
+    "channel_forecast_energy": lambda: ev.channel(white.standard(_innovations("arch1").add(lf="ln(forecast_energy)"), "lf", "c"), "c").keep("id", "t", *rounded(ev.CHANNEL)),
+    "channel_conditional_energy": lambda: ev.channel(white.standard(_innovations("arch1"), "conditional_energy", "c"), "c").keep("id", "t", *rounded(ev.CHANNEL)),
+    "channel_serial": lambda: ev.channel(white.standard(_innovations("arch1"), "raw_energy", "c"), "c", serial=True).keep("id", "t", "rho", *rounded(ev.CHANNEL)).keep("id", "t", *ev.CHANNEL, rho="round(rho, 6)"),
+    "log_energy": lambda: ev.channel(white.standard(_innovations("arch1").add(le="ln(raw_energy + 1e-4)"), "le", "c"), "c").keep("id", "t", *rounded(ev.CHANNEL)),
+    "markov_transitions": lambda: ev.transitions(panels.panel()).keep("id", "t", *rounded(ev.TRANSITIONS)),
+    "rank_sign_channel": _evidence(ev.rank_sign, ev.CHANNEL, digits=6),
+    **{f"product_channel_{k}": _evidence(ev.lag_product, ev.CHANNEL, kind=k) for k in ("signed", "squared", "absolute", "sign", "rank")},
+    "scale_likelihood": _evidence(ev.scale_likelihood, ev.SCALE_LIKELIHOOD, "arch1"),
+    "scale_likelihood_conditional": _evidence(ev.scale_likelihood, ev.SCALE_LIKELIHOOD, "arch1", x="conditional_energy"),
+    "correlation_departure": _evidence(ev.correlation_departure, ev.CORRELATION, "arch1"),
+    "cell_divergence": _evidence(ev.cell_divergence, ev.CELLS, "arch1"),
+    "window_mixture_mean": _evidence(ev.window_mixture, ev.WINDOW_MIXTURE, "arch1"),
+    "window_mixture_scale": _evidence(ev.window_mixture, ev.WINDOW_MIXTURE, "arch1", kind="scale"),
+    "hazard_logodds": _evidence(ev.hazard, ev.HAZARD, "arch1"),
+    "semitail": _evidence(ev.semitail, ev.SEMITAIL, "arch1"),
+    "two_pole": _evidence(ev.two_pole, ev.TWO_POLE, "arch1"),
+    **{f"window_likelihood_{k}": _evidence(ev.window_likelihood, ev.WINDOW_LIKELIHOOD, kind=k) for k in ("normal", "student", "adaptive")},
+    "student_location": _evidence(ev.student_location, ev.STUDENT_LOCATION),
+    "sign_run": _evidence(ev.sign_run, ev.SIGN_RUN),
+    "mixture_cumulative": _evidence(ev.cumulative_mixture, ev.CUMULATIVE),
+    "persistence": _evidence(ev.persistence, ev.PERSISTENCE),
+    "energy_pit": _evidence(ev.energy_pit, ev.ENERGY_PIT),
+    "window_ratio": _evidence(ev.window_ratio, ev.WINDOW_RATIO),
+    "cross_products": lambda: ev.cross_products(ev.semitail(_innovations("arch1")), ev.location(_innovations()), [("low_ewma_8", "mean_8"), ("high_ewma_32", "mean_32")]).keep("id", "t", *rounded(["x_low_ewma_8_mean_8", "x_high_ewma_32_mean_32"])),
+    # blocks and events
+    "block_logmad": lambda: blocks.block_evidence(panels.panel(panels.TYPES)).keep("id", "block", *rounded(["level", "z", "pit"])),
+    "block_confirmation": lambda: blocks.confirmed(blocks.block_evidence(panels.panel(panels.TYPES))).keep("id", "block", *rounded(["hard", "soft", "sum"]), "hard_direction", "soft_direction", "sum_direction"),
+    "block_events": lambda: blocks.events(blocks.confirmed(blocks.block_evidence(panels.panel(panels.TYPES)))).keep("id", "block", "confirm", "episodes", "age_first", "age_last", "direction", "recovery", "state", ever="round(ever, 4)").keep("id", "block", "confirm", "age_first", "age_last", "direction", "recovery", "state", "ever", episodes="cast(episodes AS int)"),
+    "fresh_channels": lambda: blocks.fresh_channels(panels.panel()).keep("id", "block", "dominant", *rounded([*(f"n{k}" for k in range(8)), "severity"], 3)),
+    # states and forecasts
+    "movement_states": lambda: states.movement(_states()).keep("id", "t", "s1", "s2", "s3", "s4", "cast(run AS int) AS run", "cast(age AS int) AS age", "cast(changes AS int) AS changes", *rounded(["slope"])),
+    "future_targets": lambda: states.futures(_states()).keep("id", "t", *(f"{c}{h}" for h in states.HORIZONS for c in ("move", "state", "reversal")), *rounded([f"d{h}" for h in states.HORIZONS])),
+    "transition_law": lambda: _law().keep("a", "b", "series", p="round(p, 8)"),
+    "state_law": lambda: states.law(states.futures(_states()).add(now=states.category("x")), "now", "state4").keep("a", "b", "series", p="round(p, 8)"),
+    "path_surprises": lambda: states.surprises(states.movement(_states()), _law()).keep("id", "t", *rounded(["surprise", "reversal", "stay", "entropy"])),
+    # metrics
+    "ts_auc_cusum": lambda: metrics.ts_auc(_scores("round(b3, 9)")).keep("pairs", ts_auc="round(ts_auc, 6)"),
+    "ts_auc_tail": lambda: metrics.ts_auc(_scores("round(b5, 9)")).keep("pairs", ts_auc="round(ts_auc, 6)"),
     "ts_auc_by_time": lambda: metrics.auc_by_time(_scores("round(b3, 9)")).keep("t", "pos", "neg", "pairs", "wins", auc="round(auc, 9)"),
+    "ts_auc_by_fold": lambda: _folds().keep("fold", reference="round(reference, 8)", candidate="round(candidate, 8)"),
+    "pair_credit": lambda: metrics.pair_credit(_scores("round(b5, 9)")).keep("id", "t", "cast(neg AS bigint) AS neg", "credit"),
+    "bootstrap_ts_auc": lambda: metrics.weighted_ts_auc(_scored().keep("id", "t", "y", "p"), stats.draws(_ids(), 50)).keep("replicate", "pairs", ts_auc="round(ts_auc, 8)"),
+    "bootstrap_summary": lambda: metrics.weighted_ts_auc(_scored().keep("id", "t", "y", "p"), stats.draws(_ids(), 50)).where("replicate > 0").group(n="count(*)", mean="round(avg(ts_auc), 8)", low="round(percentile(ts_auc, 0.025e0), 8)", high="round(percentile(ts_auc, 0.975e0), 8)"),
+    "rank_influence": lambda: stats.influence(_scored()).keep("id", influence="round(influence, 10) + 0e0"),
+    "cluster_interval": lambda: stats.cluster_interval(_scored()).keep("series", *rounded(["ts_auc", "se", "low", "high"], 8)),
+    "slice_profile": lambda: stats.slices(_scored()).keep("kind", "low", "rows", "cast(positive AS bigint) AS positive", "pairs", *rounded(["mean", "p95", "ts_auc"], 7)),
+    "losses": lambda: stats.losses(_scored()).keep("rows", "series", *rounded(["log_loss", "brier", "recall0", "recall1", "balanced"], 8)),
+    "holm": lambda: stats.holm(stats.gains(_scored(), "b2", "b3", "b4", "b5", "b6", "b7")).keep("name", "series", *rounded(["gain", "se", "p_value", "adjusted"], 6)),
+    "promotion_gates": lambda: stats.gates(_folds()).keep("folds", "gain_ok", "worst_ok", *rounded(["mean", "median", "sd", "worst", "best", "delta_median", "delta_worst"], 7)),
+    "score_correlation": lambda: _scored().group(**{f"c{a}{b}": f"round(corr(b{a}, b{b}), 7)" for a in range(2, 8) for b in range(a + 1, 8)}),
+    # alarms
+    "null_threshold": lambda: alarms.threshold(_scored()).keep("n", "place", threshold="round(threshold, 8)"),
+    "first_alarm": lambda: alarms.first_alarms(_scored(), alarms.threshold(_scored())).keep("id", "n_o", "tau", "first", "has_break", "false_alarm", "premature", "detected", "delay"),
+    "alarm_summary": lambda: alarms.summary(alarms.first_alarms(_scored(), alarms.threshold(_scored(), 0.2))).keep(*(f"cast({c} AS bigint) AS {c}" for c in ("nulls", "breaks", "false_alarms", "premature", "detected", "within_10", "within_25", "within_50")), *rounded(["delay_mean", "delay_q50", "delay_q90", "rate", "rate_low", "rate_high"], 7)),
+    "age_normalised": lambda: _scored().add(q=alarms.age_normalised("p", 0.5)).keep("id", "t", *rounded(["q"], 6)),
+    # blends
+    "blend_equal": lambda: stats.blended(_scored(), "b4", "b5").keep("id", "t", *rounded(["blend"], 6)),
+    "blend_80_20": lambda: stats.blended(_scored(), "b5", "b6", 0.8).keep("id", "t", *rounded(["blend"], 6)),
+    "route_gap": lambda: stats.routed(_scored(), "b5", "b4").keep("id", "t", "route_weight", *rounded(["route"], 6)),
+    "route_ratio": lambda: stats.routed(_scored(), "b5", "b4", "ratio").keep("id", "t", "route_weight", *rounded(["route"], 6)),
+    "residual_complement": lambda: stats.residual_complement(_scored(), "b5", "b4", "b6").keep("id", "t", *rounded(["complemented"], 5)),
 }
 
 

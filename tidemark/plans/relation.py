@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -71,6 +71,9 @@ DUCK = {
 }
 
 
+STEP = re.compile(r"\bs[0-9a-f]{10}\b")
+
+
 class Relation:
     """A chain of named SELECT steps; the last one is the relation."""
 
@@ -114,21 +117,26 @@ class Relation:
         columns = ", ".join([*keys, *(f"{sql} AS {name}" for name, sql in aggregates.items())])
         return self.then(f"SELECT {columns} FROM $1" + (f" GROUP BY {', '.join(keys)}" if keys else ""))
 
-    def _text(self, macros: dict, tables) -> str:
-        body = ",\n".join(f"{n} AS ({sql})" for n, sql in self.steps)
-        text = f"WITH {body}\nSELECT * FROM {self.name}"
+    @staticmethod
+    def _spelled(sql: str, macros: dict, tables: Callable[[str], str]) -> str:
         for name, form in macros.items():
-            text = _replaced(text, name, form)
-        return re.sub(r"\{(\w+)\}", lambda m: tables(m[1]), text)
+            sql = _replaced(sql, name, form)
+        return re.sub(r"\{(\w+)\}", lambda m: tables(m[1]), sql)
 
     def sql(self) -> str:
         """The text for DuckDB, over views named like the tables."""
-        return self._text(DUCK, lambda name: name)
+        body = ",\n".join(f"{n} AS ({self._spelled(sql, DUCK, lambda t: t)})" for n, sql in self.steps)
+        return f"WITH {body}\nSELECT * FROM {self.name}"
 
     def frame(self, spark: SparkSession, sf_dir: str = "") -> DataFrame:
-        """The frame that Spark plans for it; tables are read from the folder."""
-        found = self._text(SPARK, lambda name: f"{{{name}}}" if name in self.frames else f"parquet.`{sf_dir}/{name}.parquet`")
-        return spark.sql(found, **self.frames) if self.frames else spark.sql(found)
+        """The frame that Spark plans for it; tables are read from the folder. Steps are analysed one after the other, as the analyser's passes are limited."""
+        done: dict[str, DataFrame] = {}
+        for name, sql in self.steps:
+            text = self._spelled(sql, SPARK, lambda t: f"{{{t}}}" if t in self.frames else f"parquet.`{sf_dir}/{t}.parquet`")
+            text = STEP.sub(lambda m: f"{{{m[0]}}}" if m[0] in done else m[0], text)
+            used = {k: v for k, v in (self.frames | done).items() if f"{{{k}}}" in text}
+            done[name] = spark.sql(text, **used)
+        return done[self.name]
 
 
 def rounded(columns: Iterable[str], digits: int = 4) -> list[str]:
