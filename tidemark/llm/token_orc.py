@@ -6,7 +6,7 @@ of single documents skip stripes and row groups. Every row keeps its file's numb
 after the files are read back: running sums within a file, plus the sums of the files before it.
 
 The ids are those of the tokenizers library. White space always ends a word of this tokenizer, and its normalizer doesn't reach over
-white space, so the library encodes each distinct run of other characters once and the ids of a run are kept.
+white space, so the library encodes each distinct run of other characters once and the ids of a run are kept; see RunEncoder.
 
 Null texts count as empty and hold only the end id. Rows that repeat a doc_id are ordered by text; a null doc_id sorts first. Other
 columns are ignored, whatever their names. An empty table gives no file and an empty result. Texts of any length are written whole.
@@ -14,10 +14,13 @@ columns are ignored, whatever their names. An empty table gives no file and an e
 
 from __future__ import annotations
 
+import re
 import zlib
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,28 +29,78 @@ from tidemark.llm.token_count import vocabulary_path
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
 #: ORC writer settings; the bloom filter's false positive rate and rows of a row index.
-ORC = {"compression": "zstd", "orc.stripe.size": str(64 << 20), "orc.row.index.stride": "2000", "orc.create.index": "true", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01"}
+ORC = {"compression": "lz4", "orc.stripe.size": str(64 << 20), "orc.row.index.stride": "2000", "orc.create.index": "true", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01"}
+
+
+#: Letters beside a-z that lower-casing and composition map to one such letter; words of these are one piece to the tokenizer, and so is the ASCII punctuation after them.
+LATIN = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
+#: Texts in a batch; the more, the fewer look-ups, as words repeat.
+RUN_ROWS = 8192
+#: Distinct words that the library gets as one text.
+JOINED = 512
 
 
 class RunEncoder:
-    """Little-endian 32-bit ids of texts; the library encodes runs that haven't been seen."""
+    """Little-endian 32-bit ids of texts; the library encodes words that haven't been seen.
+
+    Upper case A-Z is folded first, as the tokenizer folds it, but not in texts that may hold a special string. New words of Latin letters, less punctuation at
+    their end, go to the library in one text; as they are one piece each, their ids end where a token with the end-of-word mark does. Punctuation and other
+    runs are encoded one by one.
+    """
 
     def __init__(self, path: str, bound: int = 400_000) -> None:
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
-        self._tokenizer, self._kept, self._bound = Tokenizer.from_file(path), {}, bound
+        self._tokenizer, self._kept, self._old, self._bound = Tokenizer.from_file(path), {}, {}, bound
         self._tokenizer.no_truncation()
         self._tokenizer.no_padding()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        runs = [t.encode().split() for t in texts]
-        if len(self._kept) > self._bound:
-            self._kept.clear()
+        vocabulary = self._tokenizer.get_vocab(with_added_tokens=True)
+        # for plain words: the same model without the normaliser and splitter, which would leave them as they are
+        self._words = Tokenizer(self._tokenizer.model)
+        self._words.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _learn(self, new: list[bytes]) -> None:
         kept = self._kept
-        new = list({r for own in runs for r in own if r not in kept})
-        for r, e in zip(new, self._tokenizer.encode_batch_fast([r.decode() for r in new], add_special_tokens=False), strict=True):
+        stems = [r.rstrip(PUNCTUATION) for r in new]
+        plain = [w.isalpha() or LATIN.fullmatch(w) is not None for w in stems]
+        words = list(set(compress(stems, plain)).difference(kept))
+        for a in range(0, len(words), JOINED):
+            part = words[a : a + JOINED]
+            ids = np.array(self._words.encode_batch_fast([b" ".join(part).decode().lower()], add_special_tokens=False)[0].ids, "<u4")
+            raw, at = ids.tobytes(), [0, *((np.flatnonzero(self._ends[ids]) + 1) * 4).tolist()]
+            kept.update(zip(part, (raw[x:y] for x, y in zip(at, at[1:], strict=False)), strict=True))
+        other = list({r[len(w) :] if ok else r for r, w, ok in zip(new, stems, plain, strict=True) if len(r) > len(w) or not ok}.difference(kept))
+        for r, e in zip(other, self._tokenizer.encode_batch_fast([r.decode() for r in other], add_special_tokens=False), strict=True):
             kept[r] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(kept.__getitem__, own)) for own in runs]
+        kept.update((r, kept[w] + kept[r[len(w) :]]) for r, w, ok in zip(new, stems, plain, strict=True) if ok and len(r) > len(w))
+
+    def _ids(self, runs: list[bytes]) -> list[bytes]:
+        if len(self._kept) > self._bound:  # the young generation becomes the old one, from which what is still in use comes back
+            self._old, self._kept = self._kept, {}
+        new = [r for r in runs if r not in self._kept]
+        self._kept.update((r, self._old[r]) for r in new if r in self._old)
+        self._learn([r for r in new if r not in self._old])
+        return list(map(self._kept.__getitem__, runs))
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, end_id after each, and where each text's ids start; runs are numbered by Arrow and looked up once a batch."""
+        texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        split = pc.ascii_split_whitespace(texts)
+        runs = split.flatten().cast(pa.binary()).dictionary_encode()
+        own = self._ids(runs.dictionary.to_pylist())
+        size = np.fromiter(map(len, own), np.int32, len(own)) // 4
+        first, held = np.cumsum(size, dtype=np.int32) - size, np.frombuffer(b"".join(own), "<i4")
+        number = runs.indices.to_numpy()
+        n = size[number]
+        upto = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+        at = np.repeat(first[number] - upto[:-1], n)
+        at += np.arange(len(at), dtype=np.int32)
+        cuts = upto[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        return np.insert(held[at], cuts[1:], end_id), cuts + np.arange(len(cuts), dtype=np.int32)
 
 
 def token_rows(docs: DataFrame, path: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -55,19 +108,17 @@ def token_rows(docs: DataFrame, path: str, end_id: int = END_ID, id_col: str = "
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, RUN_ROWS)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
     def make():
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, end = RunEncoder(path), np.array([end_id], "<u4").tobytes()
+        encoder = RunEncoder(path)
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids = [x + end for x in encoder.encode(batch.column("text").to_pylist())]
-            at = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
-            flat = pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(at), flat)], names=["doc_id", "ids"])
+            ids, at = encoder.encode(batch.column("text"), end_id)
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(at), pa.array(ids))], names=["doc_id", "ids"])
 
         return one
 
