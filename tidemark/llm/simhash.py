@@ -126,10 +126,7 @@ def near_pairs(prints: DataFrame, radius: int = 3, blocks: int | None = None, id
     """
     blocks = blocks or radius + 3
     members = prints.filter(prints[print_col].isNotNull()).select(prints[id_col].alias("doc_id"), prints[print_col].alias("class"))
-    classes = members.select("class").distinct().withColumn("bits", F.conv("class", 16, 10).cast("decimal(20,0)"))
-    # decimal to signed 64 bits
-    signed = F.when(F.col("bits") >= F.lit(2**63), F.col("bits") - F.lit(2**64)).otherwise(F.col("bits")).cast("long")
-    classes = classes.select("class", signed.alias("bits"))
+    classes = members.select("class").distinct().withColumn("bits", F.conv("class", 16, -10).cast("long"))
     cuts = [round(i * BITS / blocks) for i in range(blocks + 1)]
     keys = []
     for i, chosen in enumerate(combinations(range(blocks), blocks - radius)):
