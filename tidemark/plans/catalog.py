@@ -10,13 +10,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.operators import alarms, blocks, metrics, splits, states
+from tidemark.functions import kit, linear
+from tidemark.operators import alarms, blocks, graph, learners, metrics, splits, states
 from tidemark.operators import base_bank as bank
 from tidemark.operators import evidence as ev
 from tidemark.operators import statistics as stats
 from tidemark.operators import whitening as white
-from tidemark.plans.relation import Relation, rounded
+from tidemark.operators.components import components
+from tidemark.plans.relation import DUCK, Relation, rounded
 from tidemark.sources import panel as panels
+from tidemark.streaming import scores as streams
 
 KEYS = ["id", "t", "y"]
 
@@ -135,7 +138,7 @@ RELATIONS: dict[str, Callable[[], Relation]] = {
     "channel_serial": lambda: ev.channel(white.standard(_innovations("arch1"), "raw_energy", "c"), "c", serial=True).keep("id", "t", "rho", *rounded(ev.CHANNEL)).keep("id", "t", *ev.CHANNEL, rho="round(rho, 6)"),
     "log_energy": lambda: ev.channel(white.standard(_innovations("arch1").add(le="ln(raw_energy + 1e-4)"), "le", "c"), "c").keep("id", "t", *rounded(ev.CHANNEL)),
     "markov_transitions": lambda: ev.transitions(panels.panel()).keep("id", "t", *rounded(ev.TRANSITIONS)),
-    "rank_sign_channel": _evidence(ev.rank_sign, ev.CHANNEL, digits=6),
+    "rank_sign_channel": _evidence(ev.rank_sign, ev.CHANNEL),
     **{f"product_channel_{k}": _evidence(ev.lag_product, ev.CHANNEL, kind=k) for k in ("signed", "squared", "absolute", "sign", "rank")},
     "scale_likelihood": _evidence(ev.scale_likelihood, ev.SCALE_LIKELIHOOD, "arch1"),
     "scale_likelihood_conditional": _evidence(ev.scale_likelihood, ev.SCALE_LIKELIHOOD, "arch1", x="conditional_energy"),
@@ -194,13 +197,133 @@ RELATIONS: dict[str, Callable[[], Relation]] = {
 }
 
 
+#: A fixed small forest over bank columns, as an exported model would be.
+FOREST: list[learners.Tree] = [
+    ("abs_mean_z_20", 2.5, ("quantile_l1_5", 1.2, -0.4, 0.1), ("log_variance_ratio_20", 0.3, 0.5, 0.9)),
+    ("cusum_positive", 1.5, ("tail2_delta_20", 1.0, -0.3, 0.4), 0.6),
+    ("evidence_max", 2.0, -0.2, ("ar_mean_z_80", 1.0, 0.2, 0.7)),
+]
+
+
+def _forest() -> Relation:
+    return learners.forest_score(bank.features(panels.panel()), FOREST, -0.5).keep("id", "t", *rounded(["margin", "p"], 6))
+
+
+def _graph() -> Relation:
+    rows = white.standard(_innovations("arch1"))
+    return graph.coordinates(rows.where("t > 0").add(c0="w", c1="w * w", c2="abs(w)", c3="u").keep("id", "t", "c0", "c1", "c2", "c3"), ["c0", "c1", "c2", "c3"])
+
+
+RELATIONS |= {
+    "forest_score": _forest,
+    "edge_gains": lambda: graph.gains(_graph(), "t <= 100").keep("id", "source", "target", *rounded(["gain"], 5)),
+    "graph_edges": lambda: graph.edges(_graph()).keep("source", "target", "supported", *rounded(["gain"], 6)),
+}
+
+
+def whitened_high(spark: SparkSession, sf_dir: str, order: int = 8) -> DataFrame:
+    """Innovations of a higher order: normal equations by series, a solve for each, and the filter as lags."""
+    rows = white.standardised(panels.panel()).keep("id", "t", "y", "tau", "cnt", "n_h", "value", "v")
+    base = rows.frame(spark, sf_dir)
+    fitted = Relation.of(linear.autoregressions(base, order))
+    terms = " + ".join(f"k{i} * v{i}" for i in range(1, order + 1))
+    rows = Relation.of(base).add(**{f"v{i}": f"lag(v, {i}) OVER (PARTITION BY id ORDER BY t)" for i in range(1, order + 1)})
+    rows = rows.then(f"SELECT $1.id, $1.t, $1.y, $1.tau, $1.cnt, $1.n_h, $1.value, v - ({terms}) AS r FROM $1 JOIN $2 ON $1.id = $2.id", fitted)
+    return white.normalised(rows, "sd").where("t > 0").keep("id", "t", *rounded(["r", "z"])).frame(spark, sf_dir)
+
+
+def _links() -> Relation:
+    return splits.neighbours(splits.fingerprints(panels.panel()), 2).where("place = 1").keep("id AS a", "other AS b")
+
+
+def series_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of series that nearest-neighbour links connect, with the smallest id as representative."""
+    return components(_links().frame(spark, sf_dir))
+
+
+def series_groups_sql() -> str:
+    links = _links()
+    steps = ",\n".join(f"{n} AS ({links._spelled(sql, DUCK, lambda t: t)})" for n, sql in links.steps)
+    return f"""WITH RECURSIVE {steps},
+both_ways AS (SELECT a, b FROM {links.name} UNION SELECT b, a FROM {links.name}),
+reach(a, b) AS (SELECT a, a FROM both_ways UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a)
+SELECT a AS node, min(b) AS component FROM reach GROUP BY a"""
+
+
+def _references(spec: panels.Spec) -> Relation:
+    rows = bank.referenced(panels.panel(spec))
+    return rows.where("t <= 0").group("id", mean_h="max(mean_h)", sd_h="max(sd_h)")
+
+
+def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running statistics of user series as a keyed stream over four micro-batches."""
+    online = panels.panel(panels.USERS).where("t > 0").keep("id", "t", "value").frame(spark, sf_dir)
+    references = _references(panels.USERS).frame(spark, sf_dir)
+    rows = streams.drained(spark, streams.scored(streams.replayed(spark, online), references))
+    return Relation.of(rows).keep("id", "t", *rounded(["z", "cusum_positive", "cusum_negative", "running_mean", "ewma"])).frame(spark)
+
+
+def _streamed() -> Relation:
+    """The same in one batch."""
+    rows = bank.features(panels.panel(panels.USERS)).add(ewma=kit.ewma("z", streams.ALPHA))
+    return rows.keep("id", "t", *rounded(["z", "cusum_positive", "cusum_negative", "running_mean", "ewma"]))
+
+
+LEARNED = ["abs_mean_z_5", "abs_mean_z_20", "log_variance_ratio_20", "quantile_l1_20", "lag1_delta_20", "evidence_decayed_max"]
+
+
+def _design(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = splits.assigned(_ids()).where("fold >= 0").keep("id", "fold")
+    rows = bank.features(panels.panel()).then("SELECT $1.*, $2.fold FROM $1 JOIN $2 ON $1.id = $2.id", rows).keep("id", "t", "y", "fold", *LEARNED)
+    frame = rows.frame(spark, sf_dir)
+    return frame.filter("fold <> 0"), frame.filter("fold = 0")
+
+
+def fit_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out scores of a ridge logistic regression on bank columns."""
+    train, test = _design(spark, sf_dir)
+    return learners.logistic(train, test, LEARNED).select("id", "t", "y", "p")
+
+
+def fit_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out scores of a ridge regression from one pass of sums."""
+    train, test = _design(spark, sf_dir)
+    return learners.linear_score(test, learners.ridge_fit(train, LEARNED, "y")).select("id", "t", "y", "p")
+
+
+def fit_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out scores of a boosted forest, which is fitted by Spark ML and scored as an expression."""
+    train, test = _design(spark, sf_dir)
+    trees, bias = learners.exported(learners.boosted(train, LEARNED, trees=8), LEARNED)
+    return learners.forest_score(Relation.of(test), trees, bias).keep("id", "t", "y", "p").frame(spark)
+
+
+def offset_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A baseline score corrected by two bank columns, its logit as offset."""
+    train, test = _design(spark, sf_dir)
+    base = "abs_mean_z_20 / (3e0 + abs_mean_z_20)"
+    logit = f"ln(greatest({base}, 1e-6) / greatest(1e0 - {base}, 1e-6))"
+    return learners.offset_logistic(train.selectExpr("*", f"{logit} AS base"), test.selectExpr("*", f"{logit} AS base"), ["quantile_l1_20", "log_variance_ratio_20"], "base").select("id", "t", "y", "p")
+
+
+FRAMES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "whitened_ar8": whitened_high,
+    "series_groups": series_groups,
+    "stream_scores": stream_scores,
+    "fit_logistic": fit_logistic,
+    "fit_ridge": fit_ridge,
+    "fit_boosted": fit_boosted,
+    "offset_correction": offset_correction,
+}
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queries()["ts_auc_cusum"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: lambda spark, sf_dir, make=make: make().frame(spark, sf_dir) for name, make in RELATIONS.items()}
+    return {name: lambda spark, sf_dir, make=make: make().frame(spark, sf_dir) for name, make in RELATIONS.items()} | FRAMES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: make().sql() for name, make in RELATIONS.items()}
+    return {name: make().sql() for name, make in RELATIONS.items()} | {"stream_scores": _streamed().sql(), "series_groups": series_groups_sql()}
