@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from tidemark.operators.components import checkpointed
 from tidemark.plans.relation import Relation
 
 
@@ -41,3 +45,20 @@ def weighted_ts_auc(scores: Relation, weights: Relation) -> Relation:
     times = ties.group("replicate", "t", wins="sum(pos * below)", pairs="sum(pos) * sum(neg)")
     rows = times.group("replicate", wins="sum(wins)", pairs="sum(pairs)")
     return rows.keep("replicate", pairs="cast(pairs AS bigint)", ts_auc="CASE WHEN pairs > 0 THEN wins / pairs ELSE 0.5e0 END")
+
+
+def auc_by_time_spread(scores: DataFrame) -> DataFrame:
+    """auc_by_time for panels with so many series that a single time is too much for a task.
+
+    Equal scores of a time are added up first. Ranges of (t, p) are then dealt to tasks, so a time can span several; a task counts the negatives below within
+    its own range, and the table of ranges, one row for each task and time, gives what lies in the ranges before.
+    """
+    ties = scores.groupBy("t", "p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    ties = checkpointed(ties.repartitionByRange("t", "p").withColumn("part", F.spark_partition_id()))
+    ranges = ties.groupBy("t", "part").agg(F.sum("neg").alias("n"))
+    ranges = ranges.select("t", "part", (F.sum("n").over(Window.partitionBy("t").orderBy("part")) - F.col("n")).alias("before"))
+    own = F.sum("neg").over(Window.partitionBy("t", "part").orderBy("p")) - F.col("neg") / 2
+    parts = ties.withColumn("own", own).groupBy("t", "part").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum(F.col("pos") * F.col("own")).alias("wins"))
+    rows = parts.join(ranges, ["t", "part"]).groupBy("t").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum(F.col("wins") + F.col("pos") * F.col("before")).alias("wins"))
+    pairs = F.col("pos") * F.col("neg")
+    return rows.select("t", "pos", "neg", pairs.alias("pairs"), F.when(pairs > 0, F.col("wins")).otherwise(0.0).alias("wins"), F.when(pairs > 0, F.col("wins") / pairs).alias("auc"))

@@ -9,9 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.functions import kit, linear
-from tidemark.operators import alarms, blocks, graph, learners, metrics, splits, states
+from tidemark.operators import alarms, blocks, graph, inputs, learners, metrics, panels as pairs, splits, states
 from tidemark.operators import base_bank as bank
 from tidemark.operators import evidence as ev
 from tidemark.operators import statistics as stats
@@ -221,6 +222,45 @@ RELATIONS |= {
 }
 
 
+def _boot(*columns: str) -> Relation:
+    parts = [metrics.weighted_ts_auc(_scored().keep("id", "t", "y", p=c), stats.draws(_ids(), 30)).keep("replicate", name=f"'{c}'", value="ts_auc") for c in columns]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.then("SELECT * FROM $1 UNION ALL SELECT * FROM $2", p)
+    return rows
+
+
+RELATIONS |= {
+    # inputs and constants of the history
+    "startup_corrected": lambda: inputs.startup(bank.features(panels.panel())).keep("id", "t", *rounded(_scale("mean_z", "log_variance_ratio", "lag1_delta"))),
+    "order_mismatch": lambda: inputs.mismatch(panels.panel()).keep("id", "t", *rounded(inputs.MISMATCH)),
+    "moving_variance": lambda: inputs.moving_variance(white.first_order(panels.panel())).where("online > 0").keep("id", "t", *rounded(["z"])),
+    "rank_gaussian": lambda: inputs.quantile_mapped(bank.referenced(panels.panel())).where("t > 0").keep("id", "t", *rounded(["pm", "g"], 5)),
+    "h_context": lambda: inputs.contexts(panels.panel()).keep("id", *rounded(inputs.CONTEXTS, 5)),
+    "context_bands": lambda: inputs.terciles(inputs.contexts(panels.panel()), "acf1").keep("id", "band"),
+    "magnitude_dependence": lambda: inputs.magnitude(_innovations()).keep("id", "t", *rounded(inputs.MAGNITUDE)),
+    "semideviation_channel": lambda: ev.channel(inputs.semideviation(_innovations()).keep("id", "t", "y", "s"), "s").keep("id", "t", *rounded(ev.CHANNEL)),
+    "lower_quarter_channel": lambda: ev.channel(inputs.semideviation(_innovations()).keep("id", "t", "y", "b"), "b").keep("id", "t", *rounded(ev.CHANNEL)),
+    "forward_energy_channel": lambda: ev.channel(inputs.forward_energy(_innovations("arch1")).keep("id", "t", "y", "fz"), "fz").keep("id", "t", *rounded(ev.CHANNEL)),
+    "directional_bayes": _evidence(inputs.directional_bayes, ["negative", "positive"]),
+    "drift_identity": _evidence(inputs.drift_identity, [f"{c}_{i}" for c in ("sum", "form") for i in range(4)]),
+    "resetting_memory": _evidence(inputs.resetting, ["fast", "level", "log_level"]),
+    "null_growth": lambda: inputs.null_growth(white.standard(_innovations(), "z", "w").keep("id", "t", "n_h", z="w")).keep("id", "age", *rounded(["cut"], 5)),
+    # pairs and forecasts
+    "pair_matrix": lambda: pairs.pair_matrix(_scored()).keep("pos", "neg", "times", "wins"),
+    "rank_cells": lambda: pairs.rank_cells(_scored().keep("id", "t", "y", "p", "b4"), "CASE WHEN b4 > 0.3e0 THEN 1 ELSE 0 END").keep("cell", "other", "pairs", *rounded(["wins", "auc"], 6)),
+    "pair_mass": lambda: pairs.pair_mass(_scored()).keep("low", "rows", "pairs", *rounded(["share"], 8)),
+    "sampled_pairs": lambda: pairs.sampled_pairs(_scored(), 4).keep("pos", "neg", "t", *rounded(["weight"], 6)),
+    "pair_loss": lambda: pairs.pair_loss(pairs.sampled_pairs(_scored(), 4)).keep("pairs", *rounded(["mass", "loss", "slope"], 6)),
+    "forecast_comparators": lambda: pairs.comparators(states.futures(_states())).keep("rows", *rounded(["persistence", "majority", "own", "own_loss"], 7)),
+    "common_range": lambda: pairs.common_range(states.movement(_states()).where("s1 < 3"), "x", "s1", 8).keep("states", "usable", *rounded(["low", "high", "retained"], 6)),
+    "nested_folds": lambda: pairs.nested(splits.assigned(_ids())).keep("id", "outer_fold", "inner_fold"),
+    "catalog_winners": lambda: pairs.winners(_boot("b4", "b5", "b6")).keep("name", "cast(wins AS bigint) AS wins", *rounded(["mean", "own", "low", "high"], 7)),
+    "role_pivot": lambda: pairs.pivoted(splits.assigned(_ids()).keep("id", "role", fold="fold + 1"), "role", "fold", [0, 1, 2, 3, 4, 5], "id"),
+    "alarm_age_auc": lambda: metrics.ts_auc(_scored().keep("id", "t", "y", p=f"round({alarms.age_normalised('p', 1.0)}, 9)")).keep("pairs", ts_auc="round(ts_auc, 6)"),
+}
+
+
 def whitened_high(spark: SparkSession, sf_dir: str, order: int = 8) -> DataFrame:
     """Innovations of a higher order: normal equations by series, a solve for each, and the filter as lags."""
     rows = white.standardised(panels.panel()).keep("id", "t", "y", "tau", "cnt", "n_h", "value", "v")
@@ -306,9 +346,16 @@ def offset_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learners.offset_logistic(train.selectExpr("*", f"{logit} AS base"), test.selectExpr("*", f"{logit} AS base"), ["quantile_l1_20", "log_variance_ratio_20"], "base").select("id", "t", "y", "p")
 
 
+def spread_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The time-wise AUC with times spread over tasks."""
+    rows = metrics.auc_by_time_spread(_scores("round(b3, 9)").frame(spark, sf_dir))
+    return rows.select("t", "pos", "neg", "pairs", "wins", F.round("auc", 9).alias("auc"))
+
+
 FRAMES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "whitened_ar8": whitened_high,
     "series_groups": series_groups,
+    "ts_auc_spread": spread_auc,
     "stream_scores": stream_scores,
     "fit_logistic": fit_logistic,
     "fit_ridge": fit_ridge,
@@ -326,4 +373,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: make().sql() for name, make in RELATIONS.items()} | {"stream_scores": _streamed().sql(), "series_groups": series_groups_sql()}
+    return {name: make().sql() for name, make in RELATIONS.items()} | {"stream_scores": _streamed().sql(), "ts_auc_spread": RELATIONS["ts_auc_by_time"]().sql(), "series_groups": series_groups_sql()}
