@@ -9,7 +9,7 @@ Z = 1.959963984540054
 
 def threshold(scores: Relation, alpha: float = 0.05) -> Relation:
     """The finite-sample order statistic of the maxima of series without a break; no row if the rank exceeds their number."""
-    maxima = scores.where("tau IS NULL").group("id", top="max(p)").add(place="row_number() OVER (ORDER BY top, id)", n="count(*) OVER ()")
+    maxima = scores.where("tau IS NULL").group("id", top="max(p)").add(place="cast(row_number() OVER (ORDER BY top, id) AS bigint)", n="count(*) OVER ()")
     return maxima.where(f"place = cast(ceil((n + 1) * {num(1 - alpha)}) AS bigint)").keep("n", "place", threshold="top")
 
 

@@ -20,7 +20,7 @@ def assigned(ids: Relation, key: str = "id", seed: int = SEED) -> Relation:
     """Adds role (the fifth with the least hash is sealed) and fold (by another hash; -1 for the sealed)."""
     rows = ids.add(h_role=digest(f"concat('{seed}:role:', cast({key} AS string))"), h_fold=digest(f"concat('{seed}:fold:', cast({key} AS string))"))
     fifth = "3" * 64  # floor(2**256 / 5) in hexadecimal
-    return rows.add(role=f"CASE WHEN h_role < '{fifth}' THEN 'LOCAL_FINAL_SEAL' ELSE 'DEVELOPMENT_POOL' END").add(fold=f"CASE WHEN h_role < '{fifth}' THEN -1 ELSE {hex_sum_mod('h_fold', FOLDS)} END")
+    return rows.add(role=f"CASE WHEN h_role < '{fifth}' THEN 'LOCAL_FINAL_SEAL' ELSE 'DEVELOPMENT_POOL' END").add(fold=f"CASE WHEN h_role < '{fifth}' THEN cast(-1 AS bigint) ELSE cast({hex_sum_mod('h_fold', FOLDS)} AS bigint) END")
 
 
 def halves(ids: Relation, seed: int = SEED) -> Relation:
@@ -78,7 +78,7 @@ def fingerprints(rows: Relation, points: int = 16) -> Relation:
 def neighbours(prints: Relation, k: int = 8, slack: int = 3) -> Relation:
     """The k nearest series of a length within slack of each other's, by root mean square distance of fingerprints, with the largest difference."""
     pairs = prints.then(f"SELECT a.id, b.id AS other, sqrt(avg((a.v - b.v) * (a.v - b.v))) AS rmse, max(abs(a.v - b.v)) AS most FROM $1 AS a JOIN $1 AS b ON a.g = b.g AND a.id <> b.id AND abs(a.n_h - b.n_h) <= {slack} GROUP BY a.id, b.id")
-    return pairs.add(place="row_number() OVER (PARTITION BY id ORDER BY rmse, other)").where(f"place <= {k}")
+    return pairs.add(place="cast(row_number() OVER (PARTITION BY id ORDER BY rmse, other) AS bigint)").where(f"place <= {k}")
 
 
 def audited(rows: Relation) -> Relation:

@@ -58,7 +58,7 @@ def _replaced(text: str, name: str, form) -> str:
 
 SPARK = {
     "KNOWN": lambda x: f"last_value({x}) IGNORE NULLS",
-    "EXPAND": lambda a, b: f"explode(sequence({a}, {b}))",
+    "EXPAND": lambda a, b: f"explode(sequence(cast({a} AS bigint), cast({b} AS bigint)))",
     "JOINED": lambda x, order: f"listagg({x}, ',') WITHIN GROUP (ORDER BY {order})",
 }
 DUCK = {
