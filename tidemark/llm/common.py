@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch. Texts average a few kB, and single ones can be very long.
 BATCH_ROWS, BATCH_BYTES = 512, 32 << 20
@@ -46,6 +47,11 @@ def staged(df: DataFrame, name: str, fmt: str = "parquet", **options: str) -> tu
     return spark.read.format(fmt).schema(df.schema).load(path), path
 
 
+def bounded(df: DataFrame, rows: int = 10_000) -> DataFrame | None:
+    """df marked for broadcast if it has at most so many rows, which is counted; else None. df should be checkpointed."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else None
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with per-task state: make() runs once a task and gives the function for its batches."""
 

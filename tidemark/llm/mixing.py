@@ -19,9 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpointed, table
+from tidemark.llm.common import bounded, checkpointed, table
 
 WEIGHTS, SHARE, EPOCHS, SEED = (5, 2, 1), 1.5, 2, "mix-1"
+#: Parts of a source where goals are too many to be sent to every task.
+SALTS = 32
 
 
 def words(text: Column) -> Column:
@@ -70,21 +72,31 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
 
 def _part(place: Column, size: Column) -> Column:
     """Words that a document gives beyond its whole epochs."""
-    return F.when(place < F.col("cut"), size).when(place == F.col("cut"), F.floor(size * F.col("cut_rest") / F.col("at_cut")).cast("long")).otherwise(F.lit(0)).cast("long")
+    return F.when(place < F.col("_mix_cut"), size).when(place == F.col("_mix_cut"), F.floor(size * F.col("_mix_cut_rest") / F.col("_mix_at_cut")).cast("long")).otherwise(F.lit(0)).cast("long")
+
+
+def _with_goals(rows: DataFrame, goals: DataFrame, no_source: Column, source: Column, doc_id: Column) -> DataFrame:
+    """rows with their source's goal. Goals are one row for each source: few are sent to every task; many are joined, each source cut into SALTS parts."""
+    goals = goals.select(*(F.col(c).alias(f"_mix_{c}") for c in goals.columns))
+    same = (no_source == F.col("_mix_no_source")) & (source == F.col("_mix_source"))
+    if (few := bounded(goals)) is not None:
+        return rows.join(few, same)
+    salt = F.coalesce(F.pmod(F.xxhash64(doc_id), F.lit(SALTS)), F.lit(0))
+    goals = goals.withColumn("_mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.join(goals, same & (salt == F.col("_mix_salt"))).drop("_mix_salt")
 
 
 def mixture(docs: DataFrame, **how) -> DataFrame:
     """One row for each document: doc_id, size, source_size, target, taken (its words in the mix, repeats counted)."""
     sized, goals = plan(docs, **how)
-    rows = sized.join(goals, ["no_source", "source"])
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + _part(F.col("place"), F.col("size"))).alias("taken"))
+    rows = _with_goals(sized, goals, sized["no_source"], sized["source"], sized["doc_id"])
+    return rows.select("doc_id", "size", F.col("_mix_source_size").alias("source_size"), F.col("_mix_target").alias("target"), (F.col("_mix_whole") * F.col("size") + _part(F.col("place"), F.col("size"))).alias("taken"))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, **how) -> DataFrame:
     """The rows of docs as the mix has them: each as often as it is taken, the one at a cut rounded to a whole time; a document without words as often as the whole epochs."""
     _, goals = plan(docs, id_col, text_col, source_col, seed, **how)
-    goals = goals.select(*(F.col(c).alias(f"_mix_{c}") for c in goals.columns))
-    rows = docs.join(goals, (docs[source_col].isNull() == F.col("_mix_no_source")) & (F.coalesce(docs[source_col], F.lit("")) == F.col("_mix_source")))
+    rows = _with_goals(docs, goals, docs[source_col].isNull(), F.coalesce(docs[source_col], F.lit("")), docs[id_col])
     place = _order(docs[id_col].cast("long"), seed)
     half = F.col("_mix_cut_rest") * 2 >= F.col("_mix_at_cut")
     times = F.col("_mix_whole") + F.when((place < F.col("_mix_cut")) | ((place == F.col("_mix_cut")) & half), 1).otherwise(0)
