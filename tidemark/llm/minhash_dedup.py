@@ -26,12 +26,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import checkpointed, map_rows, small_batches, staged, table
-from tidemark.llm.components import components
 from tidemark.llm.shingles import Words, mixed, shingle_set
+from tidemark.operators.components import components
 
 RING, BANDS, SEED = 1 << 20, 40, 20240229
 #: Classes that are judged together, and columns of the incidence matrix at once.
@@ -187,8 +187,9 @@ def _confirmed(clustered: DataFrame, percent: int) -> DataFrame:
 
     small = _grouped(clustered.filter(F.col("size") <= BLOCK).select("cluster", "node", "items"), ["cluster"], whole)
     large = clustered.filter(F.col("size") > BLOCK).withColumn("n", F.length("items"))
-    place = F.row_number().over(Window.partitionBy("cluster").orderBy("n", "node"))
-    blocked = large.select("cluster", "node", "n").withColumn("block", F.floor((place - 1) / BLOCK))
+    # ranges of (cluster, n): a row's number in its partition gives its block, so a cluster may spread over many tasks
+    order = ["cluster", "n", "node"]
+    blocked = checkpointed(large.select(*order).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("block", F.floor(F.monotonically_increasing_id() / BLOCK)))
     blocks = blocked.groupBy("cluster", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     left, right = (blocks.select("cluster", F.col("block").alias(s), F.col("low").alias(f"{s}_low"), F.col("high").alias(f"{s}_high")) for s in ("left", "right"))
     pairs = left.join(right, "cluster").filter((F.col("left") <= F.col("right")) & (F.col("left_high") * 100 >= F.col("right_low") * percent)).select("cluster", "left", "right")
