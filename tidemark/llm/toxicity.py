@@ -28,6 +28,8 @@ TRAIN_DOCS, TRAIN_CHARS, STEPS, SEED = 1500, 100_000, 120, 11
 #: Weight of the toxic class in training; under a half, so that clean documents are left alone.
 TOXIC_SHARE = 0.3
 FOLDS, HELD_OUT, EMPTY_SCORE = 5, 0, 0.0
+#: Words whose subwords are made at once.
+GRAM_WORDS = 1 << 14
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Characters of a word that n-grams are taken of; a longer one is cut into words of this length.
 WORD_CHARS = 40
@@ -39,6 +41,11 @@ def held_out(doc_id: Column) -> Column:
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the words' subwords, the n-grams and the marked word itself, and the number of the word that each belongs to, ascending."""
+    parts = [(a, _grams(words[a : a + GRAM_WORDS])) for a in range(0, len(words), GRAM_WORDS)]
+    return np.concatenate([b for _, (b, _) in parts]), np.concatenate([o + a for a, (_, o) in parts])
+
+
+def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     marked = [f"<{w}>" for w in words]
     size = np.array([len(m) for m in marked])
     first = np.concatenate([[0], np.cumsum(size)[:-1]])
@@ -47,6 +54,8 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     place = (np.arange(len(points)) - first[owner]).astype(np.uint64)
     found, owners = [np.add.reduceat(mixed(points + (place << np.uint64(32))), first)], [np.arange(len(words))]
     for n in GRAMS:
+        if len(points) < n:
+            continue
         h = points[: len(points) - n + 1]
         for i in range(1, n):
             h = mixed(h) + points[i : len(points) - n + 1 + i]
@@ -55,7 +64,7 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         owners.append(owner[: len(h)][inside])
     owner = np.concatenate(owners)
     order = np.argsort(owner, kind="stable")
-    return (mixed(np.concatenate(found)) % np.uint64(BUCKETS)).astype(np.int64)[order], owner[order]
+    return (mixed(np.concatenate(found)) % np.uint64(BUCKETS)).astype(np.int32)[order], owner[order].astype(np.int32)
 
 
 def words_of(run: str) -> list[str]:
@@ -118,7 +127,7 @@ def train(texts: list[str], labels: list[int], steps: int = STEPS, seed: int = S
     """Fit embeddings and softmax to document labels by gradient steps over all documents at once."""
     y = np.array(labels, np.float64)
     vocabulary: dict[str, int] = {}
-    docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for r in t.split() for w in words_of(r)], np.int64) for t in texts]
+    docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for r in t.split() for w in words_of(r)], np.int32) for t in texts]
     keep = [i for i, d in enumerate(docs) if len(d)]
     docs, y = [docs[i] for i in keep], y[keep]
     if not len(y) or y.min() == y.max():
@@ -132,10 +141,10 @@ def train(texts: list[str], labels: list[int], steps: int = STEPS, seed: int = S
     width = np.minimum(WINDOW, n)
     # windows of document i start at its words first[i] .. first[i] + n[i] - width[i]
     count = n - width + 1
-    w_doc = np.repeat(np.arange(len(n)), count)
+    w_doc = np.repeat(np.arange(len(n), dtype=np.int32), count)
     w_first = np.concatenate([[0], np.cumsum(count)[:-1]])
-    w_start = first[w_doc] + np.arange(count.sum()) - w_first[w_doc]
-    w_size = width[w_doc]
+    w_start = ((first - w_first)[w_doc] + np.arange(count.sum())).astype(np.int32)
+    w_size = width.astype(np.int32)[w_doc]
     balance = np.where(y == 1, TOXIC_SHARE / y.sum(), (1 - TOXIC_SHARE) / (1 - y).sum())
 
     rng = np.random.default_rng(seed)
