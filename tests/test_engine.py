@@ -8,11 +8,12 @@ import pytest
 
 from tidemark.functions import kit, linear
 from tidemark.functions.numeric import normal_distribution, normal_quantile
-from tidemark.operators import alarms, base_bank, blocks, evidence, metrics, splits, states, statistics
+from tidemark.operators import alarms, base_bank, blocks, evidence, inputs, metrics, splits, states, statistics
 from tidemark.operators import whitening as white
 from tidemark.operators.components import components
 from tidemark.plans.relation import Relation, num
 from tidemark.sources import panel as panels
+from tidemark.sources import synthetic
 
 
 def series(n=3, h=120, o=90, seed=0):
@@ -352,3 +353,64 @@ def test_linear_solvers(spark):
 def test_components(spark):
     got = components(spark.createDataFrame([(5, 3), (3, 9), (1, 2), (7, 7)], "a long, b long")).collect()
     assert sorted(map(tuple, got)) == [(1, 1), (2, 1), (3, 3), (5, 3), (9, 3)]
+
+
+def test_long_average(spark):
+    x = np.random.default_rng(6).normal(size=9000)
+    rel = Relation.of(spark.createDataFrame([(0, i + 1, float(v)) for i, v in enumerate(x)], "id long, t long, x double"))
+    got = evidence.long_average(rel, "x", "m", 0.2, "3e0").keep("t", "m").frame(spark).orderBy("t").toPandas().m
+    m, want = 3.0, []
+    for v in x:
+        m += 0.2 * (v - m)
+        want.append(m)
+    assert np.allclose(got, want, atol=1e-12)
+
+
+def test_spread_auc_equals_auc(spark):
+    rng = np.random.default_rng(7)
+    df = pd.DataFrame({"id": np.repeat(np.arange(40), 10), "t": np.tile(np.arange(10), 40), "p": rng.integers(0, 9, 400) / 9, "y": rng.integers(0, 2, 400)})
+    rows = spark.createDataFrame(df)
+    a = metrics.auc_by_time(Relation.of(rows)).frame(spark).orderBy("t").toPandas()
+    b = metrics.auc_by_time_spread(rows).orderBy("t").toPandas()
+    assert np.allclose(a[["t", "pos", "neg", "pairs", "wins", "auc"]], b[["t", "pos", "neg", "pairs", "wins", "auc"]])
+
+
+def test_quantile_map(spark, rows, frame):
+    got = table(spark, inputs.quantile_mapped(base_bank.referenced(rows), knots=17), "v", "pm")
+    for i, own in frame.groupby("id"):
+        h = own[own.period == 1].value.to_numpy()
+        p = np.linspace(0.001, 0.999, 17)
+        part = got[got.id == i]
+        assert np.allclose(part.pm, np.interp(part.v, np.quantile(h, p), p))
+
+
+def test_drift_identity_holds(spark, rows):
+    got = inputs.drift_identity(white.innovations(rows)).frame(spark).toPandas()
+    for k in range(4):
+        assert np.allclose(got[f"sum_{k}"], got[f"form_{k}"])
+
+
+def test_second_order_is_stable(spark):
+    walk = np.cumsum(np.cumsum(np.random.default_rng(8).normal(size=300)))
+    f = pd.DataFrame([(0, i, 1 if i < 200 else 2, float(v)) for i, v in enumerate(walk)], columns=["id", "time", "period", "value"])
+    r = inputs.second_order(panels.of_frame(spark.createDataFrame(f))).keep("a1", "a2", "shrink").frame(spark).first()
+    a1, a2 = r.a1 * r.shrink, r.a2 * r.shrink
+    assert np.abs(np.roots([1, -a1, -a2])).max() < 1
+
+
+def test_evidence_reacts_to_its_break(spark):
+    points, labels = synthetic.cohort(spark, ("no_break", "mean_up", "variance_up", "ar_up"), 3)
+    kinds = points.select("id", "kind").distinct().toPandas().set_index("id").kind
+    inn = white.innovations(panels.of_frame(points, labels=labels))
+    last = evidence.likelihood_ratios(inn).where("t = 240").keep("id", "glr_mean", "glr_variance").frame(spark).toPandas().set_index("id").join(kinds).groupby("kind").mean()
+    assert last.glr_mean["mean_up"] > 5 * last.glr_mean["no_break"]
+    assert last.glr_variance["variance_up"] > 5 * last.glr_variance["no_break"]
+    lag = evidence.dependence(inn).where("t = 240").keep("id", "signed_lag1_32").frame(spark).toPandas().set_index("id").join(kinds).groupby("kind").mean()
+    assert lag.signed_lag1_32["ar_up"] > lag.signed_lag1_32["no_break"] + 2
+
+
+def test_one_shuffle_for_a_bank(spark):
+    from tidemark.plans import catalog
+
+    plan = catalog.queries()["evidence_scale"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "l_comment" not in plan

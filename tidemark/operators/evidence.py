@@ -32,6 +32,19 @@ def noise(half: float, floor: float = 1e-10) -> str:
     return kit.ewma_noise(alpha(half), floor)
 
 
+def long_average(rows: Relation, x: str, name: str, weight: float, start: str = "0e0") -> Relation:
+    """Adds kit.ewma() for series of any length: chunks of as many points as keep the powers in range, each with what the chunk before left.
+
+    A chunk spans 300 time constants, so that what lies two chunks back is below the smallest double.
+    """
+    rate = -math.log1p(-weight)
+    span = max(1, int(300 / rate))
+    rows = rows.add(**{f"{name}_chunk": f"cast(floor((t - 1) / {num(span)}) AS bigint)", f"{name}_place": f"(t - 1) % {span} + 1"})
+    rows = rows.add(**{f"{name}_own": f"sum({x} * exp({num(rate)} * {name}_place)) OVER (PARTITION BY id, {name}_chunk ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"})
+    rows = rows.add(**{f"{name}_left": f"coalesce(KNOWN(CASE WHEN {name}_place = {span} THEN {name}_own END) {kit.BEFORE}, 0e0)"})
+    return rows.add(**{name: f"{start} * exp(-{num(rate)} * t) + {num(weight)} * exp(-{num(rate)} * {name}_place) * ({name}_own + {num(math.exp(-rate * span))} * {name}_left)"})
+
+
 def scores(rows: Relation, x: str, name: str, halves: tuple[int, ...] = HALVES, floor: float = 1e-10) -> Relation:
     """Adds moving averages of x from 0 in units of their noise, one for each half-life."""
     return rows.add(**{f"{name}_{h}": f"{kit.ewma(x, alpha(h))} / {noise(h, floor)}" for h in halves})

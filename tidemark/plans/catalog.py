@@ -246,6 +246,7 @@ RELATIONS |= {
     "drift_identity": _evidence(inputs.drift_identity, [f"{c}_{i}" for c in ("sum", "form") for i in range(4)]),
     "resetting_memory": _evidence(inputs.resetting, ["fast", "level", "log_level"]),
     "null_growth": lambda: inputs.null_growth(white.standard(_innovations(), "z", "w").keep("id", "t", "n_h", z="w")).keep("id", "age", *rounded(["cut"], 5)),
+    "long_averages": lambda: ev.long_average(ev.long_average(bank.referenced(panels.panel(panels.TYPES)).where("t > 0"), "z", "fast", 0.2), "z", "slow", 0.0125).keep("id", "t", *rounded(["fast", "slow"], 6)),
     # pairs and forecasts
     "pair_matrix": lambda: pairs.pair_matrix(_scored()).keep("pos", "neg", "times", "wins"),
     "rank_cells": lambda: pairs.rank_cells(_scored().keep("id", "t", "y", "p", "b4"), "CASE WHEN b4 > 0.3e0 THEN 1 ELSE 0 END").keep("cell", "other", "pairs", *rounded(["wins", "auc"], 6)),

@@ -43,11 +43,10 @@ def finite(x: str) -> str:
 
 def numbered(spec: Spec) -> Relation:
     """id, number, n (place in the series from 1), cnt and raw."""
-    order = ", ".join(spec.order)
-    return Relation.select(
-        f"SELECT {spec.key} AS id, cast({spec.number} AS bigint) AS number, cast({spec.value} AS double) AS raw, "
-        f"row_number() OVER (PARTITION BY {spec.key} ORDER BY {order}) AS n, count(*) OVER (PARTITION BY {spec.key}) AS cnt FROM {{{spec.table}}}"
-    )
+    # the key is named first, so that every later window finds the rows partitioned by it
+    rows = Relation.select(f"SELECT {spec.key} AS id, cast({spec.number} AS bigint) AS number, cast({spec.value} AS double) AS raw, {', '.join(spec.order)} FROM {{{spec.table}}}")
+    rows = rows.add(n=f"row_number() OVER (PARTITION BY id ORDER BY {', '.join(spec.order)})", cnt="count(*) OVER (PARTITION BY id)")
+    return rows.keep("id", "number", "raw", "n", "cnt")
 
 
 def panel(spec: Spec = LINEITEM, shift: float = SHIFT) -> Relation:
