@@ -99,6 +99,9 @@ def test_main_text_of_a_page():
         ("<ARTICLE><P CLASS='x>y'>a &am</ARTICLE>", "a &am"),
         ("<article><p><b>a<br><p>b</article>", "a b"),
         ("<article>a<script>b</article>", "a"),
+        ("<div class='content has-sidebar'><article>a</article><div class='sidebar-left'>b</div></div>", "a"),
+        ("<div id='promo'><article>a</article></div>", "a"),
+        ("<div class='commentlist'>x</div><div class='cookieBanner'>y</div>", ""),
     ],
 )
 def test_odd_pages(page, text):
@@ -185,3 +188,11 @@ def test_verdicts(spark, bound):
         assert sorted(map(tuple, got), key=lambda r: r[0]) == want
     assert url_filter.verdicts(df.limit(0), RULES).count() == 0
     assert {r.verdict for r in url_filter.verdicts(df, []).collect()} == {"allow"}
+
+
+def test_any_markup_is_survived():
+    rng = random.Random(9)
+    parts = ["<", ">", "</", "<p>", "</p>", "<div class='ad'>", "</div>", "<article>", "</article>", "<script>", "</script>", "<!--", "-->", "&amp", "&#x110000;", "&#0;", '"', "'", "=", "text", " ", "\n", "<b", "hidden", "<br/>", "<x-y z=1>", "é", "<!", "]]>", "<a href='"]
+    for _ in range(3000):
+        text = html_extract.main_text("".join(rng.choice(parts) for _ in range(rng.randint(0, 40))))
+        assert text == " ".join(text.split())

@@ -37,12 +37,25 @@ HIDDEN_NAMES = frozenset(
     "reply respond share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
 )
 
+HIDDEN_STEMS = ("advert", "breadcrumb", "commentform", "commentlist", "commentsection", "cookie", "newsletter", "sidebar", "sponsor", "subscri")
+#: A class like has-sidebar or content-with-ads says what stands beside the text.
+BESIDE = frozenset("has no with without".split())
+
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*+\"|'[^']*+'|[^>\"']++|[\"'](?=[^>]*+>))*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 WORD = re.compile(r"[a-z]+")
 
 
-def _hidden(name: str, attributes: str, in_main: bool) -> bool:
+def _named(value: str) -> bool:
+    """Whether a class or id names boilerplate."""
+    for token in value.split():
+        words = WORD.findall(token)
+        if BESIDE.isdisjoint(words) and any(w in HIDDEN_NAMES or w.startswith(HIDDEN_STEMS) for w in words):
+            return True
+    return False
+
+
+def _hidden(name: str, attributes: str, in_main: bool, names: bool) -> bool:
     if name in HIDDEN or (name == "header" and not in_main):
         return True
     if name in ("html", "body") or (name in MAIN and not in_main) or "=" not in attributes and "hidden" not in attributes:
@@ -51,7 +64,7 @@ def _hidden(name: str, attributes: str, in_main: bool) -> bool:
         key, value = key.lower(), "".join(values).lower()
         if key == "role" and value.strip() in HIDDEN_ROLES or key == "aria-hidden" and value == "true":
             return True
-        if key in ("class", "id") and not (in_main and value.strip() in ("header", "footer")) and any(w in HIDDEN_NAMES for w in WORD.findall(value)):
+        if names and key in ("class", "id") and not (in_main and value.strip() in ("header", "footer")) and _named(value):
             return True
     return bool(re.search(r"(?:^|\s)hidden(?:\s|$|=)", ATTRIBUTE.sub(lambda m: m[0] if m[1].lower() == "hidden" else "", attributes)))
 
@@ -59,7 +72,8 @@ def _hidden(name: str, attributes: str, in_main: bool) -> bool:
 class Lines:
     """The lines of a page in order: their text, empty where it is left out, and the number of the article they stand in, or 0."""
 
-    def __init__(self, page: str) -> None:
+    def __init__(self, page: str, names: bool = True) -> None:
+        self.buried = False  # an article stood in something that was left out
         self.text: list[str] = []
         self.main: list[int] = []
         self._open: list[tuple[str, bool, int]] = []
@@ -83,7 +97,8 @@ class Lines:
                 at = len(page) if end < 0 else end
                 self._open.append((name, False, self._in))
             elif name not in VOID and not m[3].endswith("/"):
-                hides = _hidden(name, m[3], bool(self._in))
+                hides = _hidden(name, m[3], bool(self._in), names)
+                self.buried |= name in MAIN and bool(self._hidden) and not self._in
                 self._hidden += hides
                 if name in MAIN and not self._hidden and not self._in:
                     self._mains += 1
@@ -140,6 +155,8 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     lines = Lines(page)
+    if lines.buried and not any(lines.text):  # class names misled: judge by elements and roles alone
+        lines = Lines(page, names=False)
     articles: dict[int, list[str]] = {}
     for text, article in zip(lines.text, lines.main, strict=True):
         if article:
