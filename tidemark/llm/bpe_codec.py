@@ -35,14 +35,14 @@ class Codec:
         v = self.vocabulary = Vocabulary(path)
         self._merges = v.merges
         self._parts = {new: (a, b, rank) for (a, b), (rank, new) in reversed(v.merges.items())}
-        self._left, self._right = {}, {}
+        self._left, self._right, self._span = {}, {}, max(v.token_bytes) + 1
         self._automaton = ahocorasick.Automaton()
         for i, raw in v.token_bytes.items():
             if i not in v.specials.values():
                 self._automaton.add_word(raw.decode("latin-1"), (len(raw), i))
         self._automaton.make_automaton()
-        self._compatible = Kept(lambda pair: self._check(*pair), 1_000_000)
-        pretoken = Kept(lambda p: ",".join(map(str, self.pretoken_ids(p.encode()))), 250_000)
+        self._compatible = Kept(lambda pair: self._check(*divmod(pair, self._span)), 250_000)
+        pretoken = Kept(lambda p: ",".join(map(str, self.pretoken_ids(p.encode()))), 150_000)
         self._units = Units(lambda found: ",".join(map(pretoken.__getitem__, found)))
         self._bytes = {str(i): raw for i, raw in v.token_bytes.items()}
 
@@ -78,12 +78,12 @@ class Codec:
 
     def pretoken_ids(self, raw: bytes) -> list[int]:
         n = len(raw)
-        last, size, compatible = [-1] * (n + 1), [0] * (n + 1), self._compatible
+        last, size, compatible, span = [-1] * (n + 1), [0] * (n + 1), self._compatible, self._span
         for end, (length, token) in self._automaton.iter(raw.decode("latin-1")):
             end += 1
             if last[end] < 0:
                 start = end - length
-                if start == 0 or (last[start] >= 0 and compatible[last[start], token]):
+                if start == 0 or (last[start] >= 0 and compatible[last[start] * span + token]):
                     last[end], size[end] = token, length
         ids = []
         while n:
