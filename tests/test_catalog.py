@@ -89,3 +89,13 @@ def test_storage(spark, tmp_path):
     storage.append_ledger(rows, str(tmp_path / "ledger"))
     storage.append_ledger(rows, str(tmp_path / "ledger"))
     assert spark.read.csv(str(tmp_path / "ledger"), header=True).count() == 4
+
+
+def test_cross_fit_leaves_a_fold_out(spark):
+    rng = np.random.default_rng(1)
+    data = [(int(k % 3), float(a), float(b), float(a - b + 0.1 * e)) for k, (a, b, e) in enumerate(rng.normal(size=(90, 3)))]
+    rows = spark.createDataFrame(data, "fold long, a double, b double, y double")
+    got = learners.ridge_cross_fit(rows, ["a", "b"], "y", alpha=1.0).toPandas()
+    for k in range(3):
+        want = learners.linear_score(rows.filter(f"fold = {k}"), learners.ridge_fit(rows.filter(f"fold <> {k}"), ["a", "b"], "y", alpha=1.0)).toPandas()
+        assert np.allclose(got[got.fold == k].sort_values("y").p, want.sort_values("y").p)

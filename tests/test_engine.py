@@ -414,3 +414,39 @@ def test_one_shuffle_for_a_bank(spark):
 
     plan = catalog.queries()["evidence_scale"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "l_comment" not in plan
+
+
+def test_online_scorer_is_the_batch(spark, rows, frame):
+    from tidemark.streaming.online import OnlineScorer, infer
+
+    bank = base_bank.features(rows)
+    got = table(spark, bank, "z", "cusum_positive", "cusum_negative", "running_mean")
+    for i, own in frame.groupby("id"):
+        h, o = own[own.period == 1].value.tolist(), own[own.period == 2].value.tolist()
+        scorer = OnlineScorer.of(h)
+        want = pd.DataFrame([scorer.update(v) for v in o])
+        assert np.allclose(got[got.id == i][["z", "cusum_positive", "cusum_negative", "running_mean"]], want[["z", "cusum_positive", "cusum_negative", "running_mean"]])
+    half, scorer = len(o) // 2, OnlineScorer.of(h)
+    first = [scorer.update(v)["p"] for v in o[:half]]
+    kept = scorer.snapshot()
+    [scorer.update(1e9) for _ in range(5)]
+    scorer.restore(kept)
+    assert first + [scorer.update(v)["p"] for v in o[half:]] == want.p.tolist()
+    assert list(infer([(h, iter(o))])) == [None, *want.p]
+    seen = []
+
+    def points():
+        for v in o[:5]:
+            seen.append(v)
+            yield v
+
+    for n, p in enumerate(infer([(h, points())])):
+        assert len(seen) == n
+
+
+def test_score_whitening(spark, rows):
+    got = evidence.score_evidence(inputs.second_order(rows).add(r="r2")).frame(spark)
+    m = got.select("maa", "mbb", "mab", "raa", "rbb", "rab").distinct().toPandas()
+    for r in m.itertuples():
+        root = np.array([[r.raa, r.rab], [r.rab, r.rbb]])
+        assert np.allclose(root @ root, [[r.maa, r.mab], [r.mab, r.mbb]], rtol=1e-6)

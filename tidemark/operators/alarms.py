@@ -33,3 +33,12 @@ def summary(alarms: Relation) -> Relation:
 def age_normalised(p: str, beta: float) -> str:
     """p discounted for the time that has passed: p / (p + (1 - p) (1 + t / 128) ** beta), with t from 0."""
     return f"({p} / ({p} + (1e0 - {p}) * pow(1e0 + (t - 1) / 128e0, {num(beta)})))"
+
+
+def bootstrapped(alarms: Relation, weights: Relation) -> Relation:
+    """Intervals of the alarm rates over whole-series resamples (replicate, id, weight); replicate 0 is the sample."""
+    rows = alarms.then("SELECT $2.replicate, $2.weight, $1.has_break, $1.false_alarm, $1.premature, $1.detected FROM $1 JOIN $2 ON $1.id = $2.id", weights)
+    rates = {"false_rate": ("false_alarm", "1 - has_break"), "premature_rate": ("premature", "has_break"), "detected_rate": ("detected", "has_break")}
+    rows = rows.group("replicate", **{k: f"sum(weight * {a}) / nullif(sum(weight * ({b})) * 1e0, 0e0)" for k, (a, b) in rates.items()})
+    parts = " UNION ALL ".join(f"SELECT '{k}' AS rate, max(CASE WHEN replicate = 0 THEN {k} END) AS own, percentile(CASE WHEN replicate > 0 THEN {k} END, 0.025e0) AS low, percentile(CASE WHEN replicate > 0 THEN {k} END, 0.975e0) AS high FROM $1" for k in rates)
+    return rows.then(parts)

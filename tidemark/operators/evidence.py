@@ -558,3 +558,24 @@ def sequential_ratios(rows: Relation, decay: float = 0.995) -> Relation:
 
 
 SEQUENTIAL = ["c_mean", "c_scale", "c_tail"]
+
+
+def score_evidence(rows: Relation, ages: tuple[int, ...] = AGES) -> Relation:
+    """Evidence that the autoregression itself has changed: the innovation times its two regressors, whitened by the history's covariance.
+
+    The inverse square root of a 2 by 2 covariance M with d = sqrt(det) and s = sqrt(trace + 2 d) is the inverse of (M + d I) / s, a closed form.
+    """
+    rows = rows.add(a0="r * v1", b0="r * v2").add(am=history("avg", "a0"), bm=history("avg", "b0"))
+    rows = rows.add(a="a0 - am", b="b0 - bm").add(maa=f"{history('avg', 'a * a')} + 1e-8", mbb=f"{history('avg', 'b * b')} + 1e-8", mab=history("avg", "a * b"))
+    rows = rows.add(d="sqrt(greatest(maa * mbb - mab * mab, 1e-16))").add(s="sqrt(maa + mbb + 2e0 * d)").add(raa="(maa + d) / s", rbb="(mbb + d) / s", rab="mab / s").add(rd="raa * rbb - rab * rab")
+    rows = rows.add(ua="(rbb * a - rab * b) / rd", ub="(raa * b - rab * a) / rd").where("t > 0")
+    rows = scores(scores(rows, "ua", "ua"), "ub", "ub").add(norm="(ua * ua + ub * ub) / 2e0 - 1e0")
+    rows = cusums(rows, "norm", "norm", (0.25,)).add(ca=kit.running("ua"), cb=kit.running("ub"))
+    rows = suffixes(suffixes(rows, "ca", "sa", ages), "cb", "sb", ages)
+    rows = rows.add(**{f"g{n}": f"(sa{n} * sa{n} + sb{n} * sb{n}) / {num(2 * n)}" for n in ages}, **{f"f{n}": f"CASE WHEN t >= {n} THEN {num(math.log(w) - math.log1p(n))} + 0.5e0 * (sa{n} * sa{n} + sb{n} * sb{n}) / {num(1 + n)} END" for n, w in zip(ages, widths(ages), strict=True)})
+    rows = rows.add(glr=f"greatest({', '.join(f'g{n}' for n in ages)}, 0e0)", width=_known([f"g{n}" for n in ages], widths(ages)))
+    rows = rows.add(bayes=log_mix([f"f{n}" for n in ages], "width"), **{f"size_{h}": f"sqrt(ua_{h} * ua_{h} + ub_{h} * ub_{h})" for h in HALVES})
+    return rows.add(glr_max=kit.running("glr", "max"), glr_decayed=kit.decayed_max("glr", math.exp(-math.log(2) / 32)))
+
+
+SCORE_EVIDENCE = [*(f"size_{h}" for h in HALVES), "norm_up_025", "glr", "bayes", "glr_max", "glr_decayed"]

@@ -71,6 +71,31 @@ def ridge_fit(rows: DataFrame, columns: list[str], response: str, weight: str |
     return {"columns": columns, "coefficients": k.tolist(), "intercept": float(mean[-1] - k @ mean[:-1])}
 
 
+def ridge_cross_fit(rows: DataFrame, columns: list[str], response: str, fold: str = "fold", alpha: float = 100.0, name: str = "p") -> DataFrame:
+    """rows with out-of-fold scores: sums by fold in one pass, and each fold's model from the sums of the others."""
+    every = [*columns, response]
+    pairs = [(a, b) for i, a in enumerate(every) for b in every[i:]]
+    sums = rows.groupBy(fold).agg(F.count("*").alias("n"), *(F.sum(c).alias(f"s_{c}") for c in every), *(F.sum(F.col(a) * F.col(b)).alias(f"p_{a}_{b}") for a, b in pairs)).collect()
+    total = {k: sum(r[k] for r in sums) for k in sums[0].asDict() if k != fold} if sums else {}
+    score = F.lit(None).cast("double")
+    for r in sums:
+        rest = {k: v - r[k] for k, v in total.items()}
+        n = max(rest["n"], 1)
+        mean = np.array([rest[f"s_{c}"] / n for c in every])
+        cross = np.zeros((len(every), len(every)))
+        for a, b in pairs:
+            i, j = every.index(a), every.index(b)
+            cross[i, j] = cross[j, i] = rest[f"p_{a}_{b}"] / n
+        cross -= np.outer(mean, mean)
+        scale = np.sqrt(np.maximum(np.diag(cross)[:-1], 1e-12))
+        k = np.linalg.solve(cross[:-1, :-1] / np.outer(scale, scale) * n + alpha * np.eye(len(columns)), cross[:-1, -1] / scale * n) / scale
+        line = F.lit(float(mean[-1] - k @ mean[:-1]))
+        for c, v in zip(columns, k, strict=True):
+            line = line + F.lit(float(v)) * F.col(c)
+        score = F.when(F.col(fold) == r[fold], line).otherwise(score)
+    return rows.withColumn(name, score)
+
+
 def linear_score(rows: DataFrame, model: dict, name: str = "p") -> DataFrame:
     total = F.lit(model["intercept"])
     for c, k in zip(model["columns"], model["coefficients"], strict=True):

@@ -64,3 +64,9 @@ def surprises(rows: Relation, table: Relation, state: str = "s1") -> Relation:
     rows = rows.then("SELECT $1.*, $2.p0, $2.p1, $2.p2, $2.entropy FROM $1 JOIN $2 ON $1.state = $2.a", wide)
     rows = rows.then("SELECT $1.*, $2.p AS issued FROM $1 LEFT JOIN $2 ON $1.before = $2.a AND $1.state = $2.b", table)
     return rows.add(surprise="-ln(greatest(coalesce(issued, 1e0), 1e-8))", reversal="CASE state WHEN 0 THEN p2 WHEN 2 THEN p0 ELSE 0e0 END", stay="CASE state WHEN 0 THEN p0 WHEN 1 THEN p1 ELSE p2 END")
+
+
+def state_products(rows: Relation, state: str, value: str, states: int = 3, scale: float = 3.0) -> Relation:
+    """Adds one column a state: the bounded value where the series is in it, else 0; and the columns of the fixed basis."""
+    rows = rows.add(bounded=f"tanh({value} / {num(scale)})")
+    return rows.add(**{f"in_{k}": f"CASE WHEN {state} = {k} THEN bounded ELSE 0e0 END" for k in range(states)}, base_abs="abs(bounded)", base_rise="greatest(bounded, 0e0)", base_fall="greatest(-bounded, 0e0)", base_square="bounded * bounded")

@@ -247,6 +247,10 @@ RELATIONS |= {
     "resetting_memory": _evidence(inputs.resetting, ["fast", "level", "log_level"]),
     "null_growth": lambda: inputs.null_growth(white.standard(_innovations(), "z", "w").keep("id", "t", "n_h", z="w")).keep("id", "age", *rounded(["cut"], 5)),
     "long_averages": lambda: ev.long_average(ev.long_average(bank.referenced(panels.panel(panels.TYPES)).where("t > 0"), "z", "fast", 0.2), "z", "slow", 0.0125).keep("id", "t", *rounded(["fast", "slow"], 6)),
+    "score_evidence": lambda: ev.score_evidence(inputs.second_order(panels.panel()).add(r="r2")).keep("id", "t", *rounded(ev.SCORE_EVIDENCE, 3)),
+    "state_products": lambda: states.state_products(states.movement(_states()), "s1", "slope").keep("id", "t", *rounded(["in_0", "in_1", "in_2", "base_abs", "base_rise", "base_fall", "base_square"], 5)),
+    "state_orientation": lambda: metrics.ts_auc(states.movement(_states()).where("s1 < 3").keep("id", "t", "y", "s1", p="round(x, 9)"), "s1").keep("s1", "pairs", *rounded(["ts_auc"], 7)),
+    "alarm_bootstrap": lambda: alarms.bootstrapped(alarms.first_alarms(_scored(), alarms.threshold(_scored(), 0.2)), stats.draws(_ids(), 40)).keep("rate", *rounded(["own", "low", "high"], 6)),
     # pairs and forecasts
     "pair_matrix": lambda: pairs.pair_matrix(_scored()).keep("pos", "neg", "times", "wins"),
     "rank_cells": lambda: pairs.rank_cells(_scored().keep("id", "t", "y", "p", "b4"), "CASE WHEN b4 > 0.3e0 THEN 1 ELSE 0 END").keep("cell", "other", "pairs", *rounded(["wins", "auc"], 6)),
@@ -332,6 +336,12 @@ def fit_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learners.linear_score(test, learners.ridge_fit(train, LEARNED, "y")).select("id", "t", "y", "p")
 
 
+def cross_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Out-of-fold scores of a ridge regression on all development series."""
+    train, test = _design(spark, sf_dir)
+    return learners.ridge_cross_fit(train.unionByName(test), LEARNED, "y").select("id", "t", "y", "fold", "p")
+
+
 def fit_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Held-out scores of a boosted forest, which is fitted by Spark ML and scored as an expression."""
     train, test = _design(spark, sf_dir)
@@ -360,6 +370,7 @@ FRAMES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_scores": stream_scores,
     "fit_logistic": fit_logistic,
     "fit_ridge": fit_ridge,
+    "cross_fit": cross_fit,
     "fit_boosted": fit_boosted,
     "offset_correction": offset_correction,
 }
