@@ -26,7 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import checkpointed, map_rows, small_batches, staged, table
@@ -187,9 +187,12 @@ def _confirmed(clustered: DataFrame, percent: int) -> DataFrame:
 
     small = _grouped(clustered.filter(F.col("size") <= BLOCK).select("cluster", "node", "items"), ["cluster"], whole)
     large = clustered.filter(F.col("size") > BLOCK).withColumn("n", F.length("items"))
-    # ranges of (cluster, n): a row's number in its partition gives its block, so a cluster may spread over many tasks
+    # a class's rank by size in its cluster, without a task that sees a whole cluster: its place in a range of (cluster, n), and the counts of the ranges before
     order = ["cluster", "n", "node"]
-    blocked = checkpointed(large.select(*order).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("block", F.floor(F.monotonically_increasing_id() / BLOCK)))
+    ranged = checkpointed(large.select(*order).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()).withColumn("part", F.shiftright("at", 33)))
+    parts = ranged.groupBy("cluster", "part").agg(F.count("*").alias("rows"), F.min("at").alias("first"))
+    parts = parts.withColumn("before", F.sum("rows").over(Window.partitionBy("cluster").orderBy("part")) - F.col("rows"))
+    blocked = ranged.join(parts, ["cluster", "part"]).select(*order, F.floor((F.col("before") + F.col("at") - F.col("first")) / BLOCK).alias("block"))
     blocks = blocked.groupBy("cluster", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     left, right = (blocks.select("cluster", F.col("block").alias(s), F.col("low").alias(f"{s}_low"), F.col("high").alias(f"{s}_high")) for s in ("left", "right"))
     pairs = left.join(right, "cluster").filter((F.col("left") <= F.col("right")) & (F.col("left_high") * 100 >= F.col("right_low") * percent)).select("cluster", "left", "right")
