@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from functools import lru_cache
 from itertools import compress
 
 import numpy as np
@@ -41,6 +42,23 @@ RUN_ROWS = 8192
 JOINED = 512
 
 
+@lru_cache(2)
+def _loaded(path: str) -> tuple:
+    """Once a process: the tokenizer, the same model without the normaliser and splitter, which leave plain words as they are, and whether each id ends a word."""
+    from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    words = Tokenizer(tokenizer.model)
+    words.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+    vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+    ends = np.zeros(max(vocabulary.values()) + 1, bool)
+    ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+    return tokenizer, words, ends
+
+
 class RunEncoder:
     """Little-endian 32-bit ids of texts; the library encodes words that haven't been seen.
 
@@ -50,18 +68,8 @@ class RunEncoder:
     """
 
     def __init__(self, path: str, bound: int = 400_000) -> None:
-        from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
-
-        self._tokenizer, self._kept, self._old, self._bound = Tokenizer.from_file(path), {}, {}, bound
-        self._tokenizer.no_truncation()
-        self._tokenizer.no_padding()
-        vocabulary = self._tokenizer.get_vocab(with_added_tokens=True)
-        # for plain words: the same model without the normaliser and splitter, which would leave them as they are
-        self._words = Tokenizer(self._tokenizer.model)
-        self._words.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
-        self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self._ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self._tokenizer, self._words, self._ends = _loaded(path)
+        self._kept, self._old, self._bound = {}, {}, bound
 
     def _learn(self, new: list[bytes]) -> None:
         kept = self._kept
@@ -88,18 +96,23 @@ class RunEncoder:
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, end_id after each, and where each text's ids start; runs are numbered by Arrow and looked up once a batch."""
-        texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        special = pc.match_substring(texts, "<|")
+        texts = pc.if_else(special, texts, pc.ascii_lower(texts)) if pc.any(special).as_py() else pc.ascii_lower(texts)
         split = pc.ascii_split_whitespace(texts)
+        del texts
+        where = split.offsets.to_numpy() - split.offsets[0].as_py()
         runs = split.flatten().cast(pa.binary()).dictionary_encode()
+        del split
         own = self._ids(runs.dictionary.to_pylist())
         size = np.fromiter(map(len, own), np.int32, len(own)) // 4
         first, held = np.cumsum(size, dtype=np.int32) - size, np.frombuffer(b"".join(own), "<i4")
         number = runs.indices.to_numpy()
         n = size[number]
+        del own, runs
         upto = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
         at = np.repeat(first[number] - upto[:-1], n)
         at += np.arange(len(at), dtype=np.int32)
-        cuts = upto[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        cuts = upto[where]
         return np.insert(held[at], cuts[1:], end_id), cuts + np.arange(len(cuts), dtype=np.int32)
 
 
