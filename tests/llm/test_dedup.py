@@ -134,3 +134,13 @@ def test_near_pairs_equal_all_pairs(spark):
         want = sorted((a, b, d) for i, a in enumerate(distinct) for b in distinct[i + 1 :] if (d := (int(a, 16) ^ int(b, 16)).bit_count()) <= radius)
         assert sorted(map(tuple, pairs.collect())) == want
         assert members.filter(F.col("class").isNull()).count() == 0 and members.count() == len(prints)
+
+
+def test_words_of_long_texts_hash_as_those_of_short_ones(monkeypatch):
+    from tidemark.llm import shingles
+
+    text = " ".join(corpus(9)) + "\x0b\x0c\ttail " + "x" * 5000 + "\n"
+    whole = Words().hashes(text)
+    assert len(whole) == len(text.encode().split()) and len(set(whole.tolist())) == len(set(text.lower().encode().split()))
+    monkeypatch.setattr(shingles, "BLOCK", 64)
+    assert np.array_equal(whole, Words().hashes(text))

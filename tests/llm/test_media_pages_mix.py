@@ -160,6 +160,14 @@ def test_mixture_meets_its_targets(spark):
         assert abs(taken.get(s, 0) - v) <= 201
 
 
+def test_many_sources_are_joined_in_parts(spark, nasty, monkeypatch):
+    few = sorted(map(tuple, mixing.mixture(nasty).collect()), key=str)
+    rows = sorted(map(tuple, mixing.mixed(nasty).collect()), key=str)
+    monkeypatch.setattr(mixing, "bounded", lambda df: None)
+    assert sorted(map(tuple, mixing.mixture(nasty).collect()), key=str) == few
+    assert sorted(map(tuple, mixing.mixed(nasty).collect()), key=str) == rows
+
+
 def test_mixture_of_nasty_rows(nasty, nothing):
     got = mixing.mixture(nasty).collect()
     assert len(got) == 11 and {r.size for r in got if r.doc_id in (1, 2)} == {0}
