@@ -99,3 +99,14 @@ def test_cross_fit_leaves_a_fold_out(spark):
     for k in range(3):
         want = learners.linear_score(rows.filter(f"fold = {k}"), learners.ridge_fit(rows.filter(f"fold <> {k}"), ["a", "b"], "y", alpha=1.0)).toPandas()
         assert np.allclose(got[got.fold == k].sort_values("y").p, want.sort_values("y").p)
+
+
+def test_interaction_gains_where_there_is_one(spark):
+    from tidemark.operators.factorized import interaction_gain
+
+    rng = np.random.default_rng(2)
+    a, b = rng.integers(0, 3, (2, 4000))
+    for goal, least in (((a + b) % 3, 0.5), (a, -0.05)):
+        rows = spark.createDataFrame([(int(k % 40), int(x), int(y), int(z)) for k, (x, y, z) in enumerate(zip(a, b, goal, strict=True))], "id long, a int, b int, goal int")
+        got = interaction_gain(rows.filter("id < 30"), rows.filter("id >= 30"), "a", "b", "goal").toPandas()
+        assert len(got) == 10 and (got.gain.mean() > least) and (least > 0 or got.gain.mean() < 0.05)

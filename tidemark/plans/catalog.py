@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import kit, linear
-from tidemark.operators import alarms, blocks, graph, inputs, learners, metrics, panels as pairs, splits, states
+from tidemark.operators import alarms, blocks, factorized, graph, inputs, learners, metrics, panels as pairs, splits, states
 from tidemark.operators import base_bank as bank
 from tidemark.operators import evidence as ev
 from tidemark.operators import statistics as stats
@@ -314,6 +314,13 @@ def _streamed() -> Relation:
     return rows.keep("id", "t", *rounded(["z", "cusum_positive", "cusum_negative", "running_mean", "ewma"]))
 
 
+def pair_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the movement and the level of a series say together about its next movement, on held-out series."""
+    rows = states.movement(_states()).add(level=states.category("x"), goal="lead(s1, 2) OVER (PARTITION BY id ORDER BY t)").where("s1 < 3 AND level < 3 AND goal < 3")
+    rows = rows.then("SELECT $1.id, $1.t, $1.s1, $1.level, $1.goal, $2.fold FROM $1 JOIN $2 ON $1.id = $2.id", splits.assigned(_ids()).where("fold >= 0").keep("id", "fold")).frame(spark, sf_dir)
+    return factorized.interaction_gain(rows.filter("fold > 1"), rows.filter("fold <= 1"), "s1", "level", "goal")
+
+
 LEARNED = ["abs_mean_z_5", "abs_mean_z_20", "log_variance_ratio_20", "quantile_l1_20", "lag1_delta_20", "evidence_decayed_max"]
 
 
@@ -365,6 +372,7 @@ def spread_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FRAMES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "whitened_ar8": whitened_high,
+    "pair_interaction": pair_interaction,
     "series_groups": series_groups,
     "ts_auc_spread": spread_auc,
     "stream_scores": stream_scores,
