@@ -24,7 +24,7 @@ from tidemark.llm.common import map_rows, small_batches, table
 from tidemark.llm.shingles import mixed
 
 BUCKETS, DIM, WINDOW, GRAMS = 1 << 16, 8, 3, (3, 4, 5)
-TRAIN_DOCS, TRAIN_CHARS, STEPS, SEED = 1500, 100_000, 120, 11
+TRAIN_DOCS, TRAIN_CHARS, STEPS, SEED = 1200, 100_000, 120, 11
 #: Weight of the toxic class in training; under a half, so that clean documents are left alone.
 TOXIC_SHARE = 0.3
 FOLDS, HELD_OUT, EMPTY_SCORE = 5, 0, 0.0
@@ -134,6 +134,7 @@ def train(texts: list[str], labels: list[int], steps: int = STEPS, seed: int = S
         return Model(np.zeros(BUCKETS), 0.0, False)
     flat, owner = grams(list(vocabulary))
     size = np.bincount(owner, None, len(vocabulary))
+    del owner
     starts = np.concatenate([[0], np.cumsum(size)[:-1]])
     word = np.concatenate(docs)
     n = np.array([len(d) for d in docs])
