@@ -15,12 +15,13 @@ ignored, whatever their names. An empty table gives an empty result. Texts of an
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm.byte_level import Kept, Units, Vocabulary
+from tidemark.llm.byte_level import Kept, Units, loaded
 from tidemark.llm.common import map_rows, small_batches, table
 from tidemark.llm.token_count import vocabulary_path
 
@@ -28,23 +29,30 @@ VOCABULARY = "byte_bpe_50k.json"
 NEVER = 1 << 60
 
 
+@lru_cache(2)
+def _tables(path: str) -> tuple:
+    """Once a process: the automaton of the tokens, the two parts of each merged token with their rank, the bytes of decimal ids, and tokens' lengths."""
+    v = loaded(path)
+    automaton = ahocorasick.Automaton()
+    for i, raw in v.token_bytes.items():
+        if i not in v.specials.values():
+            automaton.add_word(raw.decode("latin-1"), (len(raw), i))
+    automaton.make_automaton()
+    parts = {new: (a, b, rank) for (a, b), (rank, new) in reversed(v.merges.items())}
+    return automaton, parts, {str(i): raw for i, raw in v.token_bytes.items()}, {i: len(raw) for i, raw in v.token_bytes.items()}
+
+
 class Codec:
     """ids of a text and the text of ids, for one byte-level vocabulary file."""
 
     def __init__(self, path: str) -> None:
-        v = self.vocabulary = Vocabulary(path)
+        v = self.vocabulary = loaded(path)
         self._merges = v.merges
-        self._parts = {new: (a, b, rank) for (a, b), (rank, new) in reversed(v.merges.items())}
+        self._automaton, self._parts, self._bytes, self._sizes = _tables(path)
         self._left, self._right, self._span = {}, {}, max(v.token_bytes) + 1
-        self._automaton = ahocorasick.Automaton()
-        for i, raw in v.token_bytes.items():
-            if i not in v.specials.values():
-                self._automaton.add_word(raw.decode("latin-1"), (len(raw), i))
-        self._automaton.make_automaton()
         self._compatible = Kept(lambda pair: self._check(*divmod(pair, self._span)), 250_000)
-        pretoken = Kept(lambda p: ",".join(map(str, self.pretoken_ids(p.encode()))), 150_000)
+        pretoken = Kept(lambda p: ",".join(map(str, self.pretoken_ids(p.encode()))), 250_000)
         self._units = Units(lambda found: ",".join(map(pretoken.__getitem__, found)))
-        self._bytes = {str(i): raw for i, raw in v.token_bytes.items()}
 
     def _edge(self, token: int, right: bool) -> list[tuple[int, int]]:
         """The symbols at one border of a token as it builds up, from the first byte on, each with the rank of the merge that consumes it."""

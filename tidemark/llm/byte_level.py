@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import regex
 
@@ -54,6 +55,12 @@ class Vocabulary:
                 yield part, self.specials.get(part)
 
 
+@lru_cache(2)
+def loaded(path: str) -> Vocabulary:
+    """A vocabulary, read once a process."""
+    return Vocabulary(path)
+
+
 class Kept(dict):
     """A dictionary that makes missing values and holds two generations of at most bound keys each: at its bound the young one becomes the old one, from which keys that are still in use come back."""
 
@@ -75,7 +82,7 @@ class Kept(dict):
 class Units:
     """Looks up a value for each unit of a text: of_pretokens makes it from the list of the unit's pre-tokens."""
 
-    def __init__(self, of_pretokens: Callable[[list[str]], object], bound: int = 250_000) -> None:
+    def __init__(self, of_pretokens: Callable[[list[str]], object], bound: int = 400_000) -> None:
         self._make = of_pretokens
         self._spaced = Kept(lambda piece: of_pretokens(PRETOKEN.findall(" " + piece)), bound)
 

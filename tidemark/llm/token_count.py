@@ -15,7 +15,7 @@ import heapq
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm.byte_level import Kept, Units, Vocabulary
+from tidemark.llm.byte_level import Kept, Units, loaded
 from tidemark.llm.common import map_rows, small_batches, table
 
 VOCABULARY, LIMIT = "byte_bpe_50k.json", 1024
@@ -59,7 +59,7 @@ class Counter:
     """Token counts of whole texts for one vocabulary file."""
 
     def __init__(self, path: str) -> None:
-        self.vocabulary = Vocabulary(path)
+        self.vocabulary = loaded(path)
         ids, merges = self.vocabulary.byte_ids, self.vocabulary.merges
         pretoken = Kept(lambda p: merged_count([ids[b] for b in p.encode()], merges), 250_000)
         self._units = Units(lambda found: sum(map(pretoken.__getitem__, found)))
