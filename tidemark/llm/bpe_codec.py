@@ -85,18 +85,16 @@ class Codec:
                 j += 1
 
     def pretoken_ids(self, raw: bytes) -> list[int]:
-        n = len(raw)
-        last, size, compatible, span = [-1] * (n + 1), [0] * (n + 1), self._compatible, self._span
+        last, found, compatible, span = [], 0, self._compatible, self._span  # last: the last token of each prefix, times span
         for end, (length, token) in self._automaton.iter(raw.decode("latin-1")):
-            end += 1
-            if last[end] < 0:
-                start = end - length
-                if start == 0 or (last[start] >= 0 and compatible[last[start] * span + token]):
-                    last[end], size[end] = token, length
-        ids = []
+            if end == found and (end < length or compatible[last[end - length] + token]):
+                last.append(token * span)
+                found += 1
+        ids, n, sizes = [], len(last), self._sizes
         while n:
-            ids.append(last[n])
-            n -= size[n]
+            token = last[n - 1] // span
+            ids.append(token)
+            n -= sizes[token]
         return ids[::-1]
 
     def encode(self, text: str) -> str:
