@@ -115,6 +115,25 @@ def test_surge_and_dive_without_an_article():
     assert html_extract.window_sums([1, 2, 3, 4], 2) == [3, 5, 7, 4]
 
 
+WORDS = "A paragraph of the main text of a page that nobody put into an article element, with a good many words, number"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<div><p>{WORDS} 1</p></div><div><p>{WORDS} 2, longer</p></div>", f"{WORDS} 1 {WORDS} 2, longer"),
+        (f"<table><tr><td>{WORDS} 1</td></tr><tr><td></td><td></td><td></td><td>{WORDS} 2</td></tr></table>", f"{WORDS} 1 {WORDS} 2"),
+        (f"<p>{WORDS} 1</p><div class=ad><p>x</p><p>y</p><p>z</p></div><p>{WORDS} 2, longer</p><aside><p>x</p><p>y</p><p>z</p></aside><p>The end.</p>", f"{WORDS} 1 {WORDS} 2, longer The end."),
+        (f"<p>{WORDS} 1</p><p></p><p></p><p></p><p>{WORDS} 2, longer</p>", f"{WORDS} 1 {WORDS} 2, longer"),
+        (f"<div><p>{WORDS} 1</p><p>{WORDS} 2</p></div><article>Read this too</article>", f"{WORDS} 1 {WORDS} 2 Read this too"),
+        (f"<p>Site</p><nav><p>a</p><p>b</p></nav><p>{WORDS} 1</p><nav>a</nav><footer>b</footer><aside>c</aside><p>Imprint</p>", f"{WORDS} 1"),
+        (f"<div><p>Site</p></div><article><p>Short</p><p>{WORDS} 1</p></article><div><p>Imprint</p></div>", f"Short {WORDS} 1"),
+    ],
+)
+def test_all_text_between_the_first_surge_and_the_last_dive(page, text):
+    assert html_extract.main_text(page) == text
+
+
 def test_extracted_rows(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, "y")], "page_id long, url string, html string, text string")
     got = html_extract.extracted(df).collect()

@@ -1,10 +1,11 @@
 """Main text of web pages by the distribution of text over line blocks.
 
 Markup is stripped: scripts, styles, comments and tags go, and every block element ends a line. What stands in menus, headers, footers,
-sidebars, notices, adverts, forms and reader comments, by element name, role, class or id, keeps its line but loses its text. Summing text
-lengths over a sliding window of lines then gives a distribution that surges where the main text starts and dives where it ends; the lines
-between are the text. Within an article or main element the surge is its first line with text and the dive its last one; a page
-without such an element needs a window with enough text, and the stretch with the most text wins.
+sidebars, notices, adverts, forms and reader comments, by element name, role, class or id, keeps its line but loses its text. An element
+without content is an empty line; what nested block tags leave between them isn't a line. Summing text lengths over a sliding window of lines
+then gives a distribution that surges where the main text starts and dives where it ends. The text runs from the first surge to the last dive,
+where something left out counts as one line, however many it holds. Articles and main elements are taken as a whole, without a threshold, if
+they hold at least half of that text.
 
 A header is left out only where it isn't the article's own. White space inside a line becomes one space, lines are joined by one space, and
 nothing between surge and dive is dropped. Null, empty and text-free pages give an empty text. Unclosed and misplaced tags are tolerated:
@@ -26,6 +27,7 @@ WINDOW, SURGE = 3, 86
 
 # Elements by their part in a page.
 BLOCK = frozenset("address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav noscript ol optgroup option p pre section select summary table tbody td template textarea tfoot th thead title tr ul".split())
+CELLS = frozenset("td th".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title template iframe noembed noframes xmp svg math canvas object audio video".split())
 HIDDEN = frozenset("nav footer aside form head menu dialog button select noscript".split())
@@ -70,24 +72,27 @@ def _hidden(name: str, attributes: str, in_main: bool, names: bool) -> bool:
 
 
 class Lines:
-    """The lines of a page in order: their text, empty where it is left out, and the number of the article they stand in, or 0."""
+    """The lines of a page in order: their text, empty where it is left out, the numbers of the article and of the left out element they stand in, or 0."""
 
     def __init__(self, page: str, names: bool = True) -> None:
         self.buried = False  # an article stood in something that was left out
         self.text: list[str] = []
         self.main: list[int] = []
+        self.gone: list[int] = []
         self._open: list[tuple[str, bool, int]] = []
         self._parts: list[str] = []
-        self._hidden = self._in = self._mains = 0
-        at, low = 0, None
+        self._hidden = self._in = self._mains = self._gone = 0
+        self._hid = False  # text of this line was left out
+        at, low, opened = 0, None, ""
         for m in iter(lambda: TOKEN.search(page, at), None):
-            self._parts += [] if self._hidden else [page[at : m.start()]]
+            self._take(page[at : m.start()])
             at = m.end()
             name = (m[2] or "").lower()
             if not name:
                 continue
             if name in BLOCK:
-                self._end_line()
+                self._end_line(bool(m[1]) and name == opened)
+                opened = "" if m[1] or name in RAW or name in CELLS else name
             if m[1]:
                 self._close(name)
                 continue
@@ -99,6 +104,7 @@ class Lines:
             elif name not in VOID and not m[3].endswith("/"):
                 hides = _hidden(name, m[3], bool(self._in), names)
                 self.buried |= name in MAIN and bool(self._hidden) and not self._in
+                self._gone += hides and not self._hidden
                 self._hidden += hides
                 if name in MAIN and not self._hidden and not self._in:
                     self._mains += 1
@@ -106,13 +112,23 @@ class Lines:
                     self._open.append((name, hides, -1))
                 else:
                     self._open.append((name, hides, self._in))
-        self._parts += [] if self._hidden else [page[at:]]
+        self._take(page[at:])
         self._end_line()
 
-    def _end_line(self) -> None:
-        self.text.append(" ".join(html_entities.unescape("".join(self._parts)).split()))
-        self.main.append(self._in)
-        self._parts = []
+    def _take(self, text: str) -> None:
+        if self._hidden:
+            self._hid = self._hid or not text.isspace() and bool(text)
+        else:
+            self._parts.append(text)
+
+    def _end_line(self, empty: bool = False) -> None:
+        """A line ends here; without text it is one only if some was left out, or as an empty element."""
+        text = " ".join(html_entities.unescape("".join(self._parts)).split())
+        if text or self._hid or (empty and not self._hidden):
+            self.text.append(text)
+            self.main.append(self._in)
+            self.gone.append(self._gone if self._hid and not text else 0)
+        self._parts, self._hid = [], False
 
     def _close(self, name: str) -> None:
         for i in range(len(self._open) - 1, -1, -1):
@@ -138,16 +154,25 @@ def window_sums(lengths: list[int], width: int = WINDOW) -> list[int]:
     return sums
 
 
-def stretches(lengths: list[int], surge: int, width: int = WINDOW) -> list[tuple[int, int]]:
-    """Line ranges [start, end) from a surge, a window with enough text that begins with text, to a dive, a window without any."""
-    sums, found, start = window_sums(lengths, width), [], None
-    for i, s in enumerate(sums):
-        if start is None and s >= surge and lengths[i]:
+def stretches(lengths: list[int], surge: int, width: int = WINDOW, gone: list[int] | None = None) -> list[tuple[int, int]]:
+    """Line ranges [start, end) from a surge, a window with enough text that begins with text, to a dive, the last text before a window without any.
+
+    Lines with the same number other than 0 in gone are one line of the dive's window.
+    """
+    sums, found, start, end, gap = window_sums(lengths, width), [], None, 0, 0
+    for i, length in enumerate(lengths):
+        if start is None and sums[i] >= surge and length:
             start = i
-        elif start is not None and s == 0:
-            found.append((start, i))
-            start = None
-    return found + ([(start, len(lengths))] if start is not None else [])
+        if start is None:
+            continue
+        if length:
+            end, gap = i + 1, 0
+        else:
+            gap += not (gone and gone[i] and gone[i] == gone[i - 1])
+            if gap == width:
+                found.append((start, end))
+                start = None
+    return found + ([(start, end)] if start is not None else [])
 
 
 def main_text(page: str | None) -> str:
@@ -157,22 +182,13 @@ def main_text(page: str | None) -> str:
     lines = Lines(page)
     if lines.buried and not any(lines.text):  # class names misled: judge by elements and roles alone
         lines = Lines(page, names=False)
-    articles: dict[int, list[str]] = {}
-    for text, article in zip(lines.text, lines.main, strict=True):
-        if article:
-            articles.setdefault(article, []).append(text)
-    kept = []
-    for own in articles.values():
-        lengths = [len(t) for t in own]
-        found = stretches(lengths, 1, max(1, len(lengths)))  # one stretch: the dive is the end of the text
-        kept += [t for a, b in found for t in own[a:b] if t]
-    if not kept:
-        lengths = [len(t) for t in lines.text]
-        surge = min(SURGE, max([*window_sums(lengths), 1]))
-        if found := stretches(lengths, surge):
-            a, b = max(found, key=lambda r: (sum(lengths[r[0] : r[1]]), -r[0]))
-            kept = [t for t in lines.text[a:b] if t]
-    return " ".join(kept)
+    lengths = [len(t) for t in lines.text]
+    found = stretches(lengths, min(SURGE, max([*window_sums(lengths), 1])), gone=lines.gone)
+    kept = lines.text[found[0][0] : found[-1][1]] if found else []
+    articles = [t for t, article in zip(lines.text, lines.main, strict=True) if article]
+    if 2 * sum(map(len, articles)) >= sum(map(len, kept)):
+        kept = articles
+    return " ".join(t for t in kept if t)
 
 
 def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
