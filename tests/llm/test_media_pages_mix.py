@@ -134,6 +134,25 @@ def test_all_text_between_the_first_surge_and_the_last_dive(page, text):
     assert html_extract.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article><header class='entry-header'><h1>Title</h1></header><p>a</p></article>", "Title a"),
+        ("<article><p>a</p><section id='related-work'><p>b</p></section><section id='sharing-data'>c</section><h2 id='navigation'>d</h2><section id='cookies'>e</section></article>", "a b c d e"),
+        ("<a href='#x'>Skip</a><div class='layout sidebar-right'><article>The text of it</article></div>", "The text of it"),
+        ("<p>x</p><form id='aspnet'><div class='page-wrapper'><main><p>The text of it</p></main></div></form>", "The text of it"),
+        (f"<p>Site</p><form><p>{WORDS} 1</p><p>{WORDS} 2</p><form class='search'>find</form></form>", f"Site {WORDS} 1 {WORDS} 2"),
+        (f"<div id='sidebar-layout'><div class='widget'>{WORDS} 1</div></div><p>x</p>", f"{WORDS} 1 x"),
+        (f"<article>Teaser</article><div class='layout-sidebar'>{WORDS * 10}</div>", f"Teaser {WORDS * 10}"),
+        (f"<div class='ad'>{WORDS}</div><article>Short post</article>", "Short post"),
+        (f"<article>Short post</article><section class='comments-area'><article class='comment'>{WORDS} 1</article></section>", "Short post"),
+        (f"<article>Short post<section id='comments'>{WORDS} 1</section><div class='share-buttons'>Share</div></article><div class='site-footer'>x</div><div id='main-nav'>y</div>", "Short post"),
+    ],
+)
+def test_names_hide_no_article_text(page, text):
+    assert html_extract.main_text(page) == text
+
+
 def test_extracted_rows(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, "y")], "page_id long, url string, html string, text string")
     got = html_extract.extracted(df).collect()

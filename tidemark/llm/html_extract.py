@@ -7,7 +7,10 @@ then gives a distribution that surges where the main text starts and dives where
 where something left out counts as one line, however many it holds. Articles and main elements are taken as a whole, without a threshold, if
 they hold at least half of that text.
 
-A header is left out only where it isn't the article's own. White space inside a line becomes one space, lines are joined by one space, and
+A header is left out only where it isn't the article's own. A class or id counts where all its words name boilerplate or a place on the page;
+headings in an article are exempt, and so are its sections' ids but for reader comments. No class, id or form leaves out an element that holds
+most of the articles' text or of the page's (beside an article, if that is long, as an advert may be longer than a short article); a thread
+of comments may be longer than the article. White space inside a line becomes one space, lines are joined by one space, and
 nothing between surge and dive is dropped. Null, empty and text-free pages give an empty text. Unclosed and misplaced tags are tolerated:
 an end tag closes the nearest element of its name, if any, and text up to the end of a cut-off page counts.
 """
@@ -25,12 +28,15 @@ from tidemark.llm.common import map_rows, small_batches, table
 #: Lines of a window, and characters in it from which text surges on pages without an article.
 WINDOW, SURGE = 3, 86
 
+#: Characters from which most of a page's text isn't an advert, whatever its name, on pages with an article.
+LONG = 10 * SURGE
+
 # Elements by their part in a page.
 BLOCK = frozenset("address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav noscript ol optgroup option p pre section select summary table tbody td template textarea tfoot th thead title tr ul".split())
 CELLS = frozenset("td th".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title template iframe noembed noframes xmp svg math canvas object audio video".split())
-HIDDEN = frozenset("nav footer aside form head menu dialog button select noscript".split())
+HIDDEN = frozenset("nav footer aside head menu dialog button select noscript".split())
 MAIN = frozenset(("article", "main"))
 HIDDEN_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog alertdialog".split())
 HIDDEN_NAMES = frozenset(
@@ -40,6 +46,15 @@ HIDDEN_NAMES = frozenset(
 )
 
 HIDDEN_STEMS = ("advert", "breadcrumb", "commentform", "commentlist", "commentsection", "cookie", "newsletter", "sidebar", "sponsor", "subscri")
+#: Words that may stand beside a name of boilerplate in a class or id; with any other word it names something else, like related-work.
+PLACES = frozenset(
+    "a area background bar block bottom box btn button buttons center closed col column container content desktop div element fixed float form global google group icon icons id "
+    "inline inner item items js label large layout leaderboard left link links list main medium message mobile nr open outer overlay page panel placeholder post posts primary "
+    "rail right row secondary section sidebar site skyscraper slot small sticky sub tablet tags text title top unit ul web window wrap wrapper x zone".split()
+)
+#: Names of what readers add.
+THREADS = frozenset("comment comments commentform commentlist commentsection disqus replies reply respond".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: A class like has-sidebar or content-with-ads says what stands beside the text.
 BESIDE = frozenset("has no with without".split())
 
@@ -48,38 +63,57 @@ ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]
 WORD = re.compile(r"[a-z]+")
 
 
-def _named(value: str) -> bool:
-    """Whether a class or id names boilerplate."""
+def _named(value: str, names: frozenset[str] = HIDDEN_NAMES, stems: tuple[str, ...] = HIDDEN_STEMS) -> bool:
+    """Whether a token of a class or id, as a whole, names boilerplate."""
     for token in value.split():
         words = WORD.findall(token)
-        if BESIDE.isdisjoint(words) and any(w in HIDDEN_NAMES or w.startswith(HIDDEN_STEMS) for w in words):
-            return True
+        if BESIDE.isdisjoint(words):
+            named = [w in names or w.startswith(stems) for w in words]
+            if any(named) and all(n or w in PLACES for n, w in zip(named, words, strict=True)):
+                return True
     return False
 
 
-def _hidden(name: str, attributes: str, in_main: bool, names: bool) -> bool:
+#: Why an element is left out: for what it is, or by its name or as a form, unless it holds the text; THREAD is a name of reader comments.
+SHOWN, HARD, SOFT, THREAD = range(4)
+
+
+def _hidden(name: str, attributes: str, in_main: bool) -> int:
     if name in HIDDEN or (name == "header" and not in_main):
-        return True
+        return HARD
+    soft = SOFT if name == "form" else SHOWN
     if name in ("html", "body") or (name in MAIN and not in_main) or "=" not in attributes and "hidden" not in attributes:
-        return False
+        return soft
     for key, *values in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), "".join(values).lower()
-        if key == "role" and value.strip() in HIDDEN_ROLES or key == "aria-hidden" and value == "true":
-            return True
-        if names and key in ("class", "id") and not (in_main and value.strip() in ("header", "footer")) and _named(value):
-            return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|$|=)", ATTRIBUTE.sub(lambda m: m[0] if m[1].lower() == "hidden" else "", attributes)))
+        if key == "role" and value.strip() in HIDDEN_ROLES:
+            # a role names a part of the page as form does
+            if value.strip() != "form":
+                return HARD
+            soft = soft or SOFT
+        if key == "aria-hidden" and value == "true":
+            return HARD
+        if key not in ("class", "id") or (in_main and (name in HEADINGS or value.strip() in ("header", "footer"))):
+            continue
+        if _named(value, THREADS, ("commentform", "commentlist", "commentsection")):
+            soft = THREAD
+        elif not (in_main and name == "section" and key == "id") and _named(value):
+            soft = soft or SOFT
+    return HARD if re.search(r"(?:^|\s)hidden(?:\s|$|=)", ATTRIBUTE.sub(lambda m: m[0] if m[1].lower() == "hidden" else "", attributes)) else soft
 
 
 class Lines:
     """The lines of a page in order: their text, empty where it is left out, the numbers of the article and of the left out element they stand in, or 0."""
 
-    def __init__(self, page: str, names: bool = True) -> None:
-        self.buried = False  # an article stood in something that was left out
+    def __init__(self, page: str, spared: frozenset[int] = frozenset()) -> None:
+        """spared: where elements start that are kept whatever they are named."""
+        self._count = [0, 0, 0, 0]  # open elements that leave their text out, by reason
+        self.read = self.told = 0  # characters outside of what is left out for what it is, and those of them in articles
+        self.named: list[list[int]] = []  # elements left out by name or as forms: start, why, and the two numbers for what they hold
         self.text: list[str] = []
         self.main: list[int] = []
         self.gone: list[int] = []
-        self._open: list[tuple[str, bool, int]] = []
+        self._open: list[tuple[str, int, int, list[int]]] = []
         self._parts: list[str] = []
         self._hidden = self._in = self._mains = self._gone = 0
         self._hid = False  # text of this line was left out
@@ -100,22 +134,32 @@ class Lines:
                 low = low or page.lower()
                 end = low.find(f"</{name}", at) if len(low) == len(page) else next((e.start() for e in re.compile(f"</{re.escape(name)}", re.I).finditer(page, at)), -1)
                 at = len(page) if end < 0 else end
-                self._open.append((name, False, self._in))
+                self._open.append((name, SHOWN, self._in, []))
+                self._count[SHOWN] += 1
             elif name not in VOID and not m[3].endswith("/"):
-                hides = _hidden(name, m[3], bool(self._in), names)
-                self.buried |= name in MAIN and bool(self._hidden) and not self._in
-                self._gone += hides and not self._hidden
-                self._hidden += hides
-                if name in MAIN and not self._hidden and not self._in:
+                why, own = _hidden(name, m[3], bool(self._in)), []
+                if why in (SOFT, THREAD):
+                    if m.start() in spared:
+                        why = SHOWN
+                    else:
+                        self.named.append(own := [m.start(), why, -self.read, -self.told])
+                self._gone += why != SHOWN and not self._hidden
+                self._hidden += why != SHOWN
+                self._count[why] += 1
+                if name in MAIN and not self._count[HARD] and not self._count[THREAD] and not self._in:
                     self._mains += 1
                     self._in = self._mains
-                    self._open.append((name, hides, -1))
+                    self._open.append((name, why, -1, own))
                 else:
-                    self._open.append((name, hides, self._in))
+                    self._open.append((name, why, self._in, own))
         self._take(page[at:])
         self._end_line()
+        self._leave(0)
 
     def _take(self, text: str) -> None:
+        if not self._count[HARD] and (size := len(text.strip())):
+            self.read += size
+            self.told += size if self._in else 0
         if self._hidden:
             self._hid = self._hid or not text.isspace() and bool(text)
         else:
@@ -138,12 +182,24 @@ class Lines:
                 return  # an inline end tag doesn't reach over a block, nor any over the body
         else:
             return
-        for _, hides, before in self._open[i:]:
-            self._hidden -= hides
+        self._leave(i)
+
+    def _leave(self, i: int) -> None:
+        for _, why, before, own in self._open[i:]:
+            self._hidden -= why != SHOWN
+            self._count[why] -= 1
+            if own:
+                own[2] += self.read
+                own[3] += self.told
             if before == -1:
                 self._in = 0
         del self._open[i:]
 
+    def misnamed(self) -> frozenset[int]:
+        """Where elements start that were left out by name or as forms, but hold most of the articles' text or the page's; beside an article an advert may be the longer one."""
+        least = {SOFT: LONG if self.told else 0, THREAD: self.read + 1 if self.told else 0}
+        return frozenset(at for at, why, read, told in self.named if (2 * read > self.read and read >= least[why]) or (2 * told > self.told and why == SOFT))
+
 
 def window_sums(lengths: list[int], width: int = WINDOW) -> list[int]:
     """The sum of lengths over the width lines from each line on."""
@@ -180,8 +236,8 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     lines = Lines(page)
-    if lines.buried and not any(lines.text):  # class names misled: judge by elements and roles alone
-        lines = Lines(page, names=False)
+    if spared := lines.misnamed():
+        lines = Lines(page, spared)
     lengths = [len(t) for t in lines.text]
     found = stretches(lengths, min(SURGE, max([*window_sums(lengths), 1])), gone=lines.gone)
     kept = lines.text[found[0][0] : found[-1][1]] if found else []
