@@ -37,3 +37,10 @@ def components(edges: DataFrame) -> DataFrame:
         if state == before:
             break
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def grouped(links: DataFrame) -> DataFrame:
+    """links (a, b), with a = b for every node -> (node, component) of all nodes, also of those without another link."""
+    links = checkpointed(links)
+    found = components(links).withColumnRenamed("node", "a")
+    return links.filter("a = b").select("a").distinct().join(found, "a", "left").select(F.col("a").alias("node"), F.coalesce("component", "a").alias("component"))

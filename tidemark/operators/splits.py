@@ -81,6 +81,24 @@ def neighbours(prints: Relation, k: int = 8, slack: int = 3) -> Relation:
     return pairs.add(place="cast(row_number() OVER (PARTITION BY id ORDER BY rmse, other) AS bigint)").where(f"place <= {k}")
 
 
+def duplicates(rows: Relation, k: int = 8, rmse: float = 0.01, most: float = 0.1, least: int = 128) -> Relation:
+    """Links a, b between duplicates, and of every series with itself: equal signatures, or whole standardised histories that are near.
+
+    One series for each standardised signature is compared with its k nearest ones of the same length, of `least` points at least, by fingerprints.
+    These can't differ by more than `most` where histories don't, so no other pair takes a place. Non-finite points must agree.
+    """
+    marks = signatures(rows).add(normal="min(id) OVER (PARTITION BY n_h, normal_sha)", exact="min(id) OVER (PARTITION BY n_h, exact_sha)")
+    prints = fingerprints(rows).then(f"SELECT $1.* FROM $1 JOIN $2 ON $1.id = $2.id WHERE $2.normal = $2.id AND $2.n_h >= {least}", marks)
+    pairs = prints.then(f"SELECT a.id, b.id AS other, avg((a.v - b.v) * (a.v - b.v)) AS apart FROM $1 AS a JOIN $1 AS b ON a.n_h = b.n_h AND a.g = b.g AND a.id <> b.id GROUP BY a.id, b.id HAVING max(abs(a.v - b.v)) <= {num(most + 1e-9)}")
+    pairs = pairs.add(place="row_number() OVER (PARTITION BY id ORDER BY apart, other)").where(f"place <= {k}")
+    pairs = pairs.then("SELECT DISTINCT least(id, other) AS a, greatest(id, other) AS b FROM $1")
+    h = rows.where("t <= 0").add(mu="avg(value) OVER (PARTITION BY id)", sd="greatest(coalesce(stddev_pop(value) OVER (PARTITION BY id), 0e0), 1e-8)").keep("id", "t", v="(value - mu) / sd")
+    near = pairs.then("SELECT p.a, p.b, x.v AS x, y.v AS y FROM $1 AS p JOIN $2 AS x ON p.a = x.id JOIN $2 AS y ON p.b = y.id AND x.t = y.t", h)
+    near = near.group("a", "b", rmse="sqrt(avg((x - y) * (x - y)))", most="max(abs(x - y))", odd="sum(CASE WHEN (x IS NULL) <> (y IS NULL) THEN 1 ELSE 0 END)")
+    near = near.where(f"odd = 0 AND rmse <= {num(rmse)} AND most <= {num(most)}")
+    return near.then("SELECT a, b FROM $1 UNION ALL SELECT normal AS a, id AS b FROM $2 UNION ALL SELECT exact AS a, id AS b FROM $2 UNION ALL SELECT id AS a, id AS b FROM $2", marks)
+
+
 def audited(rows: Relation) -> Relation:
     """One row for each series: lengths, break, history statistics, and how far the points before the break depart."""
     rows = rows.add(h="CASE WHEN t <= 0 THEN value END", mu="avg(CASE WHEN t <= 0 THEN value END) OVER (PARTITION BY id)", sd="stddev_pop(CASE WHEN t <= 0 THEN value END) OVER (PARTITION BY id)", med="percentile(CASE WHEN t <= 0 THEN value END, 0.5e0) OVER (PARTITION BY id)")

@@ -17,7 +17,7 @@ from tidemark.operators import base_bank as bank
 from tidemark.operators import evidence as ev
 from tidemark.operators import statistics as stats
 from tidemark.operators import whitening as white
-from tidemark.operators.components import components
+from tidemark.operators.components import grouped
 from tidemark.plans.relation import DUCK, Relation, rounded
 from tidemark.sources import panel as panels
 from tidemark.streaming import scores as streams
@@ -278,12 +278,12 @@ def whitened_high(spark: SparkSession, sf_dir: str, order: int = 8) -> DataFrame
 
 
 def _links() -> Relation:
-    return splits.neighbours(splits.fingerprints(panels.panel()), 2).where("place = 1").keep("id AS a", "other AS b")
+    return splits.duplicates(panels.panel())
 
 
 def series_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups of series that nearest-neighbour links connect, with the smallest id as representative."""
-    return components(_links().frame(spark, sf_dir))
+    """The group of every series: duplicates and near ones that links connect, with the smallest id as representative."""
+    return grouped(_links().frame(spark, sf_dir))
 
 
 def series_groups_sql() -> str:
