@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from tidemark.operators import splits
+from tidemark.operators import graph, splits
 from tidemark.operators.components import grouped
 from tidemark.plans.relation import Relation
 
@@ -29,3 +29,40 @@ def test_duplicate_groups(spark):
                 want = {k: low if v == high else v for k, v in want.items()}
     assert got == want
     assert want[4] == 1 and want[6] == 5 and want[7] == 7 and want[43] == 20 and want[9] == 9
+
+
+def test_graph_is_judged_on_the_other_half_of_the_series(spark):
+    rng = np.random.default_rng(4)
+    data = []
+    for k in range(70):
+        x = rng.normal(size=(3, 200))
+        x[1, 4:] += 0.6 * x[0, :-4]  # 0 -> 1 at lag 4 in all series, 0 -> 2 at lag 1 in few, but strongly
+        if k % 4 == 0:
+            x[2, 1:] += 3 * x[0, :-1]
+        data += [(k, t - 29, int(t >= 130), *map(float, x[:, t])) for t in range(200)]
+    rows = Relation.of(spark.createDataFrame(data, "id long, t long, y int, c0 double, c1 double, c2 double"))
+    columns = ["c0", "c1", "c2"]
+    got = graph.gains(rows, columns).frame(spark).toPandas()
+    assert len(got) == 70 * 2 * 6 * 5 and got.gain.notna().all()
+    half = {r.id: r.half for r in splits.halves(rows.then("SELECT DISTINCT id FROM $1")).frame(spark).collect()}
+    table = np.array(data)
+    gram, by = {}, {}
+    for k in range(70):
+        own = table[table[:, 0] == k]
+        for phase in (0, 1):
+            at = np.flatnonzero((own[:, 1] > 0) & (own[:, 2] == phase))
+            design = np.column_stack([np.ones(len(at)), np.log1p(own[at, 1]) / 8, *(own[at - n, 4] for n in graph.LAGS), own[at - 4, 3]])
+            by[k, phase] = design, own[at, 4]
+            gram[k, phase] = design.T @ design / len(at), design.T @ own[at, 4] / len(at)
+    for k in (0, 5, 33):
+        for phase in (0, 1):
+            others = [i for i in range(70) if half[i] != half[k]]
+            g, xy = (np.mean([gram[i, phase][j] for i in others], axis=0) for j in (0, 1))
+            g = g + np.diag([1e-8] + [0.05] * 7)
+            design, goal = by[k, phase]
+            own, more = (np.mean((goal - design[:, :n] @ np.linalg.solve(g[:n, :n], xy[:n])) ** 2) for n in (7, 8))
+            row = got[(got.id == k) & (got.phase == phase) & (got.source == 0) & (got.target == 1) & (got.lag == 4)]
+            assert np.isclose(row.gain.iloc[0], (own - more) / own, atol=1e-9)
+    found = graph.edges(rows, columns).frame(spark).collect()
+    assert [(r.source, r.target, r.lag) for r in found if r.target == 1] == [(0, 1, 4)]
+    assert all(r.supported for r in found)

@@ -212,13 +212,16 @@ def _forest() -> Relation:
 
 def _graph() -> Relation:
     rows = white.standard(_innovations("arch1"))
-    return graph.coordinates(rows.where("t > 0").add(c0="w", c1="w * w", c2="abs(w)", c3="u").keep("id", "t", "c0", "c1", "c2", "c3"), ["c0", "c1", "c2", "c3"])
+    return rows.keep("id", "t", "y", c0="w", c1="w * w", c2="abs(w)", c3="u")
+
+
+COORDINATES = ["c0", "c1", "c2", "c3"]
 
 
 RELATIONS |= {
     "forest_score": _forest,
-    "edge_gains": lambda: graph.gains(_graph(), "t <= 100").keep("id", "source", "target", *rounded(["gain"], 5)),
-    "graph_edges": lambda: graph.edges(_graph()).keep("source", "target", "supported", *rounded(["gain"], 6)),
+    "edge_gains": lambda: graph.gains(_graph(), COORDINATES).keep("id", "phase", "source", "target", "lag", *rounded(["gain"], 5)),
+    "graph_edges": lambda: graph.edges(_graph(), COORDINATES).keep("source", "target", "lag", "phase", "supported", *rounded(["gain"], 6)),
 }
 
 
