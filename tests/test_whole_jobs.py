@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from tidemark.operators import graph, splits
+from tidemark.operators import graph, inputs, splits
 from tidemark.operators.components import grouped
 from tidemark.plans.relation import Relation
 
@@ -66,3 +66,20 @@ def test_graph_is_judged_on_the_other_half_of_the_series(spark):
     found = graph.edges(rows, columns).frame(spark).collect()
     assert [(r.source, r.target, r.lag) for r in found if r.target == 1] == [(0, 1, 4)]
     assert all(r.supported for r in found)
+
+
+def test_null_growth_resamples_segments_of_four_blocks(spark):
+    rng = np.random.default_rng(5)
+    series = {1: rng.normal(size=16 * 12 + 5), 2: rng.normal(size=16 * 8).cumsum(), 3: rng.normal(size=16 * 7)}
+    rows = spark.createDataFrame([(k, t - len(x) + 1, len(x), float(v)) for k, x in series.items() for t, v in enumerate(x)], "id long, t long, n_h long, z double")
+    got = {(r.id, r.age): r.cut for r in inputs.null_growth(Relation.of(rows)).frame(spark).collect()}
+    ages, p = [4 << i for i in range(9)], 2147483647
+    assert sorted(got) == [(k, n) for k in (1, 2) for n in ages]  # seven blocks are too few
+    for k in (1, 2):
+        m = series[k][: len(series[k]) // 16 * 16].reshape(-1, 16).mean(axis=1)
+        tops = []
+        for r in range(1, 513):
+            u = [(r * 48271 + s * 69621 + 777) % p * 16807 % p * 16807 % p / p for s in range(1, 257)]
+            path = np.concatenate([m[int(x * (len(m) - 3)) :][:4] for x in u])
+            tops.append(np.maximum.accumulate(np.abs(np.convolve(path, np.ones(4), "valid")) / 2)[[n - 4 for n in ages]])
+        assert np.allclose([got[k, n] for n in ages], np.sort(tops, axis=0)[487])

@@ -177,17 +177,22 @@ def resetting(rows: Relation, reset: float = -2.0) -> Relation:
     return rows.add(level=f"partial - least(0e0, min(partial) {within})").add(log_level="ln(1e0 + level)")
 
 
-def null_growth(rows: Relation, replicates: int = 32, ages: tuple[int, ...] = (1, 2, 4, 8), order: float = 0.95) -> Relation:
-    """For each series and age in blocks: the order statistic of the greatest block-mean sum that resampled history blocks reach by chance."""
+def null_growth(rows: Relation, replicates: int = 512, ages: tuple[int, ...] = (4, 8, 16, 32, 64, 128, 256, 512, 1024), order: float = 0.95, least: int = 8) -> Relation:
+    """For each series of enough history blocks and each age in blocks: the order statistic of the greatest sum of four block means that resampled history reaches by then.
+
+    A replicate strings together segments of four contiguous blocks; sums across their borders count. All series share the seeded draws.
+    """
     from tidemark.operators.blocks import BLOCK
 
     blocks = rows.where("t <= 0").add(place="t + n_h - 1").add(block=f"cast(floor(place / {num(BLOCK)}) AS bigint)").group("id", "block", points="count(*)", m="avg(z)").where(f"points = {BLOCK}")
-    blocks = blocks.add(k="row_number() OVER (PARTITION BY id ORDER BY block) - 1", n="count(*) OVER (PARTITION BY id)")
-    picks = blocks.then(f"SELECT id, k, n, EXPAND(1, {replicates}) AS replicate FROM $1")
-    picks = picks.add(pick="((((cast(replicate AS bigint) * 48271 + k * 69621 + 777) % 2147483647) * 16807 % 2147483647) * 16807 % 2147483647) % n")
-    walk = picks.then("SELECT $1.id, $1.replicate, $1.k, $2.m FROM $1 JOIN $2 ON $1.id = $2.id AND $1.pick = $2.k", blocks)
-    walk = walk.add(**{f"a{n}": f"abs(sum(m) OVER (PARTITION BY id, replicate ORDER BY k ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)) / {num(math.sqrt(n))}" for n in ages})
-    tops = walk.group("id", "replicate", **{f"top{n}": f"max(a{n})" for n in ages})
+    blocks = blocks.add(k="row_number() OVER (PARTITION BY id ORDER BY block) - 1", n="count(*) OVER (PARTITION BY id)", **{f"m{i}": f"lead(m, {i}) OVER (PARTITION BY id ORDER BY block)" for i in range(4)})
+    fours = blocks.where(f"n >= {least} AND k < n - 3").keep("id", "n", "k", "m0", "m1", "m2", "m3")
+    draw = lambda k: f"((((cast(replicate AS bigint) * 48271 + ({k}) * 69621 + 777) % 2147483647) * 16807 % 2147483647) * 16807 % 2147483647) / 2147483647e0"
+    draws = Relation.select(f"SELECT EXPAND(1, {replicates}) AS replicate").then(f"SELECT replicate, EXPAND(1, {max(ages) // 4}) AS segment FROM $1").add(u=draw("segment"), v=draw("segment - 1"))
+    picks = fours.group("id", starts="max(n) - 3").then("SELECT id, replicate, segment, cast(floor(u * starts) AS bigint) AS start, cast(floor(v * starts) AS bigint) AS before FROM $1 CROSS JOIN $2", draws)
+    walk = picks.then("SELECT p.id, p.replicate, p.segment, a.m0, a.m1, a.m2, a.m3, b.m1 AS b1, b.m2 AS b2, b.m3 AS b3 FROM $1 AS p JOIN $2 AS a ON p.id = a.id AND p.start = a.k JOIN $2 AS b ON p.id = b.id AND p.before = b.k", fours)
+    walk = walk.add(top="greatest(abs(m0 + m1 + m2 + m3), CASE WHEN segment > 1 THEN greatest(abs(b1 + b2 + b3 + m0), abs(b2 + b3 + m0 + m1), abs(b3 + m0 + m1 + m2)) ELSE 0e0 END) / 2e0")
+    tops = walk.group("id", "replicate", **{f"top{n}": f"max(CASE WHEN segment <= {n // 4} THEN top END)" for n in ages})
     long = tops.then(" UNION ALL ".join(f"SELECT id, replicate, {n} AS age, top{n} AS top FROM $1" for n in ages))
     long = long.add(place="row_number() OVER (PARTITION BY id, age ORDER BY top, replicate)")
-    return long.where(f"place = {math.ceil((replicates + 1) * order) if math.ceil((replicates + 1) * order) <= replicates else replicates}").keep("id", "age", cut="top")
+    return long.where(f"place = {min(replicates, math.ceil((replicates + 1) * order))}").keep("id", "age", cut="top")
