@@ -71,7 +71,7 @@ def nested(ids: Relation, folds: int = 5) -> Relation:
 
 
 def winners(replicates: Relation) -> Relation:
-    """replicates (replicate, name, value) -> how often each name is the best, and the mean lead of the best over the sample's own best."""
+    """replicates (replicate, name, value) -> how often each name is the best, its mean and 95 % interval over the resamples, and its own value in the sample (replicate 0)."""
     rows = replicates.add(place="row_number() OVER (PARTITION BY replicate ORDER BY value DESC, name)", own="max(CASE WHEN replicate = 0 THEN value END) OVER (PARTITION BY name)")
     return rows.where("replicate > 0").group("name", wins="sum(CASE WHEN place = 1 THEN 1 ELSE 0 END)", mean="avg(value)", own="max(own)", low="percentile(value, 0.025e0)", high="percentile(value, 0.975e0)")
 
