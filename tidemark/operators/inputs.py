@@ -185,12 +185,12 @@ def null_growth(rows: Relation, replicates: int = 512, ages: tuple[int, ...] = (
     from tidemark.operators.blocks import BLOCK
 
     blocks = rows.where("t <= 0").add(place="t + n_h - 1").add(block=f"cast(floor(place / {num(BLOCK)}) AS bigint)").group("id", "block", points="count(*)", m="avg(z)").where(f"points = {BLOCK}")
-    blocks = blocks.add(k="row_number() OVER (PARTITION BY id ORDER BY block) - 1", n="count(*) OVER (PARTITION BY id)", **{f"m{i}": f"lead(m, {i}) OVER (PARTITION BY id ORDER BY block)" for i in range(4)})
-    fours = blocks.where(f"n >= {least} AND k < n - 3").keep("id", "n", "k", "m0", "m1", "m2", "m3")
+    listed = blocks.group("id", n="count(*)", ms="LISTED(m, block)").where(f"n >= {least}")
     draw = lambda k: f"((((cast(replicate AS bigint) * 48271 + ({k}) * 69621 + 777) % 2147483647) * 16807 % 2147483647) * 16807 % 2147483647) / 2147483647e0"
     draws = Relation.select(f"SELECT EXPAND(1, {replicates}) AS replicate").then(f"SELECT replicate, EXPAND(1, {max(ages) // 4}) AS segment FROM $1").add(u=draw("segment"), v=draw("segment - 1"))
-    picks = fours.group("id", starts="max(n) - 3").then("SELECT id, replicate, segment, cast(floor(u * starts) AS bigint) AS start, cast(floor(v * starts) AS bigint) AS before FROM $1 CROSS JOIN $2", draws)
-    walk = picks.then("SELECT p.id, p.replicate, p.segment, a.m0, a.m1, a.m2, a.m3, b.m1 AS b1, b.m2 AS b2, b.m3 AS b3 FROM $1 AS p JOIN $2 AS a ON p.id = a.id AND p.start = a.k JOIN $2 AS b ON p.id = b.id AND p.before = b.k", fours)
+    # the draws are the same few for any number of series, so they go to where the series are and no drawn row is shuffled
+    walk = listed.then("SELECT /*+ BROADCAST(d) */ id, ms, replicate, segment, cast(floor(u * (n - 3)) AS int) AS a, cast(floor(v * (n - 3)) AS int) AS b FROM $1 CROSS JOIN $2 AS d", draws)
+    walk = walk.keep("id", "replicate", "segment", **{f"m{i}": f"ITEM(ms, a + {i + 1})" for i in range(4)}, **{f"b{i}": f"ITEM(ms, b + {i + 1})" for i in (1, 2, 3)})
     walk = walk.add(top="greatest(abs(m0 + m1 + m2 + m3), CASE WHEN segment > 1 THEN greatest(abs(b1 + b2 + b3 + m0), abs(b2 + b3 + m0 + m1), abs(b3 + m0 + m1 + m2)) ELSE 0e0 END) / 2e0")
     tops = walk.group("id", "replicate", **{f"top{n}": f"max(CASE WHEN segment <= {n // 4} THEN top END)" for n in ages})
     long = tops.then(" UNION ALL ".join(f"SELECT id, replicate, {n} AS age, top{n} AS top FROM $1" for n in ages))

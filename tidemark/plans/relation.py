@@ -6,6 +6,8 @@ macros where the engines differ:
     KNOWN(x) OVER (...)     the last value that isn't null in the frame
     EXPAND(a, b)            one row for each integer from a to b
     JOINED(x, order)        strings of a group joined by commas in an order
+    LISTED(x, order)        values of a group as a list in an order
+    ITEM(list, i)           the item of a list at place i, from 1
     {name}                  a table
 
 Numbers are written with an exponent, which makes them doubles in both engines; see num().
@@ -60,11 +62,15 @@ SPARK = {
     "KNOWN": lambda x: f"last_value({x}) IGNORE NULLS",
     "EXPAND": lambda a, b: f"explode(sequence(cast({a} AS bigint), cast({b} AS bigint)))",
     "JOINED": lambda x, order: f"listagg({x}, ',') WITHIN GROUP (ORDER BY {order})",
+    "LISTED": lambda x, order: f"array_sort(collect_list(struct({order} AS at, {x} AS item))).item",
+    "ITEM": lambda x, i: f"element_at({x}, {i})",
 }
 DUCK = {
     "KNOWN": lambda x: f"last_value({x} IGNORE NULLS)",
     "EXPAND": lambda a, b: f"unnest(generate_series({a}, {b}))",
     "JOINED": lambda x, order: f"string_agg({x}, ',' ORDER BY {order})",
+    "LISTED": lambda x, order: f"list({x} ORDER BY {order})",
+    "ITEM": lambda x, i: f"list_extract({x}, {i})",
     "percentile": lambda x, p: f"quantile_cont({x}, {p})",
     "sha2": lambda x, bits: f"sha256({x})",
     "kurtosis": lambda x: f"kurtosis_pop({x})",
