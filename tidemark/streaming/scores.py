@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidemark.sources.shared import shared_dir
+
 DRIFT, CLIP, ALPHA = 0.25, 20.0, 0.05
 OUTPUT = "id {id}, t long, z double, cusum_positive double, cusum_negative double, running_mean double, ewma double, late boolean"
 STATE = "t long, up double, down double, mean double, ewma double"
@@ -51,10 +53,7 @@ def scored(points: DataFrame, references: DataFrame) -> DataFrame:
 
 def drained(spark: SparkSession, stream: DataFrame, name: str = "scores") -> DataFrame:
     """All rows of a stream over what is there now, through files in the shared folder."""
-    import tempfile
-
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="tidemark-")
-    path = f"{at}/tidemark-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
     query = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
@@ -62,10 +61,7 @@ def drained(spark: SparkSession, stream: DataFrame, name: str = "scores") -> Dat
 
 def replayed(spark: SparkSession, rows: DataFrame, files: int = 4) -> DataFrame:
     """A stream of a panel's rows (id, t, value), in as many micro-batches, in order of t."""
-    import tempfile
-
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="tidemark-")
-    path = f"{at}/tidemark-points-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tidemark-points-{uuid.uuid4().hex}"
     rows = rows.select("id", F.col("t").cast("long").alias("t"), F.col("value").cast("double").alias("value"))
     cuts = rows.approxQuantile("t", [i / files for i in range(1, files)], 0.01) if files > 1 else []
     low = 0.0
