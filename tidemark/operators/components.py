@@ -1,19 +1,42 @@
-"""Connected components of an edge table by alternating star contractions."""
+"""Connected components of an edge table by alternating star contractions, and joins with keys of any weight."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.sources.shared import checkpointed
+
+#: Rows of a key from which it is hot, at least, and the most keys that are. As a hot key has more than total / HOT_KEYS rows, there can't be more.
+HOT_ROWS, HOT_KEYS = 256, 100_000
+
+
+def attached(many: DataFrame, one: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+    """many joined with one, which has a single row for each key, and in weight about how many of the total rows of many have it.
+
+    The rows of hot keys are sent to every task, and rows of many with such a key are dealt by all of their columns; there are at most HOT_KEYS hot
+    keys, whatever the total. The other keys are shuffled, and none of them has more than total / HOT_KEYS rows, or HOT_ROWS.
+    """
+    bound = max(HOT_ROWS, total // HOT_KEYS)
+    more = [c for c in one.columns if c not in (*keys, weight)]
+    found = F.struct(*more)
+    hot = one.filter(F.col(weight) > bound).select(*keys, found.alias("hot_row"))
+    # no literal, as the planner would take that for a filter and deal the rows by their keys alone
+    cold = one.filter(F.col(weight) <= bound).select(*keys, F.pmod(F.col(weight), F.lit(1)).alias("part"), found.alias("cold_row"))
+    part = F.when(F.col("hot_row").isNull(), F.lit(0).cast("long")).otherwise(1 + F.pmod(F.xxhash64(*many.columns), F.lit(1 << 16)))
+    met = many.join(F.broadcast(hot), keys, "left").withColumn("part", part).join(cold, [*keys, "part"], "left").withColumn("row", F.coalesce("hot_row", "cold_row"))
+    return met.filter("row is not null").select(*many.columns, "row.*")
+
+
+def _both(edges: DataFrame, *pairs: tuple) -> DataFrame:
+    """A row (node, other) for each of the pairs of columns of an edge."""
+    return edges.select(F.explode(F.array(*(F.struct(F.col(a).alias("a"), b.alias("b")) for a, b in pairs))).alias("e")).select("e.*")
+
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that spark.checkpoint.dir names; a temporary one only where it is unset, as in tests on one machine."""
-    spark = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tidemark-"))
-    return df.checkpoint(eager=True)
+def _stars(edges: DataFrame) -> bool:
+    """Whether the edges (a, b) are stars: no a has several edges, or is a b."""
+    ends = _both(edges, ("a", F.lit(1)), ("b", F.lit(0)))
+    return ends.groupBy("a").agg(F.sum("b").alias("up"), F.min("b").alias("least")).filter("up > 1 or up = 1 and least = 0").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -21,22 +44,19 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round hangs the neighbours of a node on the smallest of them, first the larger ones, then the smaller ones, until the edges are stars
     around the smallest nodes. The number of rounds grows with the logarithm of the number of nodes. Minima are combined before they are
-    shuffled, and a hot node's edges are joined with one row, which adaptive execution can split.
+    shuffled; the edges of a hot node meet its minimum where they are, see attached().
     """
     now = checkpointed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
-    state = None
-    while True:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        low = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+    while not _stars(now):
+        total = 2 * now.count()
+        both = _both(now, ("a", F.col("b")), ("b", F.col("a")))
+        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = attached(both, low, ["a"], "n", total).filter("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        down = large.distinct()
+        low = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = attached(down, low, ["a"], "n", total).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         now = checkpointed(small.distinct())
-        before, state = state, now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    return _both(now, ("a", F.col("b")), ("b", F.col("b"))).distinct().toDF("node", "component")
 
 
 def grouped(links: DataFrame) -> DataFrame:
