@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import minhash_dedup as dedup
 from tidemark.llm import simhash
 from tidemark.operators.components import components
-from tidemark.llm.shingles import Words, shingle_set
+from tidemark.llm.shingles import Words
 
 
 def corpus(seed, groups=25, hot=0):
@@ -27,9 +28,14 @@ def corpus(seed, groups=25, hot=0):
     return texts
 
 
+def shingled(text, k):
+    """The distinct word shingles of a text as tuples of words."""
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} - {()}
+
+
 def brute(rows, k, percent):
-    words = Words()
-    sets = [(i, set(shingle_set(words.hashes(t or ""), k).tolist())) for i, t in rows]
+    sets = [(i, shingled(t, k)) for i, t in rows]
     low = {i: i for i, _ in rows}
 
     def root(x):
@@ -52,13 +58,33 @@ def test_equals_all_pairs(spark):
         assert sorted(tuple(r) for r in got.collect()) == brute(rows, k, percent)
 
 
-def test_large_cluster_goes_through_blocks(spark, monkeypatch):
+def test_large_cluster_goes_through_heads_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(dedup, "BLOCK", 16)
-    rows = [(n, t) for n, t in enumerate(corpus(3, 6, hot=150))]
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(400)]
+    base = [rng.choice(words) for _ in range(200)]
+    # a group of near copies, and a chain of texts that share about half of the same words, some of them linked
+    texts = corpus(3, 6, hot=110)
+    for n in range(60):
+        own = base[n : n + 110] + [rng.choice(words) for _ in range(40)]
+        texts += [" ".join(own), " ".join([*own[:70], "other", *own[71:]])][: 1 + n % 2]
+    rows = list(enumerate(texts))
     got = dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85)
     assert sorted(tuple(r) for r in got.collect()) == brute(rows, 3, 85)
 
 
+def test_rows_that_share_a_doc_id(spark):
+    """They are documents of their own unless they are linked, and one row of each component stays."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a, "x"), (1, b, "y"), (2, c, "z"), (2, c.upper(), "z"), (3, b + " more", "u"), (4, a + " more", "v"), (None, c, "w"), (None, "no number at all here", "q"), (None, "no number at all here", "q"), (7, "", "e"), (7, "", "e")]
+    df = spark.createDataFrame([(i, t, x, 0, 0) for i, t, x in rows], "doc_id long, text string, _gone string, _again int, doc int")
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in dedup.near_duplicates(df).collect()), key=str)
+    assert got == sorted([(1, 1, True), (1, 1, True), (2, 2, True), (2, 2, True), (3, 1, False), (4, 1, False), (None, 2, False), (None, None, True), (None, None, True), (7, 7, True), (7, 7, True)], key=str)
+    kept = dedup.without_near_duplicates(df)
+    assert kept.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, a), (1, b), (2, c.upper()), (None, "no number at all here"), (7, ""), (7, "")], key=str)
+
+
 def test_signature_estimates_similarity():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 2**63, 600).astype(np.uint64)
@@ -136,6 +162,17 @@ def test_near_pairs_equal_all_pairs(spark):
         assert members.filter(F.col("class").isNull()).count() == 0 and members.count() == len(prints)
 
 
+def test_near_counts_of_every_tenth(spark):
+    rng = random.Random(3)
+    prints = [rng.getrandbits(64) for _ in range(60)]
+    prints += [p ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 5))) for p in prints for _ in range(4)] + [7] * 400
+    rows = [(i if i != 33 else None, f"{p:016x}", "x") for i, p in enumerate(prints)]
+    got = simhash.with_near_counts(spark.createDataFrame(rows, "doc_id long, fingerprint string, docs string"), 10).collect()
+    want = [(i, f, "x", sum((int(f, 16) ^ q).bit_count() <= 3 for q in prints) - 1 if i is not None and i % 10 == 0 else None) for i, f, _ in rows]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert simhash.with_near_counts(spark.createDataFrame([], "doc_id long, fingerprint string")).count() == 0
+
+
 def test_words_of_long_texts_hash_as_those_of_short_ones(monkeypatch):
     from tidemark.llm import shingles
 

@@ -9,7 +9,8 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from tidemark.llm import bpe_codec, token_count, token_orc
+from tidemark.llm import bpe_codec, byte_level, token_count, token_orc
+from tidemark.llm.common import staged
 from tidemark.llm.token_count import vocabulary_path
 
 PARTS = ["\x0b", "\x0c", " ", "  ", "\n", "\t", "a", "The", "'s", "'S", "é", "É", "漢", "1", "23", "½", "!", ",", "...", "\xa0", "\x1c", "\x85", "​", "́", "😀", "<|endoftext|>", "<|endof", "\r", "Σ", "ß", "İ", "_", "aaaaaa", "     "]
@@ -95,7 +96,34 @@ def test_token_files_hold_all_ids_in_order(spark, nasty, nothing):
     assert token_orc.digest(token_orc.write_tokens(nothing, path)[0]).count() == 0
 
 
-def test_token_files_prune_by_id(spark, nasty):
-    tokens, at = token_orc.write_tokens(nasty, vocabulary_path("word_bpe_49k.json"))
-    assert tokens.filter("doc_id = 8").count() == 1
-    assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,8)]" in tokens.filter("doc_id = 8")._jdf.queryExecution().toString()
+def scanned(df):
+    """Rows that a file scan returned after the files' indexes were used."""
+    df.collect()
+    leaf = df._jdf.queryExecution().executedPlan().collectLeaves().head()
+    return leaf.metrics().apply("numOutputRows").value()
+
+
+def test_token_files_prune_by_id(spark):
+    """A look-up reads one row group of a file, and none where the Bloom filter lacks the id, though it is within the file's range."""
+    docs = spark.range(0, 60_000, 2).selectExpr("id AS doc_id", "'a b' AS text")
+    tokens, at = token_orc.write_tokens(docs, vocabulary_path("word_bpe_49k.json"))
+    assert tokens.count() == 30_000
+    assert 1 <= scanned(tokens.filter("doc_id = 30008")) <= 2000 < scanned(tokens.filter("doc_id >= 0"))
+    assert sum(scanned(tokens.filter(f"doc_id = {i}")) for i in range(20_001, 20_021, 2)) <= 2000
+    bare, _ = staged(docs, "bare", "orc", **token_orc.ORC | {"orc.bloom.filter.columns": ""})
+    assert scanned(bare.filter("doc_id = 20001")) > 0
+
+
+def test_long_runs_are_not_kept(texts):
+    path = vocabulary_path("byte_bpe_50k.json")
+    long = ["漢字" * 300 + str(i) for i in range(50)] + ["x" * 200 + str(i) + "!" for i in range(50)]
+    codec, counter, library = bpe_codec.Codec(path), token_count.Counter(path), Tokenizer.from_file(path)
+    for text in [t + " " + t for t in long]:
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert codec.encode(text) == ",".join(map(str, ids)) and counter.count(text) == len(ids)
+    assert all(len(k) <= byte_level.KEY_CHARS for k in codec._units._spaced)
+    path = vocabulary_path("word_bpe_49k.json")
+    library, encoder = Tokenizer.from_file(path), token_orc.RunEncoder(path)
+    ids, at = encoder.encode(pa.array(long), 2)
+    assert [ids[x:y].tolist() for x, y in zip(at, at[1:], strict=False)] == [[*e.ids, 2] for e in library.encode_batch(long, add_special_tokens=False)]
+    assert all(len(k) <= token_orc.KEY_BYTES for k in encoder._kept)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.byte_level import Kept, Units, loaded
-from tidemark.llm.common import map_rows, small_batches, table
+from tidemark.llm.common import map_rows, table
 from tidemark.llm.token_count import vocabulary_path
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -109,7 +109,6 @@ class Codec:
 
 def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """One row for each row of docs: its id, n_tokens, sha256 of the ids and of the text decoded from them; with_ids adds the ids themselves."""
-    small_batches(docs.sparkSession)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
 
     def make():

@@ -61,6 +61,10 @@ def loaded(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+#: Characters of the longest key that is kept, so that a store's size is bounded in bytes; values of longer ones are made again.
+KEY_CHARS = 64
+
+
 class Kept(dict):
     """A dictionary that makes missing values and holds two generations of at most bound keys each: at its bound the young one becomes the old one, from which keys that are still in use come back."""
 
@@ -69,6 +73,8 @@ class Kept(dict):
         self._make, self._bound, self._old = make, bound, {}
 
     def __missing__(self, key):
+        if isinstance(key, str) and len(key) > KEY_CHARS:
+            return self._make(key)
         value = self._old.get(key)
         if value is None:
             value = self._make(key)

@@ -1,42 +1,25 @@
-"""What the corpus operators share: reading tables, Arrow batch sizes and the shared folder."""
+"""What the corpus operators share: reading tables, batches of rows and the shared folder."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-#: Rows of an Arrow batch. Texts average a few kB, and single ones can be very long.
-BATCH_ROWS, BATCH_BYTES = 512, 32 << 20
+from tidemark.sources.shared import checkpointed, shared_dir
 
+__all__ = ["bounded", "checkpointed", "map_rows", "shared_dir", "sliced", "staged", "table"]
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound what a Python worker holds at once, by rows and bytes; a batch ends where either is reached."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-
+#: Rows that a worker's function gets at once. Texts average a few kB; Spark bounds the bytes of a batch that has many long ones.
+BATCH_ROWS = 512
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where it is unset, as in tests on one machine."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.sparkContext.setCheckpointDir(at)
-    return at
 
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with files in the shared folder, so that a lost executor costs no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def staged(df: DataFrame, name: str, fmt: str = "parquet", **options: str) -> tuple[DataFrame, str]:
@@ -52,13 +35,18 @@ def bounded(df: DataFrame, rows: int = 10_000) -> DataFrame | None:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else None
 
 
-def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with per-task state: make() runs once a task and gives the function for its batches."""
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches cut to up to so many rows each. The session's settings stay as they are."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
+def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str | StructType, rows: int = BATCH_ROWS) -> DataFrame:
+    """mapInArrow with per-task state: make() runs once a task and gives the function for its batches, of up to so many rows each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = make()
-        for batch in batches:
-            if batch.num_rows:
-                yield one(batch)
+        yield from map(one, sliced(batches, rows))
 
     return df.mapInArrow(run, schema)

@@ -7,7 +7,8 @@ all segments are tiled with patches of a fixed shape, which are stored as an Arr
 for the digest.
 
 Everything is computed document by document in blocks of a fixed length, so equal payloads give equal features wherever they are
-computed, and memory for one document is bounded by its samples. Null payloads are empty: 64 zero bytes, which hold no segment.
+computed, and memory for one document is bounded by its samples. Resampling is integer arithmetic and the bands are summed in double precision, so that
+machines whose libraries add in different orders agree on the rounded features. Null payloads are empty: 64 zero bytes, which hold no segment.
 Repeated rows each get their own row; other columns are ignored. An empty table gives an empty result.
 """
 
@@ -22,12 +23,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm.common import map_rows, small_batches, table
+from tidemark.llm.common import map_rows, table
 
 UNIT, RATE, UP, DOWN = 64, 12_000, 2, 3
 FRAME, HOP, FFT, MELS, PATCH = 200, 80, 256, 32, 64
 #: Decibels over a document's median frame energy at which a segment opens and closes.
 OPEN_DB, CLOSE_DB, FLOOR = 0.5, -0.5, 1e-6
+#: Filter taps are integers in this unit, so that resampling is exact on any machine.
+TAP_UNIT = 1 << 15
 #: Samples and frames that are computed at once.
 SAMPLE_BLOCK, FRAME_BLOCK = 1 << 18, 2048
 
@@ -63,33 +66,33 @@ def from_wav(stored: bytes) -> tuple[bytes, int]:
 
 @lru_cache(4)
 def low_pass(up: int, down: int, zeros: int = 8) -> np.ndarray:
-    """Windowed sinc at the lower of the two Nyquist rates, one row for each phase; taps[p, k] weighs the input k samples back."""
+    """Windowed sinc at the lower of the two Nyquist rates, one row for each phase; taps[p, k] / TAP_UNIT weighs the input k samples back."""
     half = zeros * max(up, down)
     t = np.arange(-half, half + 1) / max(up, down)
     h = np.sinc(t) * np.kaiser(len(t), 8.0)
     h *= up / h.sum()
     h = np.concatenate([h, np.zeros(-len(h) % up)])
-    return h.reshape(-1, up).T.astype(np.float32)
+    return np.rint(h.reshape(-1, up).T * TAP_UNIT).astype(np.int32)
 
 
 def resample(x: np.ndarray, up: int = UP, down: int = DOWN) -> np.ndarray:
-    """x at up/down times its rate: output n is the inner product of one filter phase with the samples around n * down / up."""
+    """Integer samples x at up/down times their rate, in units of 1 / TAP_UNIT: output n is the inner product of one filter phase with the samples around n * down / up."""
     taps = low_pass(up, down)
     width, delay = taps.shape[1], 8 * max(up, down)
     n_out = -(-len(x) * up // down)
-    out = np.empty(n_out, np.float32)
+    out = np.empty(n_out, np.int32)
     for start in range(0, n_out, SAMPLE_BLOCK - SAMPLE_BLOCK % up):
         stop = min(n_out, start + SAMPLE_BLOCK - SAMPLE_BLOCK % up)
         low = (start * down + delay) // up - width
         high = ((stop - 1) * down + delay) // up + 1
-        part = np.zeros(high - low, np.float32)
+        part = np.zeros(high - low, np.int32)
         a, b = max(low, 0), min(high, len(x))
         if a < b:
             part[a - low : b - low] = x[a:b]
         for r in range(min(up, stop - start)):
             n = np.arange(start + r, stop, up)
             phase, first = (n[0] * down + delay) % up, (n[0] * down + delay) // up - low
-            total = np.zeros(len(n), np.float32)
+            total = np.zeros(len(n), np.int32)
             for k in range(width):
                 total += taps[phase, k] * part[first - k : first - k + (len(n) - 1) * down + 1 : down]
             out[start + r : stop : up] = total
@@ -103,20 +106,20 @@ def mel_bands(rate: int, fft: int = FFT, mels: int = MELS) -> np.ndarray:
     edges = 700 * (10 ** (mel / 2595) - 1)
     f = np.arange(fft // 2 + 1)[:, None] * rate / fft
     rise, fall = (f - edges[:-2]) / (edges[1:-1] - edges[:-2]), (edges[2:] - f) / (edges[2:] - edges[1:-1])
-    return np.maximum(0, np.minimum(rise, fall)).astype(np.float32)
+    return np.maximum(0, np.minimum(rise, fall))
 
 
 def log_mel(y: np.ndarray, rate: int) -> tuple[np.ndarray, np.ndarray]:
     """Log band energies [frames, MELS] and frame energies in decibels, of overlapping windowed frames; the last one is filled with zeros."""
     n = max(1, -(-max(0, len(y) - FRAME) // HOP) + 1)
-    y = np.concatenate([y, np.zeros((n - 1) * HOP + FRAME - len(y), np.float32)])
+    y = np.concatenate([y, np.zeros((n - 1) * HOP + FRAME - len(y))])
     frames = np.lib.stride_tricks.as_strided(y, (n, FRAME), (y.strides[0] * HOP, y.strides[0]))
-    window, bands = np.hanning(FRAME).astype(np.float32), mel_bands(rate)
-    mel, energy = np.empty((n, MELS), np.float32), np.empty(n, np.float32)
+    window, bands = np.hanning(FRAME), mel_bands(rate)
+    mel, energy = np.empty((n, MELS), np.float32), np.empty(n)
     for a in range(0, n, FRAME_BLOCK):
         f = frames[a : a + FRAME_BLOCK] * window
-        power = np.abs(np.fft.rfft(f, FFT, axis=1)) ** 2
-        mel[a : a + FRAME_BLOCK] = np.log(power.astype(np.float32) @ bands + np.float32(FLOOR))
+        spectrum = np.fft.rfft(f, FFT, axis=1)
+        mel[a : a + FRAME_BLOCK] = np.log((spectrum.real**2 + spectrum.imag**2) @ bands + FLOOR)
         energy[a : a + FRAME_BLOCK] = 10 * np.log10((f * f).mean(axis=1) + FLOOR)
     return mel, energy
 
@@ -162,8 +165,8 @@ def from_ipc(stored: bytes) -> pa.Table:
 def features(stored: bytes) -> tuple[pa.RecordBatch, int]:
     """The tensors of a stored file, and its number of frames."""
     samples, rate = from_wav(stored)
-    x = (np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128
-    mel, energy = log_mel(resample(x), rate * UP // DOWN)
+    y = resample(np.frombuffer(samples, np.uint8).astype(np.int32) - 128)
+    mel, energy = log_mel(y / (128.0 * TAP_UNIT), rate * UP // DOWN)
     return tensors(mel, segments(energy), HOP * DOWN / UP / rate), len(mel)
 
 
@@ -184,7 +187,6 @@ def media(docs: DataFrame, id_col: str = "doc_id", payload_col: str = "text", wi
 
     with_tensors adds the stored file (media) and the tensors with their time spans as an Arrow stream (tensors).
     """
-    small_batches(docs.sparkSession, 256)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[payload_col].cast("binary").alias("payload"))
 
     def make():
@@ -209,7 +211,7 @@ def media(docs: DataFrame, id_col: str = "doc_id", payload_col: str = "text", wi
         return one
 
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return map_rows(rows, make, schema + ", media binary, tensors binary" * with_tensors)
+    return map_rows(rows, make, schema + ", media binary, tensors binary" * with_tensors, 128)
 
 
 def op1_audio_media(spark: SparkSession, sf_dir: str) -> DataFrame:

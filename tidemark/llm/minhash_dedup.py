@@ -5,17 +5,19 @@ a bijective mix of the hash, puts each shingle at a place of a ring; the second
 its least value over the set's places shifted by k. Bands of ROWS coordinates are bucket keys.
 
 Documents with equal sets are one class, so copies cost one row. Classes that share a bucket form candidate clusters, by connected
-components; every link is inside a cluster. There the links are confirmed on the full sets: a cluster of up to BLOCK classes is judged as a
-whole; a larger one is cut into blocks by set size, and each pair of blocks whose sizes allow a link is judged on its own, so that no
-group meets in one task. Only a spanning forest of the links leaves a task, never all pairs. Components of these links, with the smallest
-doc_id of each, are the result.
-
-A pair at the threshold shares no bucket with probability (1 - t**rows) ** BANDS, 3e-6 at 0.85 and 5e-6 at 0.8; links between
-members of a cluster are found without regard to buckets.
-
-Null and empty texts have an empty set and are linked with nothing. Equal rows are in one component, whatever their doc_ids; a row is kept if its
-doc_id is the smallest. A null doc_id names no component: its row counts as a copy if its set equals another's, and stands alone otherwise.
-Other columns are ignored, whatever their names. An empty table gives an empty result. Texts of any length are taken whole.
+components. There the links are confirmed on the full sets. A cluster of up to BLOCK classes is judged as a whole. In a larger one each class
+is first compared with a few heads of its buckets, which joins groups of near copies at a cost that grows with their number and not its square;
+then what isn't in one group yet is cut into blocks, and the pairs of blocks that share a bucket, hold different groups and may have a link by
+their sizes are judged, each on its own, so that no group meets in one task. Only a spanning forest of the links leaves a task, never all
+pairs. Components of these links, with the smallest doc_id of each, are the result.
+
+A pair at the threshold shares no bucket with probability (1 - t**rows) ** BANDS, 3e-6 at 0.85 and 5e-6 at 0.8; a chain of other links often
+joins such a pair all the same.
+
+Null and empty texts have an empty set and are linked with nothing. Rows with equal sets are in one component, whatever their doc_ids; a row is kept
+if its doc_id is the component's smallest, so repeated rows are kept or not together. Rows that share a doc_id but no link are documents of
+their own. A component whose rows all lack a doc_id has a null component_id and is kept; in others such rows aren't kept. Other columns are
+ignored, whatever their names. An empty table gives an empty result. Texts of any length are taken whole.
 """
 
 from __future__ import annotations
@@ -23,19 +25,23 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from tidemark.llm.common import checkpointed, map_rows, small_batches, staged, table
+from tidemark.llm.common import checkpointed, map_rows, sliced, staged, table
 from tidemark.llm.shingles import Words, mixed, shingle_set
-from tidemark.operators.components import components
+from tidemark.operators.components import attached, components
 
 RING, BANDS, SEED = 1 << 20, 40, 20240229
-#: Classes that are judged together, and columns of the incidence matrix at once.
+#: Classes that are judged together, more or less, and columns of the incidence matrix at once.
 BLOCK, COLUMNS = 256, 4096
+#: Shingles from which a set counts more than once in a block; heads that a class of a large cluster is compared with; members of a head that are compared in one group, about.
+LOAD, HEADS, SALT_ROWS = 2048, 4, 50_000
 
 
 def rows_of(percent: int) -> int:
@@ -67,9 +73,14 @@ def band_keys(least: np.ndarray, rows: int) -> np.ndarray:
     return mixed(key)
 
 
+def set_hash(own: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set."""
+    high, low = np.frombuffer(blake2b(own.tobytes(), digest_size=16).digest(), np.int64).tolist()
+    return high, low
+
+
 def _set_rows(docs: DataFrame, k: int, rows: int) -> DataFrame:
     """doc_id, n_shingles, hi and lo (a 128-bit hash of the set) and band keys, of every row."""
-    from hashlib import blake2b
 
     def make():
         words = Words()
@@ -79,9 +90,9 @@ def _set_rows(docs: DataFrame, k: int, rows: int) -> DataFrame:
             for text in batch.column("text").to_pylist():
                 own = shingle_set(words.hashes(text or ""), k)
                 n.append(len(own))
-                h = np.frombuffer(blake2b(own.tobytes(), digest_size=16).digest(), np.int64)
-                high.append(int(h[0]))
-                low.append(int(h[1]))
+                hi, lo = set_hash(own)
+                high.append(hi)
+                low.append(lo)
                 bands.append(band_keys(signature(own, rows * BANDS), rows).view(np.int64) if len(own) else None)
             return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "hi", "lo", "bands"])
 
@@ -91,18 +102,19 @@ def _set_rows(docs: DataFrame, k: int, rows: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id and its set as bytes."""
+    """The set of each row as bytes, and its hash."""
 
     def make():
         words = Words()
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [shingle_set(words.hashes(t or ""), k).tobytes() for t in batch.column("text").to_pylist()]
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary())], names=["node", "items"])
+            found = [shingle_set(words.hashes(t or ""), k) for t in batch.column("text").to_pylist()]
+            hashes = [set_hash(own) for own in found]
+            return pa.RecordBatch.from_arrays([*(pa.array([h[i] for h in hashes], pa.int64()) for i in (0, 1)), pa.array([own.tobytes() for own in found], pa.binary())], names=["hi", "lo", "items"])
 
         return one
 
-    return map_rows(docs, make, "node long, items binary")
+    return map_rows(docs, make, "hi long, lo long, items binary")
 
 
 def links(sets: list[np.ndarray], percent: int, split: int | None = None) -> Iterator[tuple[int, int]]:
@@ -157,48 +169,155 @@ def _grouped(rows: DataFrame, key: list[str], judge: Callable[[list[dict]], list
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, at, out = [], None, []
-        for batch in batches:
+        for batch in sliced(batches):
             for row in batch.to_pylist():
                 own = tuple(row[c] for c in key)
                 if own != at:
                     out += judge(group)
                     group, at = [], own
                 group.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+            yield _edges(out)
             out = []
-        out = judge(group)
-        yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+        yield _edges(judge(group))
 
     return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long")
 
 
-def _confirmed(clustered: DataFrame, percent: int) -> DataFrame:
-    """clustered (cluster, size, node, items) -> edges of a spanning forest of the links."""
+def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([e[i] for e in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
 
-    def whole(group: list[dict]) -> list[tuple[int, int]]:
+def _star_links(rows: DataFrame, percent: int) -> DataFrame:
+    """rows (b, salt, member, node, items) -> links (a, b): a member's set against that of the head of its group, which sorts first. Groups stream, whatever their size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = None
+        for batch in sliced(batches):
+            found = []
+            for r in batch.to_pylist():
+                items = np.frombuffer(r["items"], np.uint64)
+                if not r["member"]:
+                    head = items
+                else:
+                    common = len(np.intersect1d(items, head, assume_unique=True))
+                    if 100 * common >= percent * (len(items) + len(head) - common):
+                        found.append((r["node"], r["b"]))
+            yield _edges(found)
+
+    return rows.repartition("b", "salt").sortWithinPartitions("b", "salt", "member").mapInArrow(run, "a long, b long")
+
+
+def _stars(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """buckets (node, key) -> confirmed links (a, b) of each node with up to HEADS heads of its buckets, one head a bucket.
+
+    The head is that with the least number mixed with the key, so the buckets of a group have different heads. Groups of a head are cut by SALT_ROWS.
+    """
+    heads = buckets.withColumn("p", F.col("node").bitwiseXOR(F.col("key"))).groupBy("key").agg(F.min("p").alias("p"), F.count("*").alias("n")).filter("n > 1")
+    heads = checkpointed(heads.select("key", F.col("p").bitwiseXOR(F.col("key")).alias("b"), "n"))
+    met = attached(buckets, heads, ["key"], "n", buckets.count()).filter("node <> b").groupBy("node", "b").agg(F.count("*").alias("shared"))
+    order = Window.partitionBy("node").orderBy(F.desc("shared"), "b")
+    stars = checkpointed(met.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= HEADS).select("node", "b"))
+    salted = stars.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(max(8, stars.count() // SALT_ROWS))))
+    members = salted.join(sets, "node").select("b", "salt", F.lit(True).alias("member"), "node", "items")
+    tops = salted.select("b", "salt").distinct().join(sets.withColumnRenamed("node", "b"), "b").select("b", "salt", F.lit(False).alias("member"), F.col("b").alias("node"), "items")
+    return _star_links(members.unionByName(tops), percent)
+
+
+def _pairs_of_blocks(buckets: DataFrame, blocked: DataFrame, percent: int) -> DataFrame:
+    """cluster, left and right: the pairs of blocks in which a link between different groups can be, as they share a bucket and their sizes allow one.
+
+    Two members of a bucket from different groups aren't both in the group that most of the bucket's blocks are of, so each block meets only those
+    with others; the blocks of one large group don't meet each other.
+    """
+    held = buckets.join(blocked, "node").groupBy("key", "cluster", "block").agg(F.min("group").alias("low"), F.max("group").alias("high"))
+    held = checkpointed(held)
+    tops = held.groupBy("key", "low").agg(F.count("*").alias("n"), F.max("high").alias("most")).groupBy("key").agg(F.max_by("low", F.struct("n", "low")).alias("top"), F.min("low").alias("least"), F.max("most").alias("most")).filter("least < most")
+    others = held.join(tops.select("key", "top"), "key").filter("low <> top or high <> top").select("key", F.col("block").alias("other"))
+    pairs = held.select("key", "cluster", "block").join(others, "key").select("cluster", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right")).distinct()
+    blocks = blocked.groupBy("cluster", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("group").alias("first"), F.max("group").alias("last"))
+    for side in ("left", "right"):
+        pairs = pairs.join(blocks.select("cluster", F.col("block").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in ("low", "high", "first", "last"))), ["cluster", side])
+    one = (F.col("left_first") == F.col("left_last")) & (F.col("left_first") == F.col("right_first")) & (F.col("left_first") == F.col("right_last"))
+    fit = (F.col("left_high") * 100 >= F.col("right_low") * percent) & (F.col("right_high") * 100 >= F.col("left_low") * percent)
+    return pairs.filter(fit & ~one).select("cluster", "left", "right")
+
+
+def _judge_small(percent: int) -> Callable[[list[dict]], list[tuple[int, int]]]:
+    def judge(group: list[dict]) -> list[tuple[int, int]]:
         return _forest([r["node"] for r in group], links([np.frombuffer(r["items"], np.uint64) for r in group], percent)) if len(group) > 1 else []
 
-    def across(group: list[dict]) -> list[tuple[int, int]]:
+    return judge
+
+
+def _judge_blocks(percent: int) -> Callable[[list[dict]], list[tuple[int, int]]]:
+    def judge(group: list[dict]) -> list[tuple[int, int]]:
         if not group:
             return []
         group = sorted(group, key=lambda r: r["block"])
         split = None if group[0]["left"] == group[0]["right"] else sum(r["block"] == r["left"] for r in group)
         return _forest([r["node"] for r in group], links([np.frombuffer(r["items"], np.uint64) for r in group], percent, split)) if len(group) > 1 else []
 
-    small = _grouped(clustered.filter(F.col("size") <= BLOCK).select("cluster", "node", "items"), ["cluster"], whole)
-    large = clustered.filter(F.col("size") > BLOCK).withColumn("n", F.length("items"))
-    # a class's rank by size in its cluster, without a task that sees a whole cluster: its place in a range of (cluster, n), and the counts of the ranges before
-    order = ["cluster", "n", "node"]
-    ranged = checkpointed(large.select(*order).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()).withColumn("part", F.shiftright("at", 33)))
-    parts = ranged.groupBy("cluster", "part").agg(F.count("*").alias("rows"), F.min("at").alias("first"))
-    parts = parts.withColumn("before", F.sum("rows").over(Window.partitionBy("cluster").orderBy("part")) - F.col("rows"))
-    blocked = ranged.join(parts, ["cluster", "part"]).select(*order, F.floor((F.col("before") + F.col("at") - F.col("first")) / BLOCK).alias("block"))
-    blocks = blocked.groupBy("cluster", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    left, right = (blocks.select("cluster", F.col("block").alias(s), F.col("low").alias(f"{s}_low"), F.col("high").alias(f"{s}_high")) for s in ("left", "right"))
-    pairs = left.join(right, "cluster").filter((F.col("left") <= F.col("right")) & (F.col("left_high") * 100 >= F.col("right_low") * percent)).select("cluster", "left", "right")
+    return judge
+
+
+def _large(clustered: DataFrame, buckets: DataFrame, percent: int) -> DataFrame:
+    """Links of the clusters that are too large to be judged as a whole: clustered (cluster, node, n, load, items) and their buckets (node, key)."""
+    sets = clustered.select("node", "items")
+    stars = checkpointed(_stars(buckets, sets, percent))
+    groups = components(stars)
+    members = clustered.select("cluster", "node", "n", "load").join(groups, "node", "left").select("cluster", F.coalesce("component", "node").alias("group"), "n", "node", "load")
+    # blocks in the order of group and size, without a task that sees a whole cluster: running loads in a range, and the loads of the ranges before
+    order = ["cluster", "group", "n", "node"]
+    ranged = checkpointed(members.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    parts = ranged.groupBy("cluster", "part").agg(F.sum("load").alias("rows"))
+    parts = parts.withColumn("before", F.sum("rows").over(Window.partitionBy("cluster").orderBy("part")) - F.col("rows")).drop("rows")
+    own = F.sum("load").over(Window.partitionBy("cluster", "part").orderBy(*order[1:])) - F.col("load")
+    blocked = checkpointed(ranged.withColumn("own", own).join(parts, ["cluster", "part"]).select(*order, F.floor((F.col("before") + F.col("own")) / BLOCK).alias("block")))
+    pairs = checkpointed(_pairs_of_blocks(buckets, blocked, percent))
     wanted = pairs.select("*", F.col("left").alias("block")).unionByName(pairs.filter("left <> right").select("*", F.col("right").alias("block")))
-    members = large.select("node", "items").join(blocked.select("cluster", "node", "block"), "node").join(wanted, ["cluster", "block"])
-    return small.unionByName(_grouped(members.select("cluster", "left", "right", "block", "node", "items"), ["cluster", "left", "right"], across))
+    rows = sets.join(blocked.select("cluster", "node", "block"), "node").join(wanted, ["cluster", "block"])
+    return stars.unionByName(_grouped(rows.select("cluster", "left", "right", "block", "node", "items"), ["cluster", "left", "right"], _judge_blocks(percent)))
+
+
+def _confirmed(clustered: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """clustered (cluster, size, node, n, load, items) -> edges of a spanning forest of the links."""
+    small = _grouped(clustered.filter(F.col("size") <= BLOCK).select("cluster", "node", "items"), ["cluster"], _judge_small(percent))
+    large = clustered.filter(F.col("size") > BLOCK).drop("size")
+    if large.isEmpty():
+        return small
+    buckets = checkpointed(classes.join(large.select("node"), "node", "left_semi").select("node", F.explode("bands").alias("key")))
+    return small.unionByName(_large(large, buckets, percent))
+
+
+def _load(n: Column) -> Column:
+    """What a set of n shingles counts in a block: 1, and more if it is large, so that a block is bounded in bytes."""
+    return F.floor(n / LOAD) + 1
+
+
+def judged(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, hi and lo (the set's hash), component (a number, null for an empty set) and component_id of each row of docs (doc_id, text)."""
+    rows, _ = staged(_set_rows(docs, k, rows_of(percent)), "shingles")
+    classes = rows.filter("n_shingles > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("low"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"), F.count("*").alias("copies"))
+    classes, _ = staged(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    buckets = classes.select("node", F.explode("bands").alias("key"))
+    shared = buckets.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("most"), F.count("*").alias("weight")).filter("b < most").select("key", "b", "weight")
+    stars = attached(buckets, shared, ["key"], "weight", BANDS * classes.count()).select(F.col("node").alias("a"), "b")
+    clusters = components(stars).withColumnRenamed("component", "cluster")
+    clusters = checkpointed(clusters.join(classes.select("node", "n", "low", "hi", "lo"), "node"))
+    sizes = clusters.groupBy("cluster").agg(F.sum(_load(F.col("n"))).alias("size"), F.count("*").alias("weight"))
+    # the texts of the clustered classes: a row's set is taken if its hash is the class's, as rows may repeat a doc_id
+    named = docs.join(clusters.select(F.col("low").alias("doc_id")).distinct(), "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
+    sets = _sets(named, k).filter("length(items) > 0").dropDuplicates(["hi", "lo"])
+    members = attached(clusters, sizes, ["cluster"], "weight", clusters.count()).select("cluster", "size", "node", "n", _load(F.col("n")).alias("load"), "hi", "lo")
+    clustered = checkpointed(sets.join(members, ["hi", "lo"]).drop("hi", "lo"))
+    found = checkpointed(components(_confirmed(clustered, classes, percent)).join(classes.select("node", "low"), "node"))
+    lows = found.groupBy("component").agg(F.min("low").alias("least"), F.count("*").alias("weight"))
+    found = attached(found, lows, ["component"], "weight", found.count()).select("node", "component", "least")
+    names = checkpointed(classes.join(found, "node", "left").select("hi", "lo", F.coalesce("component", "node").alias("component"), F.coalesce("least", "low").alias("least"), "copies"))
+    rows = rows.select("doc_id", "n_shingles", "hi", "lo")
+    named = attached(rows.filter("n_shingles > 0"), names, ["hi", "lo"], "copies", rows.count())
+    empty = rows.filter("n_shingles = 0").select("*", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("least"))
+    return named.unionByName(empty).withColumnRenamed("least", "component_id")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -206,33 +325,44 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
     Links are pairs with 100 * intersection >= percent * union of their sets of k-word shingles.
     """
-    small_batches(docs.sparkSession)
-    docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    rows, _ = staged(_set_rows(docs, k, rows_of(percent)), "shingles")
-    classes = rows.filter("n_shingles > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("node"), F.min_by("bands", "doc_id").alias("bands"))
-    classes, _ = staged(classes, "classes")
-    buckets = classes.select("node", F.explode("bands").alias("key"))
-    shared = buckets.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("most")).filter("b < most").select("key", "b")
-    clusters = components(buckets.join(shared, "key").select(F.col("node").alias("a"), "b"))
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("size"))
-    clusters = clusters.join(sizes, "component").select("node", F.col("component").alias("cluster"), "size")
-    sets = _sets(docs.join(clusters.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), k)
-    found = components(_confirmed(checkpointed(sets.filter("length(items) > 0").distinct().join(clusters, "node")), percent))
-    names = classes.join(found, "node", "left").select("hi", "lo", F.coalesce("component", "node").alias("class"))
-    rows = rows.select("doc_id", "n_shingles", "hi", "lo").join(names, ["hi", "lo"], "left")
-    component = F.coalesce("class", "doc_id")
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    rows = judged(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")), k, percent)
+    return rows.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _hashed(rows: DataFrame, k: int) -> DataFrame:
+    """rows (doc_id, text, doc) with the hash of their set."""
+
+    def make():
+        words = Words()
+
+        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = [set_hash(shingle_set(words.hashes(t or ""), k)) for t in batch.column("text").to_pylist()]
+            return pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([h[i] for h in found], pa.int64()) for i in (0, 1))], names=[*batch.schema.names, "hi", "lo"])
+
+        return one
+
+    return map_rows(rows, make, StructType([*rows.schema.fields, StructField("hi", LongType()), StructField("lo", LongType())]))
 
 
 def without_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns: one of each component."""
-    judged = checkpointed(near_duplicates(docs, k, percent, id_col, text_col))
-    kept = docs.join(judged.filter("not kept").select(F.col("doc_id").alias("_gone")).distinct(), docs[id_col].cast("long") == F.col("_gone"), "left_anti")
-    again = judged.filter("kept").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").select(F.col("doc_id").alias("_again"))
+    """The rows of docs that stay, with all their columns: one of each component, that with the smallest doc_id, and every row without words.
+
+    Of several rows of a component with that doc_id, the one with the least text stays. Columns may have any names.
+    """
+    whole = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), F.struct(*(docs[c] for c in docs.columns)).alias("doc"))
+    rows = checkpointed(judged(whole.select("doc_id", "text"), k, percent))
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    ids = checkpointed(rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(kept).alias("kept")).filter("n > 1 or not kept or doc_id is null"))
+    sure = whole.select("doc_id", "doc").join(ids.select("doc_id"), "doc_id", "left_anti").filter("doc_id is not null").select("doc.*")
+    again = ids.filter("n > 1 or doc_id is null")
     if again.isEmpty():
-        return kept
-    same = kept[id_col].cast("long") == F.col("_again")
-    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates([id_col]))
+        return sure
+    # rows that share a doc_id, or lack one, are told apart by their sets
+    unsure = _hashed(whole.join(again.filter("kept").select("doc_id"), "doc_id", "left_semi").unionByName(whole.filter("doc_id is null")), k)
+    places = rows.filter(kept).select("doc_id", "hi", "lo", "component").distinct().select(F.col("doc_id").alias("of"), F.col("hi").alias("of_hi"), F.col("lo").alias("of_lo"), "component")
+    unsure = unsure.join(places, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("hi") == F.col("of_hi")) & (F.col("lo") == F.col("of_lo")))
+    chosen = unsure.filter("component is not null").groupBy("component").agg(F.min_by("doc", F.struct("text", F.to_json("doc"))).alias("doc"))
+    return sure.unionByName(chosen.select("doc.*")).unionByName(unsure.filter("component is null").select("doc.*"))
 
 
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,9 +3,10 @@
 The terms of a text are its words and its pairs of neighbouring words. Each distinct term's 64-bit hash votes with weight
 1 + ln(count): for a bit that is set, against one that isn't. The signs of the sums are the fingerprint.
 
-near_pairs finds all fingerprints within a Hamming radius with permuted block tables: the bits are cut into blocks, and of any two
+searched finds all fingerprints within a Hamming radius with permuted block tables: the bits are cut into blocks, and of any two
 fingerprints within the radius some choice of blocks must agree; there is a table for each choice, whose key holds these blocks, and
-pairs that share a key in a table are verified. Equal fingerprints are one class first, so copies make no pairs.
+pairs that share a key in a table are verified. Equal fingerprints are one class first, so copies make no pairs. The query searches for the documents
+whose doc_id is divisible by QUERY_EVERY among all, and near_pairs for every pair.
 
 fingerprints_of_edits sorts documents by doc_id in ranges; each partition streams its rows and needs of the next partition only its first
 text. The first and last texts of the partitions meet in a second step. Null texts are empty; an empty text has fingerprint 0. Rows that
@@ -20,13 +21,16 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpointed, small_batches, table
+from tidemark.llm.common import checkpointed, sliced, table
 from tidemark.llm.shingles import Words, mixed, shingles
+from tidemark.operators.components import attached
 
 BITS = 64
+#: The search: the chosen Hamming radius, the blocks that fingerprints are cut into, the parts of a key's fingerprints, and every how many ids a document is a query.
+RADIUS, BLOCKS, SALTS, QUERY_EVERY = 3, 5, 8, 100
 #: Terms that vote at once, so that a long text's vote table stays small.
 VOTE_BLOCK = 1 << 15
 
@@ -78,7 +82,6 @@ def _judged(hasher: Fingerprints, doc_id: int | None, text: str, own: int, after
 
 def fingerprints_of_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs, see FIELDS; "next" is by ascending doc_id, after the last the first."""
-    small_batches(docs.sparkSession)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
 
@@ -90,7 +93,7 @@ def fingerprints_of_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str
             more = [pa.array([v] * len(found), t) for v, t in ((edge, pa.string()), (text, pa.string()), (order, pa.int32()))]
             return pa.RecordBatch.from_arrays(columns + more, names=[*FIELDS, "edge", "text", "part"])
 
-        for batch in batches:
+        for batch in sliced(batches):
             found = []
             for doc_id, text, part in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "part")), strict=True):
                 own = hasher.of(text)
@@ -104,11 +107,11 @@ def fingerprints_of_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str
             yield out([(held[0], *[None] * 6)], "last", held[1], part)
 
     done = checkpointed(rows.mapInArrow(run, SCHEMA + ", edge string, text string, part int"))
-    # two rows a partition: each last text meets the first text of the next partition that has rows
+    # two rows a partition: each last text meets the first text of the next partition that has rows, after the last one that of the first; only the partitions' numbers are put in order
     turn = Window.orderBy("part")
-    firsts = done.filter("edge = 'first'").select("part", F.col("text").alias("after"), F.row_number().over(turn).alias("turn"), F.count("*").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n"))
-    lasts = done.filter("edge = 'last'").select("doc_id", "text", F.row_number().over(turn).alias("turn"))
-    meet = lasts.join(firsts.select((F.when(F.col("turn") == 1, F.col("n")).otherwise(F.col("turn") - 1)).alias("turn"), "after"), "turn")
+    turns = done.filter("edge = 'first'").select("part", F.coalesce(F.lead("part").over(turn), F.first("part").over(turn)).alias("next"))
+    firsts = done.filter("edge = 'first'").select(F.col("part").alias("next"), F.col("text").alias("after"))
+    meet = done.filter("edge = 'last'").select("doc_id", "text", "part").join(turns, "part").join(firsts, "next")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Fingerprints()
@@ -116,28 +119,58 @@ def fingerprints_of_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str
             found = [_judged(hasher, d, t, hasher.of(t), a, hasher.of(a)) for d, t, a in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "after")), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate(_TYPES)], names=list(FIELDS))
 
-    return done.filter("edge is null").select(*FIELDS).unionByName(meet.select("doc_id", "text", "after").mapInArrow(join, SCHEMA))
+    return done.filter("edge is null").select(*FIELDS).unionByName(checkpointed(meet.select("doc_id", "text", "after").mapInArrow(join, SCHEMA)))
+
+
+def _tables(radius: int, blocks: int) -> list[int]:
+    """The mask of each table's blocks, as a signed number: of any two fingerprints within radius, at least blocks - radius blocks agree."""
+    cuts = [round(i * BITS / blocks) for i in range(blocks + 1)]
+    masks = [sum(((1 << (cuts[b + 1] - cuts[b])) - 1) << cuts[b] for b in chosen) for chosen in combinations(range(blocks), blocks - radius)]
+    return [m - (1 << BITS) if m >> (BITS - 1) else m for m in masks]
+
+
+def _bits(print_: Column) -> Column:
+    return F.conv(print_, 16, -10).cast("long")
+
 
+def searched(queries: DataFrame, classes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """queries (a) and classes (b, and others), both of distinct fingerprints (hexadecimal) -> a, distance and the columns of all classes within radius, a itself included.
 
-def near_pairs(prints: DataFrame, radius: int = 3, blocks: int | None = None, id_col: str = "doc_id", print_col: str = "fingerprint") -> tuple[DataFrame, DataFrame]:
+    A pair is reported by the first table that it agrees in. The classes of a key are dealt over SALTS tasks, to each of which the queries go.
+    """
+    masks = _tables(radius, blocks)
+    keys = lambda bits: F.posexplode(F.array(*(bits.bitwiseAND(F.lit(m).cast("long")) for m in masks))).alias("t", "v")
+    left = queries.select("a", _bits(F.col("a")).alias("a_bits")).select("a", "a_bits", keys(F.col("a_bits"))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    right = classes.withColumn("b_bits", _bits(F.col("b"))).select("*", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("salt"), keys(F.col("b_bits")))
+    apart = F.col("a_bits").bitwiseXOR(F.col("b_bits"))
+    first = F.coalesce(*(F.when(apart.bitwiseAND(F.lit(m).cast("long")) == 0, i) for i, m in enumerate(masks)))
+    pairs = right.join(left, ["t", "v", "salt"]).withColumn("distance", F.bit_count(apart))
+    return pairs.filter((F.col("distance") <= radius) & (F.col("t") == first)).select("a", "distance", *classes.columns)
+
+
+def near_pairs(prints: DataFrame, radius: int = RADIUS, blocks: int | None = None, id_col: str = "doc_id", print_col: str = "fingerprint") -> tuple[DataFrame, DataFrame]:
     """All pairs of different fingerprints (hexadecimal) within radius, as classes (a, b, distance), and the membership (id, class).
 
     A class is named by its fingerprint. blocks > radius; each of the tables is keyed by blocks - radius of them. A null fingerprint belongs to no class.
     """
-    blocks = blocks or radius + 3
     members = prints.filter(prints[print_col].isNotNull()).select(prints[id_col].alias("doc_id"), prints[print_col].alias("class"))
-    classes = members.select("class").distinct().withColumn("bits", F.conv("class", 16, -10).cast("long"))
-    cuts = [round(i * BITS / blocks) for i in range(blocks + 1)]
-    keys = []
-    for i, chosen in enumerate(combinations(range(blocks), blocks - radius)):
-        mask = sum(((1 << (cuts[b + 1] - cuts[b])) - 1) << cuts[b] for b in chosen)
-        keys.append(F.struct(F.lit(i).alias("t"), F.col("bits").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long")).alias("v")))
-    rows = classes.withColumn("key", F.explode(F.array(*keys))).select("class", "bits", "key.t", "key.v")
-    left, right = (rows.select(F.col("class").alias(n), F.col("bits").alias(f"{n}_bits"), "t", "v") for n in ("a", "b"))
-    distance = F.bit_count(F.col("a_bits").bitwiseXOR(F.col("b_bits")))
-    pairs = left.join(right, ["t", "v"]).filter((F.col("a") < F.col("b")) & (distance <= radius)).select("a", "b", distance.alias("distance")).distinct()
-    return pairs, members
+    classes = members.select("class").distinct()
+    pairs = searched(classes.withColumnRenamed("class", "a"), classes.withColumnRenamed("class", "b"), radius, blocks or radius + 2)
+    return pairs.filter("a < b").select("a", "b", "distance"), members
+
+
+def with_near_counts(prints: DataFrame, every: int = QUERY_EVERY, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """prints (doc_id, fingerprint, and others) with near_docs: the number of other rows whose fingerprint is within radius, for rows whose doc_id is divisible by every; else null."""
+    asked = F.col("doc_id") % every == 0
+    classes = prints.groupBy(F.col("fingerprint").alias("b")).agg(F.count("*").alias("docs"), F.count(F.when(asked, 1)).alias("queries"))
+    classes = checkpointed(classes)
+    found = searched(classes.filter("queries > 0").select(F.col("b").alias("a")), classes.select("b", "docs"), radius, blocks)
+    found = found.groupBy(F.col("a").alias("fingerprint")).agg((F.sum("docs") - 1).alias("near_docs"))
+    found = checkpointed(found.join(classes.filter("queries > 0").select(F.col("b").alias("fingerprint"), "queries"), "fingerprint"))
+    total = classes.agg(F.coalesce(F.sum("queries"), F.lit(0))).first()[0]
+    others = prints.filter(~F.coalesce(asked, F.lit(False))).withColumn("near_docs", F.lit(None).cast("long"))
+    return attached(prints.filter(asked), found, ["fingerprint"], "queries", total).select(*prints.columns, "near_docs").unionByName(others)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints_of_edits(table(spark, sf_dir, "documents"))
+    return with_near_counts(fingerprints_of_edits(table(spark, sf_dir, "documents")))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.byte_level import Kept, Units, loaded
-from tidemark.llm.common import map_rows, small_batches, table
+from tidemark.llm.common import map_rows, table
 
 VOCABULARY, LIMIT = "byte_bpe_50k.json", 1024
 
@@ -70,7 +70,6 @@ class Counter:
 
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
     """One row for each row of docs: its id, n_bytes, n_tokens, over_limit (n_tokens > limit)."""
-    small_batches(docs.sparkSession)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
 
     def make():

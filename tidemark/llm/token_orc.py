@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpointed, map_rows, small_batches, staged, table
+from tidemark.llm.common import checkpointed, map_rows, staged, table
 from tidemark.llm.token_count import vocabulary_path
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
@@ -38,8 +38,8 @@ LATIN = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 #: Texts in a batch; the more, the fewer look-ups, as words repeat.
 RUN_ROWS = 8192
-#: Distinct words that the library gets as one text.
-JOINED = 512
+#: Distinct words that the library gets as one text, and bytes of the longest run whose ids are kept.
+JOINED, KEY_BYTES = 512, 64
 
 
 @lru_cache(2)
@@ -92,7 +92,13 @@ class RunEncoder:
         new = [r for r in runs if r not in self._kept]
         self._kept.update((r, self._old[r]) for r in new if r in self._old)
         self._learn([r for r in new if r not in self._old])
-        return list(map(self._kept.__getitem__, runs))
+        own = list(map(self._kept.__getitem__, runs))
+        for r in new:  # long runs aren't held, so that the store is bounded in bytes
+            if len(r) > KEY_BYTES:
+                self._kept.pop(r, None)
+                self._kept.pop(r.rstrip(PUNCTUATION), None)
+                self._kept.pop(r[len(r.rstrip(PUNCTUATION)) :], None)
+        return own
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, end_id after each, and where each text's ids start; runs are numbered by Arrow and looked up once a batch."""
@@ -121,7 +127,6 @@ def token_rows(docs: DataFrame, path: str, end_id: int = END_ID, id_col: str = "
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    small_batches(docs.sparkSession, RUN_ROWS)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
@@ -135,7 +140,7 @@ def token_rows(docs: DataFrame, path: str, end_id: int = END_ID, id_col: str = "
 
         return one
 
-    return map_rows(rows, make, "doc_id long, ids array<int>").withColumn("place", F.monotonically_increasing_id())
+    return map_rows(rows, make, "doc_id long, ids array<int>", RUN_ROWS).withColumn("place", F.monotonically_increasing_id())
 
 
 def write_tokens(docs: DataFrame, path: str, **how) -> tuple[DataFrame, str]:
