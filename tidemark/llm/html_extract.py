@@ -12,7 +12,8 @@ headings in an article are exempt, and so are its sections' ids but for reader c
 most of the articles' text or of the page's (beside an article, if that is long, as an advert may be longer than a short article); a thread
 of comments may be longer than the article. White space inside a line becomes one space, lines are joined by one space, and
 nothing between surge and dive is dropped. Null, empty and text-free pages give an empty text. Unclosed and misplaced tags are tolerated:
-an end tag closes the nearest element of its name, if any, and text up to the end of a cut-off page counts.
+an end tag closes the nearest element of its name, if any, and text up to the end of a cut-off page counts. The work grows with the length of a page,
+however its tags are nested. Repeated rows each get their own row; other columns are ignored, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm.common import map_rows, small_batches, table
+from tidemark.llm.common import map_rows, table
 
 #: Lines of a window, and characters in it from which text surges on pages without an article.
 WINDOW, SURGE = 3, 86
@@ -114,6 +115,9 @@ class Lines:
         self.main: list[int] = []
         self.gone: list[int] = []
         self._open: list[tuple[str, int, int, list[int]]] = []
+        self._at: dict[str, list[int]] = {}  # where the open elements of a name are, the last one last; likewise those that an inline end tag doesn't reach over, and those that none does
+        self._blocks: list[int] = []
+        self._bodies: list[int] = []
         self._parts: list[str] = []
         self._hidden = self._in = self._mains = self._gone = 0
         self._hid = False  # text of this line was left out
@@ -134,7 +138,7 @@ class Lines:
                 low = low or page.lower()
                 end = low.find(f"</{name}", at) if len(low) == len(page) else next((e.start() for e in re.compile(f"</{re.escape(name)}", re.I).finditer(page, at)), -1)
                 at = len(page) if end < 0 else end
-                self._open.append((name, SHOWN, self._in, []))
+                self._enter(name, SHOWN, self._in, [])
                 self._count[SHOWN] += 1
             elif name not in VOID and not m[3].endswith("/"):
                 why, own = _hidden(name, m[3], bool(self._in)), []
@@ -149,9 +153,9 @@ class Lines:
                 if name in MAIN and not self._count[HARD] and not self._count[THREAD] and not self._in:
                     self._mains += 1
                     self._in = self._mains
-                    self._open.append((name, why, -1, own))
+                    self._enter(name, why, -1, own)
                 else:
-                    self._open.append((name, why, self._in, own))
+                    self._enter(name, why, self._in, own)
         self._take(page[at:])
         self._end_line()
         self._leave(0)
@@ -174,18 +178,24 @@ class Lines:
             self.gone.append(self._gone if self._hid and not text else 0)
         self._parts, self._hid = [], False
 
+    def _enter(self, name: str, why: int, before: int, own: list[int]) -> None:
+        at = len(self._open)
+        self._at.setdefault(name, []).append(at)
+        if name in BLOCK:
+            self._blocks.append(at)
+            if name in ("body", "html"):
+                self._bodies.append(at)
+        self._open.append((name, why, before, own))
+
     def _close(self, name: str) -> None:
-        for i in range(len(self._open) - 1, -1, -1):
-            if self._open[i][0] == name:
-                break
-            if self._open[i][0] in ("body", "html") or (self._open[i][0] in BLOCK and name not in BLOCK):
-                return  # an inline end tag doesn't reach over a block, nor any over the body
-        else:
-            return
-        self._leave(i)
+        """Leave the nearest element of the name; an inline end tag doesn't reach over a block, nor any over the body."""
+        bars = self._bodies if name in BLOCK else self._blocks
+        if (at := self._at.get(name)) and not (bars and bars[-1] > at[-1]):
+            self._leave(at[-1])
 
     def _leave(self, i: int) -> None:
-        for _, why, before, own in self._open[i:]:
+        for name, why, before, own in self._open[i:]:
+            self._at[name].pop()
             self._hidden -= why != SHOWN
             self._count[why] -= 1
             if own:
@@ -194,6 +204,9 @@ class Lines:
             if before == -1:
                 self._in = 0
         del self._open[i:]
+        for held in (self._blocks, self._bodies):
+            while held and held[-1] >= i:
+                held.pop()
 
     def misnamed(self) -> frozenset[int]:
         """Where elements start that were left out by name or as forms, but hold most of the articles' text or the page's; beside an article an advert may be the longer one."""
@@ -249,7 +262,6 @@ def main_text(page: str | None) -> str:
 
 def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row for each row of pages: its id, url, text and n_chars (code points of the text)."""
-    small_batches(pages.sparkSession)
     rows = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"), pages[html_col].alias("html"))
 
     def make():

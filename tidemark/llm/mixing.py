@@ -11,7 +11,7 @@ large, is sorted as a whole. The last pass joins documents with one row for each
 
 Sizes are counts of words, runs of characters other than space and U+0009 to U+000D. Null texts have size 0 and are taken 0
 times; null sources form one source that sorts last. Rows that repeat a doc_id stand at the same place of the order; at a cut
-they share what is left by size. Rows with a null doc_id are taken like others. Other columns don't matter; an empty table gives an empty mix.
+they share what is left by size. Rows with a null doc_id are taken like others. Other columns don't matter, whatever their names; an empty table gives an empty mix.
 """
 
 from __future__ import annotations
@@ -96,11 +96,13 @@ def mixture(docs: DataFrame, **how) -> DataFrame:
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, **how) -> DataFrame:
     """The rows of docs as the mix has them: each as often as it is taken, the one at a cut rounded to a whole time; a document without words as often as the whole epochs."""
     _, goals = plan(docs, id_col, text_col, source_col, seed, **how)
-    rows = _with_goals(docs, goals, docs[source_col].isNull(), F.coalesce(docs[source_col], F.lit("")), docs[id_col])
-    place = _order(docs[id_col].cast("long"), seed)
+    # the row is held in one column, so that its names meet no others
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("doc"), docs[id_col].cast("long").alias("doc_id"), docs[source_col].isNull().alias("no_source"), F.coalesce(docs[source_col], F.lit("")).alias("source"))
+    rows = _with_goals(rows, goals, rows["no_source"], rows["source"], rows["doc_id"])
+    place = _order(F.col("doc_id"), seed)
     half = F.col("_mix_cut_rest") * 2 >= F.col("_mix_at_cut")
     times = F.col("_mix_whole") + F.when((place < F.col("_mix_cut")) | ((place == F.col("_mix_cut")) & half), 1).otherwise(0)
-    return rows.withColumn("_mix_time", F.explode(F.when(times > 0, F.sequence(F.lit(1).cast("long"), times)).otherwise(F.array().cast("array<bigint>")))).select(*(docs[c] for c in docs.columns))
+    return rows.select("doc", F.explode(F.when(times > 0, F.sequence(F.lit(1).cast("long"), times)).otherwise(F.array().cast("array<bigint>")))).select("doc.*")
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
