@@ -1,13 +1,19 @@
 """The classifier on held-out rows, the pipeline stage by stage, and the registry."""
 
+import hashlib
 import importlib
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 from tidemark.llm import mixing, registry, toxicity
+from tidemark.llm.token_count import vocabulary_path
 
 SF = "/root/testdata/sf0.001"
 
@@ -68,13 +74,88 @@ def test_training_rows_keep_out_the_held_out(spark):
     assert not none.trained and set(toxicity.Scorer(none).scores(["x"])) == {toxicity.EMPTY_SCORE}
 
 
+M64 = (1 << 64) - 1
+
+
+def plain_mixed(x):
+    for factor in (0xD6E8FEB86659FD93, 0x9E3779B97F4A7C15):
+        x = (x ^ x >> 31) * factor & M64
+    return x ^ x >> 31
+
+
+def plain_buckets(word):
+    """The buckets of a word's subwords, one by one."""
+    points = [ord(c) for c in f"<{word}>"]
+    found = [sum(plain_mixed(p + (i << 32)) for i, p in enumerate(points)) & M64]
+    for n in toxicity.GRAMS:
+        for i in range(len(points) - n + 1):
+            h = points[i]
+            for p in points[i + 1 : i + n]:
+                h = plain_mixed(h) + p & M64
+            found.append(plain_mixed(h + (n << 32) & M64))
+    return [plain_mixed(x) % toxicity.BUCKETS for x in found]
+
+
+def plain_score(text, model):
+    """A document's score by its definition, word by word and window by window."""
+    words = [plain_buckets(w) for w in re.findall(r"[^\W\d_]+", (text or "").lower())]
+    if not words:
+        return toxicity.EMPTY_SCORE
+    local = [sum(float(model.bucket[b]) for b in w) / len(w) for w in words]
+    whole = [sum(float(model.whole[b]) for b in w) / len(w) for w in words]
+    width = min(toxicity.WINDOW, len(words))
+    top = max(sum(local[i : i + width]) / width for i in range(len(words) - width + 1))
+    return 1 / (1 + math.exp(-(top + sum(whole) / len(whole) + model.bias)))
+
+
+def test_scores_by_their_definition(model, monkeypatch):
+    texts, _ = labelled(30, 7)
+    texts += ["x" * 700 + " stupid" + "y" * 300, "ab" * 50 + " é漢字 idiots", "", "1 2 3", "one two", "moron" * 40]
+    want = [plain_score(t, model) for t in texts]
+    assert np.allclose(toxicity.Scorer(model).scores(texts), want, atol=1e-6)
+    monkeypatch.setattr(toxicity, "GRAM_CHARS", 64)
+    scorer = toxicity.Scorer(model)
+    assert np.allclose(scorer.scores(texts), want, atol=1e-6)
+    assert all(len(r) <= toxicity.RUN_CHARS for r in scorer._kept)
+
+
+def test_bounds_of_the_sample(spark):
+    docs = spark.createDataFrame([(i, "x" * (10 if i % 3 else 400)) for i in range(60)] * 2, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(1, None), (None, 1), (500, 1)], "doc_id long, toxic int")
+    for chars in (0, 900, 10**6):
+        rows = toxicity.training_rows(docs, labels, chars=chars).collect()
+        for label in (0, 1):
+            size = [len(r.text) for r in rows if r.label == label]
+            assert size and (sum(size) <= chars or len(size) == 1)
+    assert len(rows) == sum(zlib.crc32(str(i).encode()) % 5 > 0 for i in range(60))
+
+
+def plain_mix(rows):
+    """How often each (doc_id, source, size) is in the mix: whole epochs, and what is left in the order of the seeded hash."""
+    sizes = {}
+    for _, s, n in rows:
+        sizes[s] = sizes.get(s, 0) + n
+    from tests.llm.test_media_pages_mix import plain_targets
+
+    goal = plain_targets(sizes, mixing.WEIGHTS, 1.5 * sum(sizes.values()), 2)
+    times = {}
+    for s, size in sizes.items():
+        epochs = 2 if goal[s] >= 2 * size else int(goal[s] // size) if size else 0
+        left = round(goal[s] - epochs * size)
+        for i, _, n in sorted((r for r in rows if r[1] == s), key=lambda r: hashlib.md5(f"{mixing.SEED}:{r[0]}".encode()).hexdigest()):
+            times[i] = epochs + (left > 0 and n <= left or 0 < left < n <= 2 * left)
+            left -= n
+    return times
+
+
 def test_pipeline_stages(spark):
+    """Each stage against a plain version on its own input, and run() against the stages."""
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     stages = dict(pipeline.STAGES)
     clean = stages["toxicity"](spark, docs, SF).cache()
-    scores = {r.doc_id: r.predicted for r in toxicity.op7_toxicity(spark, SF).collect()}
-    assert sorted(r.doc_id for r in clean.collect()) == sorted(i for i, p in scores.items() if not p)
+    model = toxicity.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    assert sorted(r.doc_id for r in clean.collect()) == sorted(r.doc_id for r in docs.collect() if plain_score(r.text, model) < 0.5)
     unique = stages["near_duplicates"](spark, clean, SF).cache()
     from tests.llm.test_dedup import brute
 
@@ -82,18 +163,30 @@ def test_pipeline_stages(spark):
     assert sorted(r.doc_id for r in unique.collect()) == want
     mix = stages["source_mixing"](spark, unique, SF).cache()
     assert clean.columns == unique.columns == mix.columns == docs.columns
-    taken = {}
+    times = plain_mix([(r.doc_id, r.source, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))) for r in unique.collect()])
+    assert Counter(r.doc_id for r in mix.collect()) == Counter({i: n for i, n in times.items() if n})
+    library = Tokenizer.from_file(vocabulary_path("byte_bpe_50k.json"))
+    want = []
     for r in mix.collect():
-        taken[r.source] = taken.get(r.source, 0) + len(r.text.split())
-    sizes = mixing.mixture(unique).collect()
-    source = {r.doc_id: r.source for r in unique.collect()}
-    biggest = max(r.size for r in sizes)
-    for s, t in {source[r.doc_id]: r.target for r in sizes}.items():
-        assert abs(taken.get(s, 0) - t) <= biggest / 2 + 1
-    assert stages["bpe_encoding"](spark, mix, SF).count() == mix.count()
+        ids = library.encode(r.text or "", add_special_tokens=False).ids
+        want.append((r.doc_id, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    encoded = stages["bpe_encoding"](spark, mix, SF)
+    assert sorted(map(tuple, encoded.collect())) == sorted(want) == sorted(map(tuple, pipeline.run(spark, SF).collect()))
     clean.unpersist(), unique.unpersist(), mix.unpersist()
 
 
+def test_pipeline_on_nasty_and_empty_tables(spark, nasty, nothing, tmp_path):
+    """Nulls, repeated and long rows, clashing names, and tables without rows: nothing but copies and toxic documents goes."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    none = spark.createDataFrame([], "doc_id long, toxic int, quality int")
+    for name, docs in (("nasty", nasty), ("empty", nothing)):
+        docs.selectExpr("*", "1 AS component", "2 AS _gone", "3 AS place", "4 AS doc").write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        none.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    assert pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+    rows = pipeline.run(spark, f"{tmp_path}/nasty").collect()
+    assert {r.doc_id for r in rows} <= {1, 2, 3, 4, 7, 8, 9, 10, None} and len(rows) >= 8
+
+
 def test_registry_names():
     names = list(registry.queries())
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
