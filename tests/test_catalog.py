@@ -10,6 +10,8 @@ from tidemark.sources import storage
 from tidemark.streaming import scores
 
 SF = "/root/testdata/sf0.001"
+#: Queries without a row on ten series: no order statistic, and too few series for an edge or a range.
+EMPTY = {"null_threshold", "graph_edges", "common_range", "ts_auc_by_fold"}
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
 
@@ -26,6 +28,7 @@ def test_query_equals_oracle(spark, duck, name):
     got = catalog.queries()[name](spark, SF).toPandas()
     want = duck.sql(catalog.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns) and len(got) == len(want)
+    assert len(got) or name in EMPTY
     columns = sorted(got.columns)
     got, want = (f[columns].sort_values(columns, na_position="first").reset_index(drop=True) for f in (got, want))
     for c in columns:

@@ -1,8 +1,11 @@
 """Jobs that are held against plain loops on planted rows, without the SQL of the queries."""
 
 import numpy as np
+import pytest
 
-from tidemark.operators import graph, inputs, splits
+from tidemark.functions import kit
+from tidemark.operators import alarms, evidence, graph, inputs, panels as pairs, splits
+from tidemark.operators import whitening as white
 from tidemark.operators.components import grouped
 from tidemark.plans.relation import Relation
 
@@ -83,3 +86,43 @@ def test_null_growth_resamples_segments_of_four_blocks(spark):
             path = np.concatenate([m[int(x * (len(m) - 3)) :][:4] for x in u])
             tops.append(np.maximum.accumulate(np.abs(np.convolve(path, np.ones(4), "valid")) / 2)[[n - 4 for n in ages]])
         assert np.allclose([got[k, n] for n in ages], np.sort(tops, axis=0)[487])
+
+
+@pytest.mark.parametrize("points", [2000, 16_384])
+def test_hazard_is_causal_on_long_series(spark, points):
+    """Outputs of a prefix don't change with what follows, and are those of the filter step by step."""
+    rng = np.random.default_rng(points)
+    value = np.concatenate([rng.normal(size=400), rng.normal(size=points // 2), 3 * rng.normal(size=points - points // 2) + 1])
+    t = np.arange(len(value)) - 399
+
+    def scored(n):
+        rows = [(1, int(a), 400 + n, 400, float(v), 0, None) for a, v in zip(t[: 400 + n], value[: 400 + n], strict=True)]
+        panel = Relation.of(spark.createDataFrame(rows, "id long, t long, cnt long, n_h long, value double, y int, tau long"))
+        return evidence.hazard_frame(white.innovations(panel, "arch1").frame(spark)).toPandas().sort_values("t")
+
+    whole, part = scored(points), scored(300)
+    assert np.allclose(whole[evidence.HAZARD].to_numpy()[:300], part[evidence.HAZARD].to_numpy(), atol=1e-9)
+    assert whole[evidence.HAZARD].notna().all().all() and (whole.any_64.iloc[-1] > 20)
+
+
+def test_closed_forms_end_with_an_error(spark):
+    rows = Relation.of(spark.range(1, 3400).selectExpr("1 AS id", "id AS t", "1e0 AS x"))
+    assert rows.where("t <= 3000").add(m=kit.ewma("x", 0.2)).frame(spark).selectExpr("min(m)", "max(m)").first()[1] == pytest.approx(1)
+    for sql in (kit.ewma("x", 0.2), kit.decayed_max("x", 0.8)):
+        with pytest.raises(Exception, match="too long"):
+            rows.add(m=sql).frame(spark).collect()
+
+
+def test_without_a_threshold_no_series_has_an_alarm(spark):
+    scores = Relation.of(spark.createDataFrame([(i, t, 0.5, None if i else 3) for i in range(3) for t in (1, 2, 5)], "id long, t long, p double, tau long"))
+    got = alarms.first_alarms(scores, alarms.threshold(scores)).frame(spark).toPandas()
+    assert len(got) == 3 and (got["first"] == -1).all() and not got[["false_alarm", "premature", "detected"]].any().any()
+
+
+def test_sampled_pairs(spark):
+    rows = [(i, t, int(i < 4), i / 10) for i in range(10) for t in (1, 2)]
+    got = pairs.sampled_pairs(Relation.of(spark.createDataFrame(rows, "id long, t long, y int, p double")), 4).frame(spark).toPandas()
+    assert len(got) == 2 * 4 * 4 and not got.duplicated(["pos", "neg", "t"]).any() and (got.weight == 1.5).all()
+    assert set(got.neg) == set(range(4, 10)) and (got.p_neg == got.neg / 10).all() and (got.p_pos == got.pos / 10).all()
+    few = pairs.sampled_pairs(Relation.of(spark.createDataFrame([r for r in rows if r[0] < 6], "id long, t long, y int, p double")), 4).frame(spark).toPandas()
+    assert len(few) == 2 * 4 * 2 and (few.weight == 1).all()

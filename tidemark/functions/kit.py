@@ -35,9 +35,14 @@ def reflected(total: str) -> str:
 
 
 def ewma(x: str, alpha: float, start: str = "0e0") -> str:
-    """m + alpha * (x - m) step by step, from start. Exact as long as (1 - alpha) ** -t is a double: t up to 709 / -ln(1 - alpha)."""
+    """m + alpha * (x - m) step by step, from start. Exact as long as (1 - alpha) ** -t is a double: t up to 709 / -ln(1 - alpha); an error beyond."""
     rate = num(-math.log1p(-alpha))
-    return f"(exp(-{rate} * t) * ({start} + {num(alpha)} * sum({x} * exp({rate} * t)) {UPTO}))"
+    return within(rate, f"(exp(-{rate} * t) * ({start} + {num(alpha)} * sum({x} * exp({rate} * t)) {UPTO}))")
+
+
+def within(rate: str, value: str) -> str:
+    """value as long as exp(rate * t) is a double, else an error."""
+    return f"(CASE WHEN {rate} * t <= 709e0 THEN {value} ELSE RAISE('the series is too long for a closed form, see evidence.long_average') END)"
 
 
 def ewma_noise(alpha: float, floor: float = 1e-10) -> str:
@@ -49,7 +54,7 @@ def ewma_noise(alpha: float, floor: float = 1e-10) -> str:
 def decayed_max(x: str, decay: float) -> str:
     """max(decay * m, x) step by step, from 0."""
     rate = num(-math.log(decay))
-    return f"greatest(0e0, exp(-{rate} * t) * max({x} * exp({rate} * t)) {UPTO})"
+    return within(rate, f"greatest(0e0, exp(-{rate} * t) * max({x} * exp({rate} * t)) {UPTO})")
 
 
 def scaled_up(x: str, decay: float) -> str:
@@ -59,7 +64,7 @@ def scaled_up(x: str, decay: float) -> str:
 
 def leaky(total: str, decay: float) -> str:
     """max(0, decay * s + x) step by step, from the running sum of scaled_up(x)."""
-    return f"(exp({num(math.log(decay))} * t) * {reflected(total)})"
+    return within(num(-math.log(decay)), f"(exp({num(math.log(decay))} * t) * {reflected(total)})")
 
 
 def clip(x: str, bound: float) -> str:

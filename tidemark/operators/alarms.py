@@ -14,8 +14,8 @@ def threshold(scores: Relation, alpha: float = 0.05) -> Relation:
 
 
 def first_alarms(scores: Relation, cut: Relation) -> Relation:
-    """For each series: its first online step (from 0) over the threshold, or -1, and what that makes it."""
-    rows = scores.then("SELECT $1.*, $2.threshold FROM $1 CROSS JOIN $2", cut)
+    """For each series: its first online step (from 0) over the threshold, or -1, and what that makes it. Without a threshold no series has an alarm."""
+    rows = scores.then("SELECT /*+ BROADCAST($2) */ $1.*, $2.threshold FROM $1 LEFT JOIN $2 ON 1 = 1", cut)
     rows = rows.add(length="max(t) OVER (PARTITION BY id)").group("id", n_o="max(t)", tau="max(CASE WHEN tau < length THEN tau END)", first="coalesce(min(CASE WHEN p > threshold THEN t - 1 END), -1)")
     rows = rows.add(has_break="CASE WHEN tau IS NULL THEN 0 ELSE 1 END")
     rows = rows.add(false_alarm="CASE WHEN has_break = 0 AND first >= 0 THEN 1 ELSE 0 END", premature="CASE WHEN has_break = 1 AND first >= 0 AND first < tau THEN 1 ELSE 0 END", detected="CASE WHEN has_break = 1 AND first >= tau THEN 1 ELSE 0 END")

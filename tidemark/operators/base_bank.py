@@ -74,8 +74,8 @@ def _log_keep(scale: int) -> float:
     return math.log1p(-1 / scale)
 
 
-def features(rows: Relation, s: Settings = Settings()) -> Relation:
-    """The bank's output columns for a panel, one row for each online point."""
+def features(rows: Relation, s: Settings = Settings(), also: tuple[str, ...] = ()) -> Relation:
+    """The bank's output columns for a panel, one row for each online point, and the panel's columns named in also."""
     rows = averages(statistics(referenced(rows, s), s), s)
     rows = rows.add(up=kit.running(f"z - {num(s.drift)}"), down=kit.running(f"-z - {num(s.drift)}"), running_mean=f"{kit.running('z')} / t")
     rows = rows.add(cusum_positive=f"ln(1e0 + {kit.reflected('up')})", cusum_negative=f"ln(1e0 + {kit.reflected('down')})")
@@ -99,7 +99,7 @@ def features(rows: Relation, s: Settings = Settings()) -> Relation:
     evidence = [f"abs(mean_z_{k}) / 3e0" for k in s.scales] + [f"abs(log_variance_ratio_{k})" for k in s.scales] + [f"abs(lag{s.lags[0]}_delta_{k}) / 3e0" for k in s.scales]
     rows = rows.add(fast_slow_mean=f"e{fast}_z - e{slow}_z", fast_slow_scale=f"ln(greatest(e{fast}_square, {floor}) / greatest(e{slow}_square, {floor}))", fast_slow_dependence=f"e{fast}_lag{s.lags[0]} - e{slow}_lag{s.lags[0]}", evidence=kit.biggest(*evidence), **{f"abs_mean_z_{k}": f"abs(mean_z_{k})" for k in s.scales})
     rows = rows.add(evidence_max=kit.running("evidence", "max"), evidence_decayed_max=kit.decayed_max("evidence", s.decay))
-    return rows.keep("id", "t", "y", *output(s)[:3], *output(s)[3:])
+    return rows.keep("id", "t", "y", *also, *output(s))
 
 
 def output(s: Settings = Settings()) -> list[str]:
@@ -111,7 +111,7 @@ def squash(x: str) -> str:
     return f"({x}) / (1e0 + ({x}))"
 
 
-def baselines(bank: Relation, s: Settings = Settings()) -> Relation:
+def baselines(bank: Relation, s: Settings = Settings(), also: tuple[str, ...] = ()) -> Relation:
     """Scores B2 to B7 from the bank, and the constant B0."""
     each = lambda c: [f"abs({c}_{k})" for k in s.scales]
     rows = bank.add(
@@ -121,7 +121,7 @@ def baselines(bank: Relation, s: Settings = Settings()) -> Relation:
         tail_part=f"{kit.biggest(*each('tail2_delta'), *(f'quantile_l1_{k}' for k in s.scales))} / 4e0",
         dependence_part=f"{kit.biggest(*each(f'lag{s.lags[0]}_delta'), *each('ar_log_second_ratio'))} / 4e0",
     )
-    return rows.keep("id", "t", "y", b0="0.5e0", b2=squash("mean_part"), b3=squash("cusum_part"), b4=squash("scale_part"), b5=squash("tail_part"), b6=squash("dependence_part"), b7=squash("(mean_part + scale_part + tail_part + dependence_part) / 4e0"))
+    return rows.keep("id", "t", "y", *also, b0="0.5e0", b2=squash("mean_part"), b3=squash("cusum_part"), b4=squash("scale_part"), b5=squash("tail_part"), b6=squash("dependence_part"), b7=squash("(mean_part + scale_part + tail_part + dependence_part) / 4e0"))
 
 
 def official_ewma(rows: Relation) -> Relation:

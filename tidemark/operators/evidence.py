@@ -8,6 +8,10 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+
 from tidemark.functions import kit
 from tidemark.operators.whitening import history, median, standard, uniform
 from tidemark.plans.relation import Relation, num
@@ -350,7 +354,7 @@ def hazard(rows: Relation, hazards: tuple[float, ...] = HAZARDS) -> Relation:
     """Log odds of a change at any earlier point, by a constant hazard, to any of ten alternatives.
 
     An absorbing filter has the closed form sum over starts s of h (1 - h) ** (s - 1) exp(L(t) - L(s - 1)), L the running log likelihood ratio. The series'
-    least L keeps the exponents bounded.
+    least L keeps the exponents bounded in short series, of up to some hundred points; hazard_frame has the same numbers for series of any length.
     """
     rows = standard(rows).add(w6=kit.clip("w", 6)).where("t > 0")
     steps = [f"{num(m)} * w6 - {num(0.5 * m * m)}" for m in MEANS] + [f"{num(-0.5 * math.log(v))} + {num(0.5 * (1 - 1 / v))} * w6 * w6" for v in VARIANCES]
@@ -372,6 +376,31 @@ def hazard(rows: Relation, hazards: tuple[float, ...] = HAZARDS) -> Relation:
     return rows.add(short_long=f"any_{round(1 / hazards[0])} - any_{round(1 / hazards[-1])}")
 
 
+def hazard_frame(rows: DataFrame, hazards: tuple[float, ...] = HAZARDS) -> DataFrame:
+    """hazard() for series of any length: the logarithm of the sum over starts grows point by point, so no output depends on later points. rows are innovations."""
+    rows = standard(Relation.of(rows)).add(w6=kit.clip("w", 6)).where("t > 0").keep("id", "t", "w6").frame(rows.sparkSession)
+    schema = f"id {dict(rows.dtypes)['id']}, t {dict(rows.dtypes)['t']}, " + ", ".join(f"{c} double" for c in HAZARD)
+    means, variances, stay, start = np.array(MEANS), np.array(VARIANCES), np.log1p(-np.array(hazards)), np.log(np.array(hazards) / 10)
+    parts = {"any": slice(None), "mean_up": slice(3, 6), "mean_down": slice(0, 3), "scale_down": slice(6, 8), "scale_up": slice(8, None)}
+
+    def filtered(series: pd.DataFrame) -> pd.DataFrame:
+        series = series.sort_values("t")
+        w, t = series["w6"].to_numpy()[:, None], series["t"].to_numpy()[:, None, None]
+        steps = np.concatenate([means * w - 0.5 * means**2, -0.5 * np.log(variances) + 0.5 * (1 - 1 / variances) * w * w], 1)
+        upto = np.cumsum(steps, 0)
+        # odds of each hazard (second axis) and alternative (third)
+        grown = np.logaddexp.accumulate(stay[:, None] * t - (upto - steps)[:, None, :], axis=0)
+        odds = upto[:, None, :] + (start - stay)[:, None] - stay[:, None] * t + grown
+        out = {"id": series["id"], "t": series["t"]}
+        for name, part in parts.items():
+            total = np.clip(np.logaddexp.reduce(odds[:, :, part], axis=2), -80, 80)
+            out |= {f"{name}_{round(1 / h)}": total[:, i] for i, h in enumerate(hazards)}
+        out["short_long"] = out[f"any_{round(1 / hazards[0])}"] - out[f"any_{round(1 / hazards[-1])}"]
+        return pd.DataFrame(out)[["id", "t", *HAZARD]]
+
+    return rows.groupBy("id").applyInPandas(filtered, schema)
+
+
 HAZARD = [f"{c}_{n}" for n in (64, 256, 1024) for c in ("any", "mean_up", "mean_down", "scale_down", "scale_up")] + ["short_long"]
 
 

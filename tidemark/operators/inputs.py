@@ -112,7 +112,7 @@ CONTEXTS = ["log_length", "log_sd", "log_mad_sd", "acf1", "acf4", "arch", "tail_
 def terciles(context: Relation, column: str) -> Relation:
     """Adds band: 0, 1 or 2 by the terciles of a context column over series, 3 where it is null."""
     cuts = context.group(low=f"percentile({column}, {num(1 / 3)})", high=f"percentile({column}, {num(2 / 3)})")
-    return context.then(f"SELECT $1.*, CASE WHEN {column} IS NULL THEN 3 WHEN {column} <= low THEN 0 WHEN {column} <= high THEN 1 ELSE 2 END AS band FROM $1 CROSS JOIN $2", cuts)
+    return context.then(f"SELECT /*+ BROADCAST($2) */ $1.*, CASE WHEN {column} IS NULL THEN 3 WHEN {column} <= low THEN 0 WHEN {column} <= high THEN 1 ELSE 2 END AS band FROM $1 CROSS JOIN $2", cuts)
 
 
 def magnitude(rows: Relation, scales: tuple[int, ...] = (5, 20, 80)) -> Relation:
@@ -189,7 +189,7 @@ def null_growth(rows: Relation, replicates: int = 512, ages: tuple[int, ...] = (
     draw = lambda k: f"((((cast(replicate AS bigint) * 48271 + ({k}) * 69621 + 777) % 2147483647) * 16807 % 2147483647) * 16807 % 2147483647) / 2147483647e0"
     draws = Relation.select(f"SELECT EXPAND(1, {replicates}) AS replicate").then(f"SELECT replicate, EXPAND(1, {max(ages) // 4}) AS segment FROM $1").add(u=draw("segment"), v=draw("segment - 1"))
     # the draws are the same few for any number of series, so they go to where the series are and no drawn row is shuffled
-    walk = listed.then("SELECT /*+ BROADCAST(d) */ id, ms, replicate, segment, cast(floor(u * (n - 3)) AS int) AS a, cast(floor(v * (n - 3)) AS int) AS b FROM $1 CROSS JOIN $2 AS d", draws)
+    walk = listed.then("SELECT /*+ BROADCAST($2) */ /*+ BROADCAST(d) */ id, ms, replicate, segment, cast(floor(u * (n - 3)) AS int) AS a, cast(floor(v * (n - 3)) AS int) AS b FROM $1 CROSS JOIN $2 AS d", draws)
     walk = walk.keep("id", "replicate", "segment", **{f"m{i}": f"ITEM(ms, a + {i + 1})" for i in range(4)}, **{f"b{i}": f"ITEM(ms, b + {i + 1})" for i in (1, 2, 3)})
     walk = walk.add(top="greatest(abs(m0 + m1 + m2 + m3), CASE WHEN segment > 1 THEN greatest(abs(b1 + b2 + b3 + m0), abs(b2 + b3 + m0 + m1), abs(b3 + m0 + m1 + m2)) ELSE 0e0 END) / 2e0")
     tops = walk.group("id", "replicate", **{f"top{n}": f"max(CASE WHEN segment <= {n // 4} THEN top END)" for n in ages})

@@ -15,7 +15,7 @@ def rank_cells(scores: Relation, cell: str) -> Relation:
     """Pairs and wins of each combination of the positive's and the negative's category, from counts within time and not from pairs."""
     rows = scores.add(cell=cell)
     cells = rows.group("cell", n="count(*)")
-    wide = rows.then("SELECT $1.t, $1.p, $1.y, $1.cell, $2.cell AS other FROM $1 CROSS JOIN $2", cells)
+    wide = rows.then("SELECT /*+ BROADCAST($2) */ $1.t, $1.p, $1.y, $1.cell, $2.cell AS other FROM $1 CROSS JOIN $2", cells)
     wide = wide.add(counts="CASE WHEN y = 0 AND cell = other THEN 1 ELSE 0 END")
     wide = wide.add(total="sum(counts) OVER (PARTITION BY t, other)", upto="sum(counts) OVER (PARTITION BY t, other ORDER BY p RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)", same="sum(counts) OVER (PARTITION BY t, other, p)")
     rows = wide.where("y = 1").group("cell", "other", pairs="sum(total)", wins="sum(upto - same / 2e0)")
@@ -30,10 +30,15 @@ def pair_mass(scores: Relation) -> Relation:
 
 
 def sampled_pairs(scores: Relation, each: int = 8) -> Relation:
-    """At most `each` negatives of its time for every positive row, by a hash, with the weight that makes up for the others."""
-    rows = scores.then("SELECT a.id AS pos, b.id AS neg, a.t, a.p AS p_pos, b.p AS p_neg FROM $1 AS a JOIN $1 AS b ON a.t = b.t AND a.y = 1 AND b.y = 0")
-    rows = rows.add(h="sha2(concat(cast(pos AS string), ':', cast(neg AS string), ':', cast(t AS string)), 256)", n="count(*) OVER (PARTITION BY pos, t)")
-    rows = rows.add(place="row_number() OVER (PARTITION BY pos, t ORDER BY h)").where(f"place <= {each}")
+    """At most `each` negatives of its time for every positive row, by a hash, with the weight that makes up for the others.
+
+    The negatives of a time are numbered in the order of a hash, and a positive row takes as many from a seeded place on, so no other pair is made.
+    """
+    negatives = scores.where("y = 0").add(h="sha2(concat(cast(id AS string), ':', cast(t AS string)), 256)").add(k="row_number() OVER (PARTITION BY t ORDER BY h, id) - 1").keep("id", "t", "p", "k")
+    rows = scores.add(n="cast(sum(1 - y) OVER (PARTITION BY t) AS bigint)", place="row_number() OVER (PARTITION BY t, y ORDER BY id)").where("y = 1 AND n > 0")
+    rows = rows.add(first="((place * 48271 + t * 69621 + 12345) % 2147483647 * 16807) % 2147483647")
+    rows = rows.then(f"SELECT id, t, p, n, first, EXPAND(0, least(n, {each}) - 1) AS j FROM $1").add(k="(first + j) % n")
+    rows = rows.then("SELECT $1.id AS pos, $2.id AS neg, $1.t, $1.p AS p_pos, $2.p AS p_neg, $1.n FROM $1 JOIN $2 ON $1.t = $2.t AND $1.k = $2.k", negatives)
     return rows.add(weight=f"n / (least(n, {each}) * 1e0)")
 
 
@@ -48,7 +53,9 @@ def comparators(futures: Relation, horizon: int = 4) -> Relation:
     """Series-weighted accuracy of plain forecasts of the movement: persistence, the majority, and each series' own majority up to the point before."""
     rows = futures.add(now="CASE WHEN step > epsilon THEN 2 WHEN step < -epsilon THEN 0 ELSE 1 END", goal=f"move{horizon}").where("goal IS NOT NULL AND goal < 3").add(w="1e0 / count(*) OVER (PARTITION BY id)")
     past = "OVER (PARTITION BY id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    rows = rows.add(**{f"seen{k}": f"coalesce(sum(CASE WHEN goal = {k} AND t > 0 THEN 1 ELSE 0 END) {past}, 0) + 0.5e0" for k in range(3)}, **{f"all{k}": f"sum(CASE WHEN goal = {k} THEN w ELSE 0e0 END) OVER ()" for k in range(3)})
+    rows = rows.add(**{f"seen{k}": f"coalesce(sum(CASE WHEN goal = {k} AND t > 0 THEN 1 ELSE 0 END) {past}, 0) + 0.5e0" for k in range(3)})
+    every = rows.group(**{f"all{k}": f"sum(CASE WHEN goal = {k} THEN w ELSE 0e0 END)" for k in range(3)})
+    rows = rows.then("SELECT /*+ BROADCAST($2) */ $1.*, all0, all1, all2 FROM $1 CROSS JOIN $2", every)
     top = lambda c: f"CASE WHEN {c}0 >= {c}1 AND {c}0 >= {c}2 THEN 0 WHEN {c}1 >= {c}2 THEN 1 ELSE 2 END"
     rows = rows.add(majority=top("all"), own=top("seen"), loss="-ln(CASE goal WHEN 0 THEN seen0 WHEN 1 THEN seen1 ELSE seen2 END / (seen0 + seen1 + seen2))")
     hit = lambda c: f"sum(CASE WHEN {c} = goal THEN w ELSE 0e0 END) / sum(w)"
@@ -59,14 +66,14 @@ def common_range(rows: Relation, x: str, state: str, least: int = 64) -> Relatio
     """Where the middle 80 % of a feature overlap between states that have enough series, and how many rows that keeps."""
     parts = rows.group(state, series="count(DISTINCT id)", low=f"percentile({x}, 0.1e0)", high=f"percentile({x}, 0.9e0)").where(f"series >= {least}")
     cut = parts.group(states="count(*)", low="max(low)", high="min(high)")
-    kept = rows.then(f"SELECT $2.states, $2.low, $2.high, avg(CASE WHEN {x} >= $2.low AND {x} <= $2.high THEN 1e0 ELSE 0e0 END) AS retained FROM $1 CROSS JOIN $2 GROUP BY $2.states, $2.low, $2.high", cut)
+    kept = rows.then(f"SELECT /*+ BROADCAST($2) */ $2.states, $2.low, $2.high, avg(CASE WHEN {x} >= $2.low AND {x} <= $2.high THEN 1e0 ELSE 0e0 END) AS retained FROM $1 CROSS JOIN $2 GROUP BY $2.states, $2.low, $2.high", cut)
     return kept.add(usable="CASE WHEN high - low > 1e-6 AND retained >= 0.1e0 THEN 1 ELSE 0 END")
 
 
 def nested(ids: Relation, folds: int = 5) -> Relation:
     """For each outer fold, the inner fold of every series outside it: a series' own fold, counted from the outer one."""
     outer = Relation.select(f"SELECT EXPAND(0, {folds - 1}) AS outer_fold")
-    rows = ids.then("SELECT $1.id, $1.fold, $2.outer_fold FROM $1 CROSS JOIN $2 WHERE $1.fold >= 0 AND $1.fold <> $2.outer_fold", outer)
+    rows = ids.then("SELECT /*+ BROADCAST($2) */ $1.id, $1.fold, $2.outer_fold FROM $1 CROSS JOIN $2 WHERE $1.fold >= 0 AND $1.fold <> $2.outer_fold", outer)
     return rows.add(inner_fold=f"(fold - outer_fold + {folds}) % {folds} - 1")
 
 

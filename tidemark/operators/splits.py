@@ -52,7 +52,7 @@ def weighted(rows: Relation) -> Relation:
     rows = rows.add(r1="1e0 / own", r2="pos * neg / greatest(pos + neg, 1e0)", r3="CASE WHEN y = 1 THEN neg ELSE pos END * 1e0")
     rows = rows.add(r4="sqrt(r3)")
     means = rows.group(**{f"m{k}": f"avg(r{k})" for k in (1, 2, 3, 4)})
-    return rows.then("SELECT $1.id, $1.t, $1.y, 1e0 AS w0, r1 / m1 AS w1, r2 / nullif(m2, 0e0) AS w2, r3 / nullif(m3, 0e0) AS w3, r4 / nullif(m4, 0e0) AS s3_sqrt FROM $1 CROSS JOIN $2", means)
+    return rows.then("SELECT /*+ BROADCAST($2) */ $1.id, $1.t, $1.y, 1e0 AS w0, r1 / m1 AS w1, r2 / nullif(m2, 0e0) AS w2, r3 / nullif(m3, 0e0) AS w3, r4 / nullif(m4, 0e0) AS s3_sqrt FROM $1 CROSS JOIN $2", means)
 
 
 def every_eighth(rows: Relation, most: int = 128) -> Relation:

@@ -50,7 +50,8 @@ def futures(rows: Relation, horizons: tuple[int, ...] = HORIZONS) -> Relation:
 
 def law(rows: Relation, state: str, following: str, states: int = 3) -> Relation:
     """Transition probabilities between states: rows weigh one over their series' rows, and every cell starts at SMOOTHING."""
-    rows = rows.where(f"{state} IS NOT NULL AND {following} IS NOT NULL").add(weight="1e0 / count(*) OVER (PARTITION BY id)").add(weight_all="avg(weight) OVER ()")
+    rows = rows.where(f"{state} IS NOT NULL AND {following} IS NOT NULL").add(weight="1e0 / count(*) OVER (PARTITION BY id)")
+    rows = rows.then("SELECT /*+ BROADCAST($2) */ $1.*, $2.weight_all FROM $1 CROSS JOIN $2", rows.group(weight_all="avg(weight)"))
     counts = rows.keep("id", a=state, b=following, w="weight / weight_all").group("a", "b", w="sum(w)", series="count(DISTINCT id)")
     cells = Relation.select(f"SELECT a, EXPAND(0, {states - 1}) AS b FROM (SELECT EXPAND(0, {states - 1}) AS a) AS s")
     rows = cells.then(f"SELECT $1.a, $1.b, coalesce($2.w, 0e0) + {num(SMOOTHING)} AS w, coalesce($2.series, 0) AS series FROM $1 LEFT JOIN $2 ON $1.a = $2.a AND $1.b = $2.b", counts)

@@ -38,7 +38,7 @@ def endpoints(scores: Relation) -> Relation:
 def influence(scores: Relation) -> Relation:
     """For each series: its first-order influence on the time-wise AUC."""
     auc = metrics.ts_auc(scores)
-    rows = endpoints(scores).then("SELECT $1.*, $2.ts_auc, $2.pairs FROM $1 CROSS JOIN $2", auc)
+    rows = endpoints(scores).then("SELECT /*+ BROADCAST($2) */ $1.*, $2.ts_auc, $2.pairs FROM $1 CROSS JOIN $2", auc)
     return rows.group("id", influence="sum(wins - ts_auc * degree) / greatest(max(pairs), 1)", ts_auc="max(ts_auc)")
 
 
@@ -96,9 +96,9 @@ def residual_complement(scores: Relation, primary: str, strength: str, response:
     """
     rows = scores.add(weight="CASE WHEN y = 1 THEN sum(1 - y) OVER (PARTITION BY t) ELSE sum(y) OVER (PARTITION BY t) END")
     c = rows.group(mu1=f"avg({primary})", mu2=f"avg({strength})", sd1=f"greatest(stddev_pop({primary}), 1e-6)", sd2=f"greatest(stddev_pop({strength}), 1e-6)")
-    rows = rows.then(f"SELECT $1.*, greatest(-8e0, least(8e0, ({primary} - mu1) / sd1)) AS a, greatest(-8e0, least(8e0, ({strength} - mu2) / sd2)) AS b FROM $1 CROSS JOIN $2", c)
+    rows = rows.then(f"SELECT /*+ BROADCAST($2) */ $1.*, greatest(-8e0, least(8e0, ({primary} - mu1) / sd1)) AS a, greatest(-8e0, least(8e0, ({strength} - mu2) / sd2)) AS b FROM $1 CROSS JOIN $2", c)
     m = rows.group(w="sum(weight)", **{f"s{k}": f"sum(weight * {e}) / sum(weight)" for k, e in (("a", "a"), ("b", "b"), ("aa", "a * a"), ("bb", "b * b"), ("ab", "a * b"), ("y", response), ("ay", f"a * {response}"), ("by", f"b * {response}"))})
     # eliminating the unpenalised intercept leaves two equations
     m = m.add(caa=f"saa - sa * sa + {num(ridge)}", cbb=f"sbb - sb * sb + {num(ridge)}", cab="sab - sa * sb", cay="say - sa * sy", cby="sby - sb * sy").add(det="caa * cbb - cab * cab")
     m = m.add(k1="(cay * cbb - cby * cab) / det", k2="(cby * caa - cay * cab) / det").add(k0="sy - k1 * sa - k2 * sb")
-    return rows.then(f"SELECT $1.*, k0, k1, k2, greatest(0e0, least(1e0, {primary} + {num(share)} * ({response} - (k0 + k1 * a + k2 * b)))) AS complemented FROM $1 CROSS JOIN $2", m)
+    return rows.then(f"SELECT /*+ BROADCAST($2) */ $1.*, k0, k1, k2, greatest(0e0, least(1e0, {primary} + {num(share)} * ({response} - (k0 + k1 * a + k2 * b)))) AS complemented FROM $1 CROSS JOIN $2", m)

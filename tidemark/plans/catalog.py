@@ -61,8 +61,8 @@ def _evidence(make: Callable[..., Relation], columns: list[str], mode: str = "sd
 
 def _scored() -> Relation:
     """id, t, y, tau and p (the tail score), with the other scores."""
-    rows = bank.baselines(bank.features(panels.panel())).keep("id", "t", "y", *(f"round(b{k}, 9) AS b{k}" for k in range(2, 8)))
-    return rows.then("SELECT $1.*, $1.b5 AS p, $2.tau FROM $1 JOIN $2 ON $1.id = $2.id AND $1.t = $2.t", panels.panel().keep("id", "t", "tau"))
+    rows = bank.baselines(bank.features(panels.panel(), also=("tau",)), also=("tau",))
+    return rows.keep("id", "t", "y", "tau", *(f"round(b{k}, 9) AS b{k}" for k in range(2, 8)), p="round(b5, 9)")
 
 
 def _states() -> Relation:
@@ -147,7 +147,6 @@ RELATIONS: dict[str, Callable[[], Relation]] = {
     "cell_divergence": _evidence(ev.cell_divergence, ev.CELLS, "arch1"),
     "window_mixture_mean": _evidence(ev.window_mixture, ev.WINDOW_MIXTURE, "arch1"),
     "window_mixture_scale": _evidence(ev.window_mixture, ev.WINDOW_MIXTURE, "arch1", kind="scale"),
-    "hazard_logodds": _evidence(ev.hazard, ev.HAZARD, "arch1"),
     "semitail": _evidence(ev.semitail, ev.SEMITAIL, "arch1"),
     "two_pole": _evidence(ev.two_pole, ev.TWO_POLE, "arch1"),
     **{f"window_likelihood_{k}": _evidence(ev.window_likelihood, ev.WINDOW_LIKELIHOOD, kind=k) for k in ("normal", "student", "adaptive")},
@@ -373,10 +372,17 @@ def spread_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("t", "pos", "neg", "pairs", "wins", F.round("auc", 9).alias("auc"))
 
 
+def hazard_logodds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log odds of a change at any earlier point, by a filter over each series."""
+    rows = ev.hazard_frame(_innovations("arch1").frame(spark, sf_dir))
+    return Relation.of(rows).keep("id", "t", *rounded(ev.HAZARD)).frame(spark)
+
+
 FRAMES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "whitened_ar8": whitened_high,
     "pair_interaction": pair_interaction,
     "series_groups": series_groups,
+    "hazard_logodds": hazard_logodds,
     "ts_auc_spread": spread_auc,
     "stream_scores": stream_scores,
     "fit_logistic": fit_logistic,
@@ -396,4 +402,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: make().sql() for name, make in RELATIONS.items()} | {"stream_scores": _streamed().sql(), "ts_auc_spread": RELATIONS["ts_auc_by_time"]().sql(), "series_groups": series_groups_sql()}
+    return {name: make().sql() for name, make in RELATIONS.items()} | {"stream_scores": _streamed().sql(), "ts_auc_spread": RELATIONS["ts_auc_by_time"]().sql(), "series_groups": series_groups_sql(), "hazard_logodds": _evidence(ev.hazard, ev.HAZARD, "arch1")().sql()}

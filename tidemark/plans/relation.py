@@ -8,6 +8,7 @@ macros where the engines differ:
     JOINED(x, order)        strings of a group joined by commas in an order
     LISTED(x, order)        values of a group as a list in an order
     ITEM(list, i)           the item of a list at place i, from 1
+    RAISE(text)             an error
     {name}                  a table
 
 Numbers are written with an exponent, which makes them doubles in both engines; see num().
@@ -64,6 +65,7 @@ SPARK = {
     "JOINED": lambda x, order: f"listagg({x}, ',') WITHIN GROUP (ORDER BY {order})",
     "LISTED": lambda x, order: f"array_sort(collect_list(struct({order} AS at, {x} AS item))).item",
     "ITEM": lambda x, i: f"element_at({x}, {i})",
+    "RAISE": lambda text: f"cast(raise_error({text}) AS double)",
 }
 DUCK = {
     "KNOWN": lambda x: f"last_value({x} IGNORE NULLS)",
@@ -71,6 +73,7 @@ DUCK = {
     "JOINED": lambda x, order: f"string_agg({x}, ',' ORDER BY {order})",
     "LISTED": lambda x, order: f"list({x} ORDER BY {order})",
     "ITEM": lambda x, i: f"list_extract({x}, {i})",
+    "RAISE": lambda text: f"cast(error({text}) AS double)",
     "percentile": lambda x, p: f"quantile_cont({x}, {p})",
     "sha2": lambda x, bits: f"sha256({x})",
     "kurtosis": lambda x: f"kurtosis_pop({x})",
