@@ -19,6 +19,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with files in the shared folder, so that a lost executor costs no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage with files in the shared folder, so that a lost executor costs no recomputation. The shuffle files of frames that are out of use by then are let go."""
+    spark = df.sparkSession
+    shared_dir(spark)
+    done = df.checkpoint(eager=True)
+    # executors delete a shuffle's files when the driver's collector has found it unreachable; many short jobs would fill their disks before that
+    spark.sparkContext._jvm.java.lang.System.gc()
+    return done
