@@ -49,6 +49,21 @@ def pair_loss(pairs: Relation, temperature: float = 0.1) -> Relation:
     return rows.group(pairs="count(*)", mass="sum(weight)", loss="sum(weight * loss) / sum(weight)", slope="sum(weight * slope) / sum(weight)")
 
 
+def histogram_gradients(scores: Relation, bins: int = 64) -> Relation:
+    """The gradient and curvature of the logistic loss over all pairs of a time, with scores in bins between the time's least and greatest.
+
+    Cells of a time, at most bins of each class, meet instead of rows; a cell stands for its mean score. Both sums are scaled by rows / (2 * pairs).
+    """
+    rows = scores.add(least_p="min(p) OVER (PARTITION BY t)", most_p="max(p) OVER (PARTITION BY t)")
+    rows = rows.add(cell=f"cast(least(floor((p - least_p) / greatest(most_p - least_p, 1e-10) * {bins}), {bins - 1}) AS bigint)").keep("id", "t", "y", "p", "cell")
+    cells = rows.group("t", "y", "cell", n="count(*)", margin="avg(p)")
+    met = cells.then("SELECT a.t, a.cell AS up, b.cell AS down, a.n AS n_up, b.n AS n_down, 1e0 / (1e0 + exp(greatest(-50e0, least(50e0, a.margin - b.margin)))) AS q FROM $1 AS a JOIN $1 AS b ON a.t = b.t AND a.y = 1 AND b.y = 0")
+    sides = met.then("SELECT t, 1 AS y, up AS cell, -sum(n_down * q) AS g, sum(n_down * q * (1e0 - q)) AS h FROM $1 GROUP BY t, up UNION ALL SELECT t, 0 AS y, down AS cell, sum(n_up * q) AS g, sum(n_up * q * (1e0 - q)) AS h FROM $1 GROUP BY t, down")
+    whole = cells.group("t", n="sum(n)", pos="sum(CASE WHEN y = 1 THEN n ELSE 0 END)").group(scale="sum(n) / nullif(2e0 * sum(pos * (n - pos)), 0e0)")
+    rows = rows.then("SELECT $1.id, $1.t, $1.y, $1.p, coalesce($2.g, 0e0) AS g, coalesce($2.h, 0e0) AS h FROM $1 LEFT JOIN $2 ON $1.t = $2.t AND $1.y = $2.y AND $1.cell = $2.cell", sides)
+    return rows.then("SELECT /*+ BROADCAST($2) */ $1.id, $1.t, $1.y, g * scale AS gradient, greatest(h * scale, 1e-12) AS curvature FROM $1 CROSS JOIN $2", whole)
+
+
 def comparators(futures: Relation, horizon: int = 4) -> Relation:
     """Series-weighted accuracy of plain forecasts of the movement: persistence, the majority, and each series' own majority up to the point before."""
     rows = futures.add(now="CASE WHEN step > epsilon THEN 2 WHEN step < -epsilon THEN 0 ELSE 1 END", goal=f"move{horizon}").where("goal IS NOT NULL AND goal < 3").add(w="1e0 / count(*) OVER (PARTITION BY id)")

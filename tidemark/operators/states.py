@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidemark.operators.statistics import draws
 from tidemark.plans.relation import Relation, num
 
 SPAN, HORIZONS, SMOOTHING = 16, (1, 4, 16), 0.5
@@ -58,6 +59,41 @@ def law(rows: Relation, state: str, following: str, states: int = 3) -> Relation
     return rows.add(p="w / sum(w) OVER (PARTITION BY a)")
 
 
+def law_interval(rows: Relation, state: str, following: str, replicates: int = 2000, least: int = 64, states: int = 3) -> Relation:
+    """Each transition probability with its 95 % interval over whole-series resamples; empty with fewer than `least` series.
+
+    A series is one table of shares, states squared numbers at most, before it meets the replicates; every cell starts at SMOOTHING in each of them.
+    """
+    rows = rows.where(f"{state} < {states} AND {following} < {states}").add(weight="1e0 / count(*) OVER (PARTITION BY id)")
+    shares = rows.keep("id", "weight", a=state, b=following).group("id", "a", "b", share="sum(weight)")
+    drawn = shares.then("SELECT $2.replicate, $1.a, $1.b, sum($1.share * $2.weight) AS w FROM $1 JOIN $2 ON $1.id = $2.id GROUP BY $2.replicate, $1.a, $1.b", draws(shares.then("SELECT DISTINCT id FROM $1"), replicates))
+    cells = Relation.select(f"SELECT replicate, a, EXPAND(0, {states - 1}) AS b FROM (SELECT replicate, EXPAND(0, {states - 1}) AS a FROM (SELECT EXPAND(0, {replicates}) AS replicate) AS r) AS s")
+    laws = cells.then(f"SELECT $1.replicate, $1.a, $1.b, coalesce($2.w, 0e0) + {num(SMOOTHING)} AS w FROM $1 LEFT JOIN $2 ON $1.replicate = $2.replicate AND $1.a = $2.a AND $1.b = $2.b", drawn)
+    laws = laws.add(p="w / sum(w) OVER (PARTITION BY replicate, a)")
+    parts = laws.group("a", "b", point="max(CASE WHEN replicate = 0 THEN p END)", low="percentile(CASE WHEN replicate > 0 THEN p END, 0.025e0)", high="percentile(CASE WHEN replicate > 0 THEN p END, 0.975e0)")
+    return parts.then(f"SELECT /*+ BROADCAST($2) */ $1.*, $2.series FROM $1 CROSS JOIN $2 WHERE $2.series >= {least}", shares.group(series="count(DISTINCT id)"))
+
+
+#: Where the domains of online time after the first end, and the points of a sampling phase.
+DOMAIN_ENDS, PHASES = (9, 24, 49, 99, 199, 399), 8
+
+
+def phase_support(rows: Relation) -> Relation:
+    """How often the states s1 to s4 occur by domain of online time (0 for all) and sampling phase (8 for all), as the mean over series of their shares.
+
+    Only series that have points in every phase of a domain count in it, so that phases are compared on the same series.
+    """
+    domain = "CASE " + " ".join(f"WHEN t - 1 <= {end} THEN {k}" for k, end in enumerate(DOMAIN_ENDS, 1)) + f" ELSE {len(DOMAIN_ENDS) + 1} END"
+    points = rows.keep("id", "s1", "s2", "s3", "s4", dom=domain, ph=f"(t - 1) % {PHASES}")
+    counts = points.then(" UNION ALL ".join(f"SELECT id, dom, ph, {k} AS family, s{k} AS code, count(*) AS n FROM $1 GROUP BY id, dom, ph, s{k}" for k in range(1, 5)))
+    sets = ", ".join(f"(id, family, code{x})" for x in (", dom, ph", ", dom", ", ph", ""))
+    counts = counts.then(f"SELECT id, family, code, coalesce(dom, 0) AS domain, coalesce(ph, {PHASES}) AS phase, sum(n) AS n FROM $1 GROUP BY GROUPING SETS ({sets})")
+    able = counts.where(f"phase < {PHASES}").group("id", "domain", phases="count(DISTINCT phase)").where(f"phases = {PHASES}")
+    counts = counts.add(total="sum(n) OVER (PARTITION BY id, family, domain, phase)").then("SELECT $1.* FROM $1 JOIN $2 ON $1.id = $2.id AND $1.domain = $2.domain", able)
+    found = counts.group("domain", "phase", "family", "code", total="sum(n / (total * 1e0))")
+    return found.then("SELECT $1.domain, $1.phase, $1.family, $1.code, $2.series, $1.total / $2.series AS frequency FROM $1 JOIN $2 ON $1.domain = $2.domain", able.group("domain", series="count(*)"))
+
+
 def surprises(rows: Relation, table: Relation, state: str = "s1") -> Relation:
     """Adds what a law issued one step earlier made of the state: surprise, and of the next one: reversal, stay and entropy."""
     rows = rows.add(state=state).add(before=f"lag(state) OVER ({W})")

@@ -60,6 +60,29 @@ def slices(scores: Relation) -> Relation:
     return counts.then("SELECT $1.*, $2.pairs, $2.ts_auc FROM $1 JOIN $2 ON $1.kind = $2.kind AND $1.low = $2.low", auc)
 
 
+#: Where the bins of online time begin.
+TIME_BINS = (0, 10, 25, 50, 100, 200, 400)
+
+
+def time_credits(scores: Relation, reference: str) -> Relation:
+    """For each bin of online time: its share of all pairs, its gain in AUC over the reference score, and what it adds to the whole gain. Bins without pairs have a null gain."""
+    old = metrics.auc_by_time(scores.keep("id", "t", "y", p=reference))
+    rows = metrics.auc_by_time(scores.keep("id", "t", "y", "p")).then("SELECT $1.t - 1 AS time, $1.pairs, $1.wins - $2.wins AS delta FROM $1 JOIN $2 ON $1.t = $2.t", old)
+    rows = rows.add(low="CASE " + " ".join(f"WHEN time >= {a} THEN {a}" for a in reversed(TIME_BINS)) + " END").group("low", pairs="sum(pairs)", delta="sum(delta)")
+    bins = Relation.select(" UNION ALL ".join(f"SELECT {a} AS low" for a in TIME_BINS))
+    rows = bins.then("SELECT $1.low, coalesce($2.pairs, 0) AS pairs, coalesce($2.delta, 0e0) AS delta FROM $1 LEFT JOIN $2 ON $1.low = $2.low", rows)
+    rows = rows.add(total="nullif(sum(pairs) OVER (), 0) * 1e0")
+    return rows.keep("low", pairs="cast(pairs AS bigint)", share="pairs / total", gain="delta / nullif(pairs, 0)", credit="delta / total")
+
+
+def delete_one(scores: Relation) -> Relation:
+    """The time-wise AUC without each series in turn: a series' wins and pairs are taken off the sums over all, so no score is ranked again."""
+    parts = endpoints(scores).group("id", wins="sum(wins)", pairs="sum(degree)")
+    whole = parts.group(all_wins="sum(wins) / 2e0", all_pairs="sum(pairs) / 2e0")  # each pair has two ends
+    rows = parts.then("SELECT /*+ BROADCAST($2) */ $1.id, all_wins - wins AS wins, all_pairs - pairs AS pairs FROM $1 CROSS JOIN $2", whole)
+    return rows.keep("id", pairs="cast(pairs AS bigint)", ts_auc="CASE WHEN pairs > 0.5e0 THEN wins / pairs ELSE 0.5e0 END")
+
+
 def draws(ids: Relation, replicates: int) -> Relation:
     """Whole-series resamples: replicate, id, weight. Replicate 0 is the sample itself; the others draw as many series with replacement, by a fixed integer hash."""
     rows = ids.add(k="row_number() OVER (ORDER BY id) - 1", n="count(*) OVER ()")

@@ -253,12 +253,17 @@ RELATIONS |= {
     "state_products": lambda: states.state_products(states.movement(_states()), "s1", "slope").keep("id", "t", *rounded(["in_0", "in_1", "in_2", "base_abs", "base_rise", "base_fall", "base_square"], 5)),
     "state_orientation": lambda: metrics.ts_auc(states.movement(_states()).where("s1 < 3").keep("id", "t", "y", "s1", p="round(x, 9)"), "s1").keep("s1", "pairs", *rounded(["ts_auc"], 7)),
     "alarm_bootstrap": lambda: alarms.bootstrapped(alarms.first_alarms(_scored(), alarms.threshold(_scored(), 0.2)), stats.draws(_ids(), 40)).keep("rate", *rounded(["own", "low", "high"], 6)),
+    "time_credits": lambda: stats.time_credits(_scored(), "b4").keep("low", "pairs", *rounded(["share", "gain", "credit"], 8)),
+    "delete_one": lambda: stats.delete_one(_scored()).keep("id", "pairs", ts_auc="round(ts_auc, 9)"),
+    "law_interval": lambda: states.law_interval(states.movement(_states()).add(following="lead(s1) OVER (PARTITION BY id ORDER BY t)"), "s1", "following").keep("a", "b", "series", *rounded(["point", "low", "high"], 7)),
+    "phase_support": lambda: states.phase_support(states.movement(_states())).keep("domain", "phase", "family", "code", "series", frequency="round(frequency, 8)"),
     # pairs and forecasts
     "pair_matrix": lambda: pairs.pair_matrix(_scored()).keep("pos", "neg", "times", "wins"),
     "rank_cells": lambda: pairs.rank_cells(_scored().keep("id", "t", "y", "p", "b4"), "CASE WHEN b4 > 0.3e0 THEN 1 ELSE 0 END").keep("cell", "other", "pairs", *rounded(["wins", "auc"], 6)),
     "pair_mass": lambda: pairs.pair_mass(_scored()).keep("low", "rows", "pairs", *rounded(["share"], 8)),
     "sampled_pairs": lambda: pairs.sampled_pairs(_scored(), 4).keep("pos", "neg", "t", *rounded(["weight"], 6)),
     "pair_loss": lambda: pairs.pair_loss(pairs.sampled_pairs(_scored(), 4)).keep("pairs", *rounded(["mass", "loss", "slope"], 6)),
+    "histogram_gradients": lambda: pairs.histogram_gradients(_scored()).keep("id", "t", "y", *rounded(["gradient", "curvature"], 8)),
     "forecast_comparators": lambda: pairs.comparators(states.futures(_states())).keep("rows", *rounded(["persistence", "majority", "own", "own_loss"], 7)),
     "common_range": lambda: pairs.common_range(states.movement(_states()).where("s1 < 3"), "x", "s1", 8).keep("states", "usable", *rounded(["low", "high", "retained"], 6)),
     "nested_folds": lambda: pairs.nested(splits.assigned(_ids())).keep("id", "outer_fold", "inner_fold"),
