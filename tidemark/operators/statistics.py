@@ -91,6 +91,20 @@ def draws(ids: Relation, replicates: int) -> Relation:
     return picks.group("replicate", "pick", weight="count(*)").then("SELECT $1.replicate, $2.id, $1.weight FROM $1 JOIN $2 ON $1.pick = $2.k", rows)
 
 
+def joint_envelope(replicates: Relation, level: float = 0.95) -> Relation:
+    """replicates (replicate, name, value), where replicate 0 is the sample -> for each name its value, standard error, interval over draws and joint bounds.
+
+    The joint bounds hold for all names at once: the critical value is the quantile over draws of the largest standardised error of any name. Names whose
+    draws don't vary have null bounds and don't enter the critical value.
+    """
+    rows = replicates.add(own="max(CASE WHEN replicate = 0 THEN value END) OVER (PARTITION BY name)").where("replicate > 0")
+    rows = rows.add(se="nullif(stddev_samp(value) OVER (PARTITION BY name), 0e0)").add(error="abs(value - own) / se")
+    critical = rows.group("replicate", worst="max(error)").group(critical=f"percentile(worst, {num(level)})")
+    rows = rows.group("name", own="max(own)", se="max(se)", low="percentile(value, 0.025e0)", high="percentile(value, 0.975e0)", positive="avg(CASE WHEN value > 0e0 THEN 1e0 ELSE 0e0 END)")
+    rows = rows.then("SELECT /*+ BROADCAST($2) */ $1.*, $2.critical FROM $1 CROSS JOIN $2", critical)
+    return rows.add(joint_low="own - critical * se", joint_high="own + critical * se").add(above="CASE WHEN joint_low > 0e0 THEN 1 ELSE 0 END")
+
+
 def gates(folds: Relation, better: float = 0.001, worst: float = 0.002) -> Relation:
     """Summary over folds (fold, reference, candidate) and whether the candidate is promoted; null evidence leaves a gate null."""
     rows = folds.add(delta="candidate - reference").group(folds="count(*)", mean="avg(candidate)", median="percentile(candidate, 0.5e0)", sd="stddev_pop(candidate)", worst="min(candidate)", best="max(candidate)", delta_median="percentile(delta, 0.5e0)", delta_worst="min(candidate) - min(reference)")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import kit, linear
-from tidemark.operators import alarms, blocks, factorized, graph, inputs, learners, metrics, panels as pairs, splits, states
+from tidemark.operators import alarms, blocks, factorized, graph, inputs, learners, metrics, panels as pairs, regimes, splits, states
 from tidemark.operators import base_bank as bank
 from tidemark.operators import evidence as ev
 from tidemark.operators import statistics as stats
@@ -224,6 +224,11 @@ RELATIONS |= {
 }
 
 
+def _contrasts(reference: str, *columns: str) -> Relation:
+    """Resamples of the gain in time-wise AUC of each column over the reference; all of them share the draws."""
+    return _boot(reference, *columns).add(base=f"max(CASE WHEN name = '{reference}' THEN value END) OVER (PARTITION BY replicate)").where(f"name <> '{reference}'").keep("replicate", "name", value="value - base")
+
+
 def _boot(*columns: str) -> Relation:
     parts = [metrics.weighted_ts_auc(_scored().keep("id", "t", "y", p=c), stats.draws(_ids(), 30)).keep("replicate", name=f"'{c}'", value="ts_auc") for c in columns]
     rows = parts[0]
@@ -239,6 +244,8 @@ RELATIONS |= {
     "moving_variance": lambda: inputs.moving_variance(white.first_order(panels.panel())).where("online > 0").keep("id", "t", *rounded(["z"])),
     "rank_gaussian": lambda: inputs.quantile_mapped(bank.referenced(panels.panel())).where("t > 0").keep("id", "t", *rounded(["pm", "g"], 5)),
     "h_context": lambda: inputs.contexts(panels.panel()).keep("id", *rounded(inputs.CONTEXTS, 5)),
+    "history_descriptors": lambda: regimes.descriptors(panels.panel()).keep("id", *rounded(regimes.DESCRIPTORS, 5)),
+    "break_mechanisms": lambda: regimes.mechanisms(panels.panel()).keep("id", "pre_count", "post_count", "signature", *rounded(regimes.EFFECTS, 6)),
     "context_bands": lambda: inputs.terciles(inputs.contexts(panels.panel()), "acf1").keep("id", "band"),
     "magnitude_dependence": lambda: inputs.magnitude(_innovations()).keep("id", "t", *rounded(inputs.MAGNITUDE)),
     "semideviation_channel": lambda: ev.channel(inputs.semideviation(_innovations()).keep("id", "t", "y", "s"), "s").keep("id", "t", *rounded(ev.CHANNEL)),
@@ -268,6 +275,7 @@ RELATIONS |= {
     "common_range": lambda: pairs.common_range(states.movement(_states()).where("s1 < 3"), "x", "s1", 8).keep("states", "usable", *rounded(["low", "high", "retained"], 6)),
     "nested_folds": lambda: pairs.nested(splits.assigned(_ids())).keep("id", "outer_fold", "inner_fold"),
     "catalog_winners": lambda: pairs.winners(_boot("b4", "b5", "b6")).keep("name", "cast(wins AS bigint) AS wins", *rounded(["mean", "own", "low", "high"], 7)),
+    "joint_envelope": lambda: stats.joint_envelope(_contrasts("b4", "b3", "b5", "b6")).keep("name", "above", *rounded(["own", "se", "low", "high", "positive", "critical", "joint_low", "joint_high"], 6)),
     "role_pivot": lambda: pairs.pivoted(splits.assigned(_ids()).keep("id", "role", fold="fold + 1"), "role", "fold", [0, 1, 2, 3, 4, 5], "id"),
     "alarm_age_auc": lambda: metrics.ts_auc(_scored().keep("id", "t", "y", p=f"round({alarms.age_normalised('p', 1.0)}, 9)")).keep("pairs", ts_auc="round(ts_auc, 6)"),
 }
