@@ -18,6 +18,7 @@ from tidemark.operators import evidence as ev
 from tidemark.operators import statistics as stats
 from tidemark.operators import whitening as white
 from tidemark.operators.components import grouped
+from tidemark.plans import solves
 from tidemark.plans.relation import DUCK, Relation, rounded
 from tidemark.sources import panel as panels
 from tidemark.streaming import scores as streams
@@ -339,10 +340,13 @@ def pair_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 LEARNED = ["abs_mean_z_5", "abs_mean_z_20", "log_variance_ratio_20", "quantile_l1_20", "lag1_delta_20", "evidence_decayed_max"]
 
 
-def _design(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _designed() -> Relation:
     rows = splits.assigned(_ids()).where("fold >= 0").keep("id", "fold")
-    rows = bank.features(panels.panel()).then("SELECT $1.*, $2.fold FROM $1 JOIN $2 ON $1.id = $2.id", rows).keep("id", "t", "y", "fold", *LEARNED)
-    frame = rows.frame(spark, sf_dir)
+    return bank.features(panels.panel()).then("SELECT $1.*, $2.fold FROM $1 JOIN $2 ON $1.id = $2.id", rows).keep("id", "t", "y", "fold", *LEARNED)
+
+
+def _design(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    frame = _designed().frame(spark, sf_dir)
     return frame.filter("fold <> 0"), frame.filter("fold = 0")
 
 
@@ -355,13 +359,27 @@ def fit_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fit_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Held-out scores of a ridge regression from one pass of sums."""
     train, test = _design(spark, sf_dir)
-    return learners.linear_score(test, learners.ridge_fit(train, LEARNED, "y")).select("id", "t", "y", "p")
+    rows = learners.linear_score(test, learners.ridge_fit(train, LEARNED, "y"))
+    return Relation.of(rows).keep("id", "t", "y", *rounded(["p"])).frame(spark)
+
+
+def _fit_ridge_sql() -> str:
+    totals = solves.sums(_designed().where("fold <> 0"), LEARNED, "y")
+    rows = solves.scored(_designed().where("fold = 0"), solves.ridge(totals, len(LEARNED)), LEARNED)
+    return rows.keep("id", "t", "y", *rounded(["p"])).sql()
 
 
 def cross_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Out-of-fold scores of a ridge regression on all development series."""
     train, test = _design(spark, sf_dir)
-    return learners.ridge_cross_fit(train.unionByName(test), LEARNED, "y").select("id", "t", "y", "fold", "p")
+    rows = learners.ridge_cross_fit(train.unionByName(test), LEARNED, "y")
+    return Relation.of(rows).keep("id", "t", "y", "fold", *rounded(["p"])).frame(spark)
+
+
+def _cross_fit_sql() -> str:
+    parts = solves.sums(_designed(), LEARNED, "y", "fold")
+    models = solves.ridge(solves.without_own(parts, len(LEARNED), "fold"), len(LEARNED), "fold")
+    return solves.scored(_designed(), models, LEARNED, "$1.fold = $2.fold").keep("id", "t", "y", "fold", *rounded(["p"])).sql()
 
 
 def fit_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -415,4 +433,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: make().sql() for name, make in RELATIONS.items()} | {"stream_scores": _streamed().sql(), "ts_auc_spread": RELATIONS["ts_auc_by_time"]().sql(), "series_groups": series_groups_sql(), "hazard_logodds": _evidence(ev.hazard, ev.HAZARD, "arch1")().sql()}
+    return {name: make().sql() for name, make in RELATIONS.items()} | {"stream_scores": _streamed().sql(), "ts_auc_spread": RELATIONS["ts_auc_by_time"]().sql(), "series_groups": series_groups_sql(), "hazard_logodds": _evidence(ev.hazard, ev.HAZARD, "arch1")().sql(), "fit_ridge": _fit_ridge_sql(), "cross_fit": _cross_fit_sql()}
