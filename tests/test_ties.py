@@ -16,7 +16,7 @@ def test_logarithm_is_that_of_the_c_library(spark):
     assert "LN" not in Relation.select("SELECT LN(x) AS y FROM {t}").sql() and Relation.select("SELECT LN(x) AS y FROM {t}").sql() == Relation.select("SELECT ln(x) AS y FROM {t}").sql()
 
 
-@pytest.mark.parametrize("name", ["block_logmad"])
+@pytest.mark.parametrize("name", ["block_logmad", "block_confirmation"])
 def test_blocks_of_series_without_a_break_are_those_of_the_sql(spark, name):
     """The values of series with a break hold a sum's rounding, which DuckDB's threads change from run to run."""
     sf = "/root/testdata/sf0.1"
