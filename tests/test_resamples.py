@@ -1,8 +1,10 @@
 """Whole-series resamples of many series."""
 
 import numpy as np
+import pytest
 
-from tidemark.operators import statistics
+from tidemark.operators import metrics, resamples, statistics
+from tidemark.plans import catalog
 from tidemark.plans.relation import Relation
 
 
@@ -21,3 +23,22 @@ def test_draws_of_many_series(spark):
     n = 40_000
     rows = statistics.draws(Relation.of(spark.range(n)), 2).frame(spark).toPandas().pivot(index="id", columns="replicate", values="weight").fillna(0)
     assert all(np.array_equal(rows[r], picked(n, r)) for r in range(3))
+
+
+def test_resampled_auc_is_that_of_joined_rows(spark):
+    rng = np.random.default_rng(11)
+    data = [(i, t, int(i % 3 == 0 and t > 2), round(float(rng.normal()), 1), float(rng.normal())) for i in range(40) for t in range(1, 3 + i % 6)]
+    rows = Relation.of(spark.createDataFrame(data, "id long, t long, y int, p double, q double"))
+    ids = Relation.of(spark.range(45))  # five of them without a row
+    got = resamples.ts_auc(rows, ids, ["p", "q"], 20, spark).toPandas()
+    assert len(got) == 2 * 21
+    for c in ("p", "q"):
+        want = metrics.weighted_ts_auc(rows.keep("id", "t", "y", p=c), statistics.draws(ids, 20)).frame(spark).toPandas().sort_values("replicate")
+        own = got[got.name == c].sort_values("replicate")
+        assert own[["replicate", "pairs", "ts_auc"]].to_numpy().tolist() == want[["replicate", "pairs", "ts_auc"]].to_numpy().tolist()
+
+
+@pytest.mark.parametrize("name", ["bootstrap_ts_auc"])
+def test_no_row_is_copied_for_a_replicate(spark, name):
+    plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
