@@ -38,7 +38,7 @@ def test_resampled_auc_is_that_of_joined_rows(spark):
         assert own[["replicate", "pairs", "ts_auc"]].to_numpy().tolist() == want[["replicate", "pairs", "ts_auc"]].to_numpy().tolist()
 
 
-@pytest.mark.parametrize("name", ["bootstrap_ts_auc", "bootstrap_summary", "catalog_winners"])
+@pytest.mark.parametrize("name", ["bootstrap_ts_auc", "bootstrap_summary", "catalog_winners", "joint_envelope"])
 def test_no_row_is_copied_for_a_replicate(spark, name):
     plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan
