@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidemark.sources.shared import checkpointed, shared_dir
+from tidemark.sources.shared import checkpointed, shared_dir, staged
 
 __all__ = ["bounded", "checkpointed", "map_rows", "shared_dir", "sliced", "staged", "table"]
 
@@ -22,14 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def staged(df: DataFrame, name: str, fmt: str = "parquet", **options: str) -> tuple[DataFrame, str]:
-    """Write df to a new folder under the shared one and read it back; columnar, so smaller than a checkpoint."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
-    df.write.format(fmt).options(**options).save(path)
-    return spark.read.format(fmt).schema(df.schema).load(path), path
-
-
 def bounded(df: DataFrame, rows: int = 10_000) -> DataFrame | None:
     """df marked for broadcast if it has at most so many rows, which is counted; else None. df should be checkpointed."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else None
