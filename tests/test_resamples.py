@@ -42,3 +42,17 @@ def test_resampled_auc_is_that_of_joined_rows(spark):
 def test_no_row_is_copied_for_a_replicate(spark, name):
     plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan
+
+
+def test_sums_of_tables_need_no_row_for_each_draw(spark):
+    rng = np.random.default_rng(13)
+    n, replicates = 31_000, 130  # numbers beyond 32 bits, and two tasks
+    a, b, share = rng.integers(0, 3, n), rng.integers(0, 3, n), rng.random(n).round(3)
+    shares = Relation.of(spark.createDataFrame([(i, int(x), int(y), float(z)) for i, (x, y, z) in enumerate(zip(a, b, share, strict=True))], "id long, a int, b int, share double"))
+    got = resamples.sums(shares, replicates, spark).toPandas().set_index(["replicate", "a", "b"]).w
+    assert len(got) == 131 * 9
+    for r in (0, 1, 127, 128, 130):
+        weight = np.array(picked(n, r))
+        for x in range(3):
+            for y in range(3):
+                assert got[r, x, y] == pytest.approx((weight * share)[(a == x) & (b == y)].sum())

@@ -6,7 +6,6 @@ them itself, and no row of a series is copied for a replicate.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -18,6 +17,8 @@ from tidemark.plans.relation import Relation
 
 #: Replicates that are summed at once, and numbers of a task's arrays, about.
 TOGETHER, NUMBERS = 8, 4_000_000
+#: Replicates of a task that sums tables of series.
+TASK = 128
 PRIME = 2147483647
 
 
@@ -80,3 +81,23 @@ def ts_auc(scores: Relation, ids: Relation, columns: list[str], replicates: int,
     times = rows.groupBy("t").applyInPandas(of_time, "replicate long, name string, seen long, won long, pairs long")
     sums = times.groupBy("replicate", "name").agg(F.sum("seen").alias("seen"), F.sum("won").alias("won"), F.sum("pairs").alias("pairs")).filter("seen > 0")
     return sums.selectExpr("replicate", "name", "pairs", "CASE WHEN pairs > 0 THEN won / 2e0 / pairs ELSE 0.5e0 END AS ts_auc")
+
+
+def sums(shares: Relation, replicates: int, spark, states: int = 3) -> DataFrame:
+    """The sum of the shares (id, a, b, share) of the series that a replicate of statistics.draws() has, by replicate, a and b: replicate, a, b and w.
+
+    A series is one row of states squared numbers, which goes to each task of TASK replicates.
+    """
+    cells = [(a, b) for a in range(states) for b in range(states)]
+    wide = shares.group("id", **{f"c{a}_{b}": f"coalesce(max(CASE WHEN a = {a} AND b = {b} THEN share END), 0e0)" for a, b in cells})
+    names = [f"c{a}_{b}" for a, b in cells]
+    rows = placed(wide, wide.keep("id")).then(f"SELECT k, n_all, {', '.join(names)}, EXPAND(0, {replicates // TASK}) AS part FROM $1").frame(spark)
+
+    def of_part(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        n, table, found = int(part["n_all"].iloc[0]), part[names].to_numpy(dtype=float), []
+        k, low = part["k"].to_numpy(), int(key[0]) * TASK
+        for r in range(low, min(low + TASK, replicates + 1)):
+            found += [(r, a, b, w) for (a, b), w in zip(cells, drawn(n, r)[k].astype(float) @ table, strict=True)]
+        return pd.DataFrame(found, columns=["replicate", "a", "b", "w"])
+
+    return rows.groupBy("part").applyInPandas(of_part, "replicate long, a long, b long, w double")
