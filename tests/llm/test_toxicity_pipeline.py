@@ -3,6 +3,7 @@
 import hashlib
 import importlib
 import math
+import os
 import random
 import re
 import zlib
@@ -74,6 +75,22 @@ def test_training_rows_keep_out_the_held_out(spark):
     assert not none.trained and set(toxicity.Scorer(none).scores(["x"])) == {toxicity.EMPTY_SCORE}
 
 
+def test_training_leaves_the_driver_alone(spark, monkeypatch):
+    texts, y = labelled(60, 3)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame(list(enumerate(y)), "doc_id long, toxic int")
+    rows = sorted(tuple(r) for r in toxicity.training_rows(docs, labels).collect())
+    want, driver, train = toxicity.train([r[1] for r in rows], [r[2] for r in rows]), os.getpid(), toxicity.train
+
+    def elsewhere(texts, labels):
+        assert os.getpid() != driver
+        return train(texts, labels)
+
+    monkeypatch.setattr(toxicity, "train", elsewhere)
+    got = toxicity.fit(docs, labels)
+    assert got.trained and got.bias == want.bias and (got.bucket == want.bucket).all() and (got.whole == want.whole).all()
+
+
 M64 = (1 << 64) - 1
 
 

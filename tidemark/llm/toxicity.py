@@ -218,8 +218,18 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 
 def fit(docs: DataFrame, labels: DataFrame, **how) -> Model:
-    rows = sorted({(r["doc_id"], r["text"], r["label"]) for r in training_rows(docs, labels, **how).toLocalIterator()})
-    return train([r[1] for r in rows], [r[2] for r in rows])
+    """Trained in one task on the bounded sample; the driver gets the model alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted({tuple(r.values()) for batch in batches for r in batch.to_pylist()})
+        bucket, whole, bias, trained = train([r[1] for r in rows], [r[2] for r in rows]).parts
+        yield pa.RecordBatch.from_pydict({"bucket": [bucket.tobytes()], "whole": [whole.tobytes()], "bias": [bias], "trained": [trained]})
+
+    # a task without rows may not run at all
+    found = training_rows(docs, labels, **how).coalesce(1).mapInArrow(run, "bucket binary, whole binary, bias double, trained boolean").collect()
+    if not found:
+        return train([], [])
+    return Model(*(np.frombuffer(found[0][c], np.float32) for c in ("bucket", "whole")), found[0]["bias"], found[0]["trained"])
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
