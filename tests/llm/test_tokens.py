@@ -1,5 +1,6 @@
 """Counting, encoding and token files against the library."""
 
+import gc
 import hashlib
 import random
 import zlib
@@ -127,3 +128,12 @@ def test_long_runs_are_not_kept(texts):
     ids, at = encoder.encode(pa.array(long), 2)
     assert [ids[x:y].tolist() for x, y in zip(at, at[1:], strict=False)] == [[*e.ids, 2] for e in library.encode_batch(long, add_special_tokens=False)]
     assert all(len(k) <= token_orc.KEY_BYTES for k in encoder._kept)
+
+
+def test_the_collector_rests_while_texts_are_encoded(spark, monkeypatch):
+    made, seen, encode = [], [], bpe_codec.Codec.encode
+    monkeypatch.setattr(bpe_codec, "map_rows", lambda rows, make, schema: made.append(make))
+    monkeypatch.setattr(bpe_codec.Codec, "encode", lambda self, text: seen.append(gc.isenabled()) or encode(self, text))
+    bpe_codec.encoded(spark.createDataFrame([(1, "a")], "doc_id long, text string"), vocabulary_path(bpe_codec.VOCABULARY))
+    assert made[0]()(pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["a b", None]})).column("n_tokens").to_pylist() == [2, 0]
+    assert seen == [False, False] and gc.isenabled()

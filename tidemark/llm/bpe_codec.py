@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.byte_level import Kept, Units, loaded
-from tidemark.llm.common import map_rows, table
+from tidemark.llm.common import map_rows, table, uncollected
 from tidemark.llm.token_count import vocabulary_path
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -114,6 +114,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     def make():
         codec = Codec(path)
 
+        @uncollected()
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids = [codec.encode(t or "") for t in batch.column("text").to_pylist()]
             columns = {

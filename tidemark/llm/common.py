@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +13,7 @@ from pyspark.sql.types import StructType
 
 from tidemark.sources.shared import checkpointed, shared_dir, staged
 
-__all__ = ["bounded", "checkpointed", "map_rows", "shared_dir", "sliced", "staged", "table"]
+__all__ = ["bounded", "checkpointed", "map_rows", "shared_dir", "sliced", "staged", "table", "uncollected"]
 
 #: Rows that a worker's function gets at once. Texts average a few kB; Spark bounds the bytes of a batch that has many long ones.
 BATCH_ROWS = 512
@@ -33,6 +35,18 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterato
             yield batch.slice(a, rows)
 
 
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """Without the collector of cycles, which passes over every kept key again and again; for work that makes no cycles."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str | StructType, rows: int = BATCH_ROWS) -> DataFrame:
     """mapInArrow with per-task state: make() runs once a task and gives the function for its batches, of up to so many rows each."""
 
