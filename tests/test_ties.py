@@ -27,7 +27,7 @@ def test_blocks_of_series_without_a_break_are_those_of_the_sql(spark, name):
     assert len(got) > 900 and (got == want).all().all()
 
 
-@pytest.mark.parametrize("name", ["block_logmad", "block_confirmation"])
+@pytest.mark.parametrize("name", ["block_logmad", "block_confirmation", "block_events"])
 def test_blocks_of_all_series_are_those_of_the_sql_on_one_thread(spark, name):
     sf = "/root/testdata/sf0.1"
     con = duckdb.connect()
