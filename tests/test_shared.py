@@ -50,3 +50,28 @@ def test_components_of_a_hub(spark, monkeypatch, bound):
     edges = [(500, i) for i in range(400)] + [(i, i + 1) for i in range(1000, 1040)] + [(7, 7)]
     got = dict(map(tuple, comp.components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert got == {i: 0 for i in [*range(400), 500]} | {i: 1000 for i in range(1000, 1041)}
+
+
+@pytest.mark.parametrize("few", [0, 150, 100_000])
+def test_components_in_rounds_and_in_one_task(spark, monkeypatch, few):
+    """Rounds alone, rounds and then one task, and one task alone give the same."""
+    monkeypatch.setattr(comp, "FEW", few)
+    edges = [(i, i + 1) for i in range(-40, 40)] + [(i * 37 % 101 + 1000, i * 53 % 101 + 1000) for i in range(60)] + [(3000, i) for i in range(2000, 2060)] + [(5, 5), (9000, 9000), (3, 1)]
+    low = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in low:
+        for a, b in edges:
+            if a != b:
+                low[a] = low[b] = min(low[a], low[b])
+    got = comp.components(spark.createDataFrame(edges, "a long, b long").repartition(3)).collect()
+    assert sorted(map(tuple, got)) == sorted(low.items())
+
+
+def test_components_of_few_edges_take_few_jobs(spark):
+    """Rounds on a few edges took most of op2's time on a table of 211 partitions."""
+    sc = spark.sparkContext
+    sc.setJobGroup("few edges", "")
+    try:
+        assert comp.components(spark.range(300).selectExpr("id a", "id + 1 b")).filter("component = 0").count() == 301
+        assert len(sc.statusTracker().getJobIdsForGroup("few edges")) <= 12
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)

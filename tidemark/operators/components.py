@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +12,8 @@ from tidemark.sources.shared import checkpointed
 
 #: Rows of a key from which it is hot, at least, and the most keys that are. As a hot key has more than total / HOT_KEYS rows, there can't be more.
 HOT_ROWS, HOT_KEYS = 256, 100_000
+#: Edges up to which one task finds the components; a round costs about 14 stages, whatever the number of edges.
+FEW = 100_000
 
 
 def attached(many: DataFrame, one: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
@@ -39,16 +44,38 @@ def _stars(edges: DataFrame) -> bool:
     return ends.groupBy("a").agg(F.sum("b").alias("up"), F.min("b").alias("least")).filter("up > 1 or up = 1 and least = 0").isEmpty()
 
 
+def _searched(edges: DataFrame) -> DataFrame:
+    """components() of at most FEW edges, in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        for batch in batches:
+            for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                x, y = root(up.setdefault(a, a)), root(up.setdefault(b, b))
+                up[max(x, y)] = min(x, y)
+        yield pa.RecordBatch.from_arrays([pa.array(list(up), pa.int64()), pa.array([root(x) for x in up], pa.int64())], names=["node", "component"])
+
+    return edges.coalesce(1).mapInArrow(run, "node long, component long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges (a, b) of longs -> (node, component): every node of an edge, with the smallest node it can reach.
 
     Each round hangs the neighbours of a node on the smallest of them, first the larger ones, then the smaller ones, until the edges are stars
     around the smallest nodes. The number of rounds grows with the logarithm of the number of nodes. Minima are combined before they are
-    shuffled; the edges of a hot node meet its minimum where they are, see attached().
+    shuffled; the edges of a hot node meet its minimum where they are, see attached(). As soon as at most FEW edges are left, one task does the rest.
     """
     now = checkpointed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
-    while not _stars(now):
-        total = 2 * now.count()
+    while (total := 2 * now.count()) > 2 * FEW:
+        if _stars(now):
+            return _both(now, ("a", F.col("b")), ("b", F.col("b"))).distinct().toDF("node", "component")
         both = _both(now, ("a", F.col("b")), ("b", F.col("a")))
         low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
         large = attached(both, low, ["a"], "n", total).filter("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -56,7 +83,7 @@ def components(edges: DataFrame) -> DataFrame:
         low = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
         small = attached(down, low, ["a"], "n", total).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         now = checkpointed(small.distinct())
-    return _both(now, ("a", F.col("b")), ("b", F.col("b"))).distinct().toDF("node", "component")
+    return _searched(now)
 
 
 def grouped(links: DataFrame) -> DataFrame:
